@@ -72,15 +72,19 @@ def load_mapping(path: str | None = None) -> dict[str, str]:
         return {}
 
 
-def mapping_frame(spark: SparkSession, spec: dict) -> DataFrame:
-    """``mapping(variant, canonical)``, resolved with Spark's own expressions."""
-    rows = [(i, v, c) for i, (v, c) in enumerate(mapping_entries(spec))]
-    raw = spark.createDataFrame(rows, "ord int, raw string, canonical string")
-    return raw.groupBy(normalise_header(F.col("raw")).alias("variant")).agg(
+def resolve_variants(entries: DataFrame) -> DataFrame:
+    """``mapping(variant, canonical)`` from ``entries(ord, raw, canonical)``, last entry wins."""
+    return entries.groupBy(normalise_header(F.col("raw")).alias("variant")).agg(
         F.max_by("canonical", "ord").alias("canonical")
     )
 
 
+def mapping_frame(spark: SparkSession, spec: dict) -> DataFrame:
+    """The mapping of a specification as a frame; some dozens of rows."""
+    rows = list(resolve_mapping(spec).items())
+    return spark.createDataFrame(rows, "variant string, canonical string")
+
+
 def lookup(mapping: dict[str, str], key: Column) -> Column:
     """Canonical name of a normalised key, null if unknown.
 
