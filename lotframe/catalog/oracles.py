@@ -65,7 +65,7 @@ lots as (
     {money('unit')} as "Cost per Unit",
     case when layout = 0 then {grouped_money('cost')} else {money('cost')} end as "Total Cost",
     {money('value')} as "Value", case when layout <> 1 then type end as "Type", cast(null as varchar) as "Source",
-    layout, size, linenumber, suppkey, cost, value, day, qty
+    layout, size, linenumber, suppkey, cost as cost_c, value as value_c, day, qty
   from facts)"""
 
 COLUMNS = ", ".join(f'"{field}"' for field in FULL_FIELDS)
@@ -141,12 +141,12 @@ PAIRS = rf"""{GRID}, {MAPPING},
 lines as (select file, row_no, regexp_split_to_array(array_to_string(cells, ','), '[;,]') as parts from grid),
 segments as (select file, row_no, unnest(generate_series(0, len(parts) - 1)) as seg_no, unnest(parts) as segment from lines),
 signed as (
-  select *, case when contains(segment, ':') then strpos(segment, ':') else strpos(segment, '=') end as at from segments),
+  select *, case when contains(segment, ':') then strpos(segment, ':') else strpos(segment, '=') end as spot from segments),
 pairs as (
   select file, row_no, cast(seg_no as bigint) as seg_no, canonical as field,
-    regexp_replace(substr(segment, at + 1), '^\s+|\s+$', '', 'g') as value
-  from signed join mapping on variant = {headed('substr(segment, 1, at - 1)')}
-  where at > 0 and regexp_matches(substr(segment, at + 1), '\S'))"""
+    regexp_replace(substr(segment, spot + 1), '^\s+|\s+$', '', 'g') as value
+  from signed join mapping on variant = {headed('substr(segment, 1, spot - 1)')}
+  where spot > 0 and regexp_matches(substr(segment, spot + 1), '\S'))"""
 
 SERIES = """days as (
   select user_id as series_id, cast(date_diff('day', date '2024-01-01', cast(ts as date)) as bigint) as pos,
@@ -197,17 +197,17 @@ spotty as (
 _POSITIONS = f"""{LOTS},
 positions as (
   select "Broker", case when size % 9 <> 0 then size / 10.0 end as beta,
-    case when size % 7 = 0 then -value else value end / 100.0 as weight from lots)"""
+    case when size % 7 = 0 then -value_c else value_c end / 100.0 as weight from lots)"""
 
 _HEADINGS = ", ".join(map(_text, CATEGORY_HEADINGS))
 
 ORACLES: dict[str, str] = {
     "lots_with_metrics": f"""with {LOTS}
 select {COLUMNS}, round({_years('day', AS_OF)}, 6) as "Years Held",
-  {growth('cost / 100.0', 'value / 100.0', _years('day', AS_OF))} as "CAGR" from lots""",
+  {growth('cost_c / 100.0', 'value_c / 100.0', _years('day', AS_OF))} as "CAGR" from lots""",
     "cagr_rows": f"""with {FACTS}
 select orderkey, partkey, suppkey, linenumber, cost,
-  {growth('cost / 100.0', 'value / 100.0', _years('day', '1999-01-01'))} as cagr from facts""",
+  {growth('cost / 100.0', 'value / 100.0', '((linenumber - 2) / 2.0)')} as cagr from facts""",
     "cagr_coerced": f"""with {FACTS}
 select orderkey, partkey, suppkey, cost, case when linenumber <> 3 then
   {growth('cost / 100.0', 'value / 100.0', '(linenumber + 1)')} end as cagr from facts""",
@@ -315,18 +315,19 @@ select "Account", "Symbol", "Type", min(qty) as first_quantity from lots group b
     "ingest_symbol_group": f"with {LOTS} select distinct {COLUMNS} from lots where layout = 2",
     "ingest_all": f"""with {LOTS}
 select distinct {COLUMNS}, round({_years('day', AS_OF)}, 6) as "Years Held",
-  {growth('cost / 100.0', 'value / 100.0', _years('day', AS_OF))} as "CAGR" from lots""",
+  {growth('cost_c / 100.0', 'value_c / 100.0', _years('day', AS_OF))} as "CAGR" from lots""",
     "ingest_audit": f"""with {LOTS},
 lines as (select suppkey, layout, count(*) as n, count(distinct ({COLUMNS.replace('"Source"', "0")})) as distinct_lots,
   cast(sum(case when linenumber = 1 then 2 else 1 end) as bigint) as printed from lots group by all),
 marks as (select suppkey, count(distinct (orderkey // {ORDERS_PER_BLOCK}, partkey)) as summaries,
   count(distinct orderkey // {ORDERS_PER_BLOCK}) as blocks from facts group by all)
 select '/reports/B' || suppkey || '_2002.csv' as file, case layout when 1 then 'hybrid' else 'standard' end as structure,
-  case layout when 2 then 1 else 2 end as tables, 0 as empty_tables,
+  cast(case layout when 2 then 1 else 2 end as bigint) as tables, cast(0 as bigint) as empty_tables,
   cast(printed + case layout when 0 then 1 when 1 then 1 + summaries + blocks else summaries + 2 * blocks end as bigint)
     as table_rows,
-  cast(case layout when 0 then 8 when 1 then 5 else 6 end as bigint) as renamed_columns,
-  printed as rows_extracted, distinct_lots as lots, printed - distinct_lots as duplicates_removed, 1 as key_values
+  cast(case layout when 0 then 9 when 1 then 7 else 8 end as bigint) as renamed_columns,
+  printed as rows_extracted, distinct_lots as lots, cast(0 as bigint) as blank_rows_removed,
+  printed - distinct_lots as duplicates_removed, cast(1 as bigint) as key_values
 from lines join marks using (suppkey)""",
     "grid_scan_csv": f"""with {GRID}
 select 'B' || suppkey || '_2002' as report, cast(block as bigint) as block,

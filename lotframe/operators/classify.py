@@ -145,7 +145,7 @@ def table_kinds(decided: DataFrame) -> DataFrame:
         F.first("header.is_summary").alias("is_summary"),
         F.first("header.is_holdings").alias("is_holdings"),
         F.first("header.positions").alias("positions"),
-        F.first("header.renamed").alias("renamed"),
+        F.first("header.mapped").alias("mapped"),
         F.first("table_rows").alias("n_rows"),
         F.first("is_group").alias("is_group"),
         F.first("has_group_lots").alias("has_group_lots"),

@@ -56,8 +56,10 @@ def header_facts(mapping: dict[str, str], fields: Sequence[str]) -> Column:
     cells = F.col("cells")
     wanted = F.split(F.lit("\n".join(fields)), "\n")
 
+    def known(cell: Column) -> Column:
+        return lookup(mapping, normalise_header(cell)).isNotNull()
+
     def facts(names: Column) -> Column:
-        changed = F.zip_with(cells, names, lambda raw, name: F.when(raw != name, 1).otherwise(0))
         return F.struct(
             is_account_summary(cells).alias("is_summary"),
             is_holdings(cells).alias("is_holdings"),
@@ -65,7 +67,7 @@ def header_facts(mapping: dict[str, str], fields: Sequence[str]) -> Column:
             last_position(names, "Account").alias("account_at"),
             first_position(names, "Account").alias("first_account_at"),
             F.transform(wanted, lambda field: F.array_position(names, field).cast("int")).alias("positions"),
-            F.size(F.array_remove(changed, 0)).alias("renamed"),
+            F.size(F.filter(cells, known)).alias("mapped"),
         )
 
     # A one-element array binds the names once, however often they are used.

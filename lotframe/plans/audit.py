@@ -19,7 +19,7 @@ def audit_of(parsed: Parsed, fields: Sequence[str]) -> DataFrame:
             F.count("*").alias("tables"),
             F.count(F.when(F.col("n_rows") == 0, 1)).alias("empty_tables"),
             F.sum("n_rows").alias("table_rows"),
-            F.sum("renamed").cast("long").alias("renamed_columns"),
+            F.sum("mapped").cast("long").alias("renamed_columns"),
         )
     )
     extracted = parsed.lots.unionByName(parsed.fallback)
@@ -42,6 +42,7 @@ def audit_of(parsed: Parsed, fields: Sequence[str]) -> DataFrame:
         "file",
         "structure",
         *counts[:6],
+        F.greatest(F.col("rows_extracted") - F.col("_kept"), F.lit(0)).alias("blank_rows_removed"),
         (F.col("_kept") - F.col("lots")).alias("duplicates_removed"),
         "key_values",
     )
