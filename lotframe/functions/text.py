@@ -1,15 +1,19 @@
 """Text helpers as Column expressions.
 
-Blank and strip tests use Unicode-aware regexes: SQL ``trim`` removes spaces
-only, and report cells do carry no-break spaces.
+Blank and strip tests name the white space they mean: SQL ``trim`` removes
+spaces only, and report cells do carry no-break spaces.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_SPACE = r"[\s\x1c-\x1f]"
-_NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
+# Fixed value: what Unicode counts as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Rows of a symbol-grouped table that are headings, not lots.
 CATEGORY_HEADINGS = ("total", "cash", "cash equivalent", "mutual fund")
@@ -19,16 +23,16 @@ US_DATE = r"^\d{1,2}/\d{1,2}/\d{4}$"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def is_blank(text: Column) -> Column:
     """True for null, empty and whitespace-only text."""
-    return ~F.coalesce(text.rlike(_NOT_SPACE), F.lit(False))
+    return F.coalesce(strip(text) == "", F.lit(True))
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.when(text.rlike(_NOT_SPACE), text)
+    return F.when(strip(text) != "", text)
 
 
 def is_missing(text: Column) -> Column:
@@ -47,7 +51,7 @@ def normalise_header(text: Column) -> Column:
     leading space; ``# $ ( ) *`` are significant and stay.
     """
     separated = F.regexp_replace(F.lower(strip(text)), r"[-_/]+", " ")
-    return F.regexp_replace(separated, rf"(?U){_SPACE}+", " ")
+    return F.regexp_replace(separated, f"[{WHITE_SPACE}]+", " ")
 
 
 def is_us_date(text: Column) -> Column:

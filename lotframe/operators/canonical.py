@@ -62,16 +62,24 @@ def project_fields(lots: DataFrame, fields: Sequence[str]) -> DataFrame:
     symbol in place of their own symbol cell.
     """
     route = F.col("route")
+    slotted = lots.select(
+        "file",
+        "sheet_no",
+        "row_no",
+        "cells",
+        "fallback",
+        F.col("header.positions").alias("positions"),
+        F.when(route == "hybrid", 1).when(route == "group", F.col("header.symbol_at")).otherwise(0).alias("slot"),
+        F.when(route == "hybrid", F.col("hybrid_current")).otherwise(F.col("group_current")).alias("symbol"),
+    )
 
     def value(index: int) -> Column:
-        position = F.get("header.positions", F.lit(index))
-        carried = F.when((route == "hybrid") & (position == 1), F.col("hybrid_current")).when(
-            (route == "group") & (position == F.col("header.symbol_at")), F.col("group_current")
-        )
-        return F.when(position > 0, F.coalesce(carried, cell_at(position))).otherwise(F.get("fallback", F.lit(index)))
+        position = F.get("positions", F.lit(index))
+        shown = F.when(position == F.col("slot"), F.col("symbol")).otherwise(cell_at(position))
+        return F.when(position > 0, shown).otherwise(F.get("fallback", F.lit(index)))
 
     columns = [value(index).alias(field) for index, field in enumerate(fields)]
-    return lots.select("file", "sheet_no", "row_no", *columns)
+    return slotted.select("file", "sheet_no", "row_no", *columns)
 
 
 def fallback_rows(files: DataFrame, fields: Sequence[str]) -> DataFrame:
