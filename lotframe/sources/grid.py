@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .cells import ZIP_MAGIC, text_rows, workbook_rows
-from .manifest import manifest_entries, path_exists, qualified
+from .manifest import manifest_entries, path_length, qualified
 
 log = logging.getLogger(__name__)
 
@@ -84,15 +84,22 @@ def read_grid(
     Spark packs small files into tasks by ``spark.sql.files.maxPartitionBytes``.
     """
     found: dict[str, list[str] | None] = {}
+    empty = []
     for path, tabs in manifest_entries(entries, on_bad_file):
-        if path_exists(spark, path):
-            found[qualified(spark, path)] = tabs
-        else:
+        length = path_length(spark, path)
+        if length is None:
             log.warning("input file does not exist: %s", path)
+        elif length == 0:
+            # File scans leave these out, but such a file still counts as a report.
+            empty.append((qualified(spark, path), 0, None, 0, 0, []))
+        else:
+            found[qualified(spark, path)] = tabs
+    grid = spark.createDataFrame(empty, GRID_SCHEMA)
     if not found:
-        return spark.createDataFrame([], GRID_SCHEMA)
+        return grid
     selected = {path: tabs for path, tabs in found.items() if tabs}
-    return parse_files(spark.read.format("binaryFile").load(list(found)), selected, block_rows)
+    parsed = parse_files(spark.read.format("binaryFile").load(list(found)), selected, block_rows)
+    return parsed.unionByName(grid) if empty else parsed
 
 
 def read_folder(spark: SparkSession, folder: str, glob: str = "*", block_rows: int = BLOCK_ROWS) -> DataFrame:
