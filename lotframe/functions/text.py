@@ -26,13 +26,18 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+def _starts_visibly(text: Column) -> Column:
+    """First byte is a printable ASCII character: the cheap test for most cells."""
+    return (text >= "!") & (text < "\x7f")
+
+
 def is_blank(text: Column) -> Column:
     """True for null, empty and whitespace-only text."""
-    return F.coalesce(strip(text) == "", F.lit(True))
+    return F.when(_starts_visibly(text), False).otherwise(F.coalesce(strip(text) == "", F.lit(True)))
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.when(strip(text) != "", text)
+    return F.when(_starts_visibly(text), text).when(strip(text) != "", text)
 
 
 def is_missing(text: Column) -> Column:

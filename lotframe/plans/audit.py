@@ -22,20 +22,26 @@ def audit_of(parsed: Parsed, fields: Sequence[str]) -> DataFrame:
             F.sum("mapped").cast("long").alias("renamed_columns"),
         )
     )
-    extracted = parsed.lots.unionByName(parsed.fallback)
-    filled = clean.blanks_to_nulls(extracted, fields)
+    # One pass over the lots: equal rows collapse first, empty ones keep a flag.
+    extracted = parsed.lots.withColumn("from_table", F.lit(True)).unionByName(
+        parsed.fallback.withColumn("from_table", F.lit(False))
+    )
+    empty = F.coalesce(*[clean.quoted(field) for field in fields]).isNull()
     copies = (
-        clean.drop_empty_rows(filled, fields)
-        .groupBy("file", *map(clean.quoted, fields))
+        clean.blanks_to_nulls(extracted, fields)
+        .groupBy("file", "from_table", *map(clean.quoted, fields))
         .agg(F.count("*").alias("copies"))
         .groupBy("file")
-        .agg(F.count("*").alias("lots"), F.sum("copies").alias("_kept"))
+        .agg(
+            F.sum(F.when(F.col("from_table"), F.col("copies"))).alias("rows_extracted"),
+            F.count(F.when(~empty, 1)).alias("lots"),
+            F.sum(F.when(~empty, F.col("copies"))).alias("_kept"),
+        )
     )
-    rows = parsed.lots.groupBy("file").agg(F.count("*").alias("rows_extracted"))
     pairs = keyvalues.last_values(parsed.pairs).groupBy("file").agg(F.count("*").alias("key_values"))
     counts = ["tables", "empty_tables", "table_rows", "renamed_columns", "rows_extracted", "lots", "_kept", "key_values"]
     joined = parsed.files.select("file", F.when(F.col("is_hybrid"), "hybrid").otherwise("standard").alias("structure"))
-    for part in (tables, rows, copies, pairs):
+    for part in (tables, copies, pairs):
         joined = joined.join(part, "file", "left")
     joined = joined.na.fill(0, counts)
     return joined.select(

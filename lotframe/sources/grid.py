@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .cells import ZIP_MAGIC, text_rows, workbook_rows
+from .long_text import LONG_TEXT_BYTES, read_long_text
 from .manifest import manifest_entries, path_length, qualified
 
 log = logging.getLogger(__name__)
@@ -81,10 +83,11 @@ def read_grid(
 ) -> DataFrame:
     """Grid of the listed reports; missing files are skipped with a warning.
 
+    Long CSV texts are read by splits, all other files whole, one at a time.
     Spark packs small files into tasks by ``spark.sql.files.maxPartitionBytes``.
     """
     found: dict[str, list[str] | None] = {}
-    empty = []
+    empty, long = [], []
     for path, tabs in manifest_entries(entries, on_bad_file):
         length = path_length(spark, path)
         if length is None:
@@ -92,14 +95,17 @@ def read_grid(
         elif length == 0:
             # File scans leave these out, but such a file still counts as a report.
             empty.append((qualified(spark, path), 0, None, 0, 0, []))
+        elif length > LONG_TEXT_BYTES and path.lower().endswith(".csv"):
+            long.append(path)
         else:
             found[qualified(spark, path)] = tabs
-    grid = spark.createDataFrame(empty, GRID_SCHEMA)
-    if not found:
-        return grid
-    selected = {path: tabs for path, tabs in found.items() if tabs}
-    parsed = parse_files(spark.read.format("binaryFile").load(list(found)), selected, block_rows)
-    return parsed.unionByName(grid) if empty else parsed
+    parts = [spark.createDataFrame(empty, GRID_SCHEMA)] if empty or not (found or long) else []
+    if found:
+        selected = {path: tabs for path, tabs in found.items() if tabs}
+        parts.append(parse_files(spark.read.format("binaryFile").load(list(found)), selected, block_rows))
+    if long:
+        parts.append(read_long_text(spark, long))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_folder(spark: SparkSession, folder: str, glob: str = "*", block_rows: int = BLOCK_ROWS) -> DataFrame:

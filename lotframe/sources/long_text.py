@@ -1,0 +1,156 @@
+"""Text reports too large for one task, read by splits.
+
+A quoted cell may hold line breaks, so a line's meaning depends on whether a
+quote is open before it. Each line maps "closed" and "open" to a state at its
+end; these maps compose within a split, and one summary row per split carries
+the state and the current record over to the next.
+"""
+
+from __future__ import annotations
+
+import csv
+import io
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from .staging import stage
+
+LONG_TEXT_BYTES = 256 * 1024 * 1024
+ROWS_PER_BLOCK = 65_536
+
+_SPLIT = ("file", "split")
+_LINES = "file string, split long, line long, text binary, from_closed int, from_open int"
+
+
+def quote_open_after(text: str, is_open: bool) -> bool:
+    """Whether a quoted cell is open at the end of a line.
+
+    A quote opens a cell only as its first character; inside quotes a doubled
+    quote is text.
+    """
+    at, size = 0, len(text)
+    while at < size:
+        if is_open:
+            close = text.find('"', at)
+            if close < 0:
+                return True
+            at = close + 1
+            if at < size and text[at] == '"':
+                at += 1
+                continue
+            is_open = False
+        elif text[at] == '"':
+            is_open, at = True, at + 1
+            continue
+        comma = text.find(",", at)
+        if comma < 0:
+            return False
+        at = comma + 1
+    return is_open
+
+
+def _with_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ends: list[list[int]] = [[], []]
+        for raw in batch["text"].to_pylist():
+            quoted = b'"' in raw
+            text = raw.decode("utf-8", errors="ignore") if quoted else ""
+            for state in (0, 1):
+                ends[state].append(int(quote_open_after(text, bool(state))) if quoted else state)
+        columns = [batch[name] for name in ("file", "split", "line", "text")]
+        columns += [pa.array(end, pa.int32()) for end in ends]
+        yield pa.RecordBatch.from_arrays(columns, ["file", "split", "line", "text", "from_closed", "from_open"])
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    csv.field_size_limit(2**31 - 1)
+    for batch in batches:
+        cells = []
+        for raw in batch["text"].to_pylist():
+            text = raw.decode("utf-8", errors="ignore")
+            cells.append(next(csv.reader(io.StringIO(text)), []))
+        columns = [batch["file"], batch["split"], batch["line"], pa.array(cells, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, ["file", "split", "line", "cells"])
+
+
+def _follow(lines: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """State after each row if ``keys`` begin closed (``s0``) and open (``s1``).
+
+    The last row with one outcome for both states decides, flipped by every
+    swap of the states after it.
+    """
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    fixed = F.col("from_closed") == F.col("from_open")
+    swaps = F.sum(F.when(~fixed & (F.col("from_closed") == 1), 1).otherwise(0)).over(so_far)
+    counted = lines.withColumn("_swaps", swaps)
+    mark = F.last(F.when(fixed, F.struct("from_closed", "_swaps")), ignorenulls=True).over(so_far)
+
+    def after(start: int) -> Column:
+        base = F.coalesce(F.col("_mark.from_closed"), F.lit(start))
+        return ((base + F.col("_swaps") - F.coalesce(F.col("_mark._swaps"), F.lit(0))) % 2).cast("int")
+
+    return counted.withColumn("_mark", mark).withColumns({"s0": after(0), "s1": after(1)}).drop("_mark", "_swaps")
+
+
+def read_long_text(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Grid of CSV text files of any size; row numbers increase but have gaps."""
+    raw = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("line"),
+        F.col("value").cast("binary").alias("text"),
+    )
+    # Staged because the line numbers must be the same wherever they are read.
+    lines = stage(raw.mapInArrow(_with_states, _LINES), "long-text")
+    followed = _follow(lines, _SPLIT, "line")
+
+    in_split = Window.partitionBy(*_SPLIT).orderBy("line")
+    along = Window.partitionBy("file").orderBy("split")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+
+    ends = followed.groupBy(*_SPLIT).agg(
+        F.max_by("s0", "line").alias("from_closed"), F.max_by("s1", "line").alias("from_open")
+    )
+    opened = _follow(ends, ["file"], "split").select(
+        *_SPLIT, F.coalesce(F.lag("s0").over(along), F.lit(0)).alias("entry")
+    )
+    placed = followed.join(opened, list(_SPLIT)).withColumn(
+        "state", F.when(F.col("entry") == 0, F.col("s0")).otherwise(F.col("s1"))
+    )
+    placed = placed.withColumn("starts", F.coalesce(F.lag("state").over(in_split), F.col("entry")) == 0)
+
+    single = placed.filter(F.col("starts") & (F.col("state") == 0)).select(*_SPLIT, "line", "text")
+    last_start = F.max(F.when(F.col("starts"), F.struct("split", "line")))
+    carried = placed.groupBy(*_SPLIT).agg(last_start.alias("_last")).select(
+        *_SPLIT, F.last("_last", ignorenulls=True).over(before).alias("_carried")
+    )
+    so_far = in_split.rowsBetween(Window.unboundedPreceding, 0)
+    parts = (
+        placed.withColumn("_own", last_start.over(so_far))
+        .filter(~(F.col("starts") & (F.col("state") == 0)))
+        .join(carried, list(_SPLIT))
+        .select("file", F.coalesce("_own", "_carried").alias("record"), F.struct("split", "line", "text").alias("part"))
+    )
+    # Only records that do span lines are brought together.
+    pieces = F.transform(F.sort_array(F.collect_list("part")), lambda p: p["text"].cast("string"))
+    whole = parts.groupBy("file", "record").agg(F.array_join(pieces, "\n").cast("binary").alias("text"))
+    records = single.unionByName(
+        whole.select("file", F.col("record.split").alias("split"), F.col("record.line").alias("line"), "text")
+    )
+    parsed = records.mapInArrow(_parse, "file string, split long, line long, cells array<string>")
+    # Every row takes a byte at least, so numbering from the split's offset keeps rows apart.
+    index = F.row_number().over(in_split) - 1
+    first = (F.col("split") == 0) & (F.col("_index") == 0)
+    unmarked = F.transform(
+        "cells", lambda cell, i: F.when((i == 0) & cell.startswith("\ufeff"), F.substring(cell, F.lit(2), F.length(cell))).otherwise(cell)
+    )
+    return parsed.withColumn("_index", index).select(
+        "file",
+        F.lit(0).alias("sheet_no"),
+        F.lit(None).cast("string").alias("sheet"),
+        (F.col("split") + F.floor(F.col("_index") / ROWS_PER_BLOCK)).cast("long").alias("block"),
+        (F.col("split") + F.col("_index")).cast("long").alias("row_no"),
+        F.when(first, unmarked).otherwise(F.col("cells")).alias("cells"),
+    )

@@ -44,7 +44,7 @@ def cells_of(grid):
 
 
 def test_text_rows():
-    content = "﻿a,b\r\n\r\n\"x\ny\",\"1,000\"\r\n \n\"q\"\"\",z".encode() + b"\xff!\n"
+    content = "\ufeffa,b\r\n\r\n\"x\ny\",\"1,000\"\r\n \n\"q\"\"\",z".encode() + b"\xff!\n"
     assert list(text_rows(content)) == [["a", "b"], [], ["x\ny", "1,000"], [" "], ['q"', "z!"]]
     assert list(text_rows(b"")) == []
 
