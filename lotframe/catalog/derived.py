@@ -96,37 +96,24 @@ def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _literal_rows(file: Column, rows: list[tuple[int, list]]) -> Column:
-    structs = [
-        F.struct(
-            F.lit(row_no).cast("long").alias("row_no"),
-            F.array(*[c if isinstance(c, Column) else F.lit(c) for c in cells]).cast("array<string>").alias("cells"),
-        )
-        for row_no, cells in rows
-    ]
-    return F.inline(F.array(*structs))
+def _head_rows(first_rows: list[list]) -> Column:
+    rows = [F.array(*[cell if isinstance(cell, Column) else F.lit(cell) for cell in cells]) for cells in first_rows]
+    return F.array(*[row.cast("array<string>") for row in rows])
 
 
-def report_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def report_heads(lines: DataFrame) -> DataFrame:
     """The first lines of every report: titles, key-values, side tables, header."""
     supp = F.col("suppkey")
     account_no = F.concat(F.lit("Acct No: "), (supp + 9000).cast("string"), F.lit("; Currency: USD"))
-    top = [(0, ["Statement of holdings"]), (1, ["Acct No: draft"]), (2, [account_no]), (3, [])]
-    flat = [*top, (4, ["Filter", "Setting"]), (5, ["Currency", "USD"]), (6, ["", ""]), (7, FLAT_HEADER)]
-    hybrid = [
-        *top,
-        (4, ["Account", "Net Account Value", "Total Gain $"]),
-        (5, [F.concat(F.lit("S"), supp.cast("string")), "0", "0"]),
-        (6, [" "]),
-        (7, HYBRID_HEADER),
-    ]
-    grouped = [*top, (4, ["Holdings by security"]), (5, ["Prepared for clients"]), (6, []), (7, GROUP_HEADER)]
-    suppliers = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("suppkey")).distinct()
-    heads = None
-    for layout, rows in enumerate((flat, hybrid, grouped)):
-        part = suppliers.filter(supp % 3 == layout).select("suppkey", _literal_rows(supp, rows))
-        heads = part if heads is None else heads.unionByName(part)
-    return heads.select("suppkey", F.lit(0).cast("long").alias("block"), "row_no", "cells")
+    top: list[list] = [["Statement of holdings"], ["Acct No: draft"], [account_no], []]
+    summary = [F.concat(F.lit("S"), supp.cast("string")), "0", "0"]
+    flat = [*top, ["Filter", "Setting"], ["Currency", "USD"], ["", ""], FLAT_HEADER]
+    hybrid = [*top, ["Account", "Net Account Value", "Total Gain $"], summary, [" "], HYBRID_HEADER]
+    grouped = [*top, ["Holdings by security"], ["Prepared for clients"], [], GROUP_HEADER]
+    layout = supp % 3
+    rows = F.when(layout == 0, _head_rows(flat)).when(layout == 1, _head_rows(hybrid)).otherwise(_head_rows(grouped))
+    heads = lines.select("suppkey").distinct().select("suppkey", F.posexplode(rows).alias("row_no", "cells"))
+    return heads.select("suppkey", F.lit(0).cast("long").alias("block"), F.col("row_no").cast("long").alias("row_no"), "cells")
 
 
 def report_grid(spark: SparkSession, sf_dir: str, orders_per_block: int = ORDERS_PER_BLOCK) -> DataFrame:
@@ -137,6 +124,9 @@ def report_grid(spark: SparkSession, sf_dir: str, orders_per_block: int = ORDERS
     numbering splits a large report over many tasks.
     """
     facts = lot_facts(spark, sf_dir).withColumn("block", F.expr(f"1 + orderkey div {orders_per_block}"))
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey as suppkey", "cast(l_suppkey % 3 as int) as layout", f"1 + l_orderkey div {orders_per_block} as block"
+    )
     day = (
         "case layout when 0 then date_format(day, 'yyyy-MM-dd') when 1 then date_format(day, 'MM/dd/yyyy')"
         " else date_format(day, 'M/d/yyyy') end"
@@ -163,7 +153,7 @@ def report_grid(spark: SparkSession, sf_dir: str, orders_per_block: int = ORDERS
                     {money('cost')}, {money('value')}, type) end as cells""",
         )
     )
-    edges = facts.filter("layout <> 0").select("suppkey", "layout", "block").distinct()
+    edges = lines.filter("layout <> 0").distinct()
     top_rows = edges.filter("layout = 2").selectExpr(
         "suppkey", "block", "-1L as partkey", "0 as kind", "0L as orderkey", "0 as linenumber", "0L as cost",
         "array('Mutual Fund', '', '', '', '', '', '', '') as cells",
@@ -184,7 +174,7 @@ def report_grid(spark: SparkSession, sf_dir: str, orders_per_block: int = ORDERS
         .withColumn("row_no", F.col("block") * _BLOCK_SPAN + F.row_number().over(order))
         .select("suppkey", "block", "row_no", "cells")
     )
-    return report_heads(spark, sf_dir).unionByName(body).select(
+    return report_heads(lines).unionByName(body).select(
         F.concat(F.lit("/reports/B"), F.col("suppkey").cast("string"), F.lit("_2002.csv")).alias("file"),
         F.lit(0).alias("sheet_no"),
         F.lit(None).cast("string").alias("sheet"),
