@@ -11,10 +11,10 @@ from ..operators import canonical, clean
 from ..operators.prefix import running_row_number
 from ..sources.flat import read_flat
 from ..sources.grid import read_grid
-from ..sources.manifest import choose_entries, manifest_frame
+from ..sources.manifest import choose_entries, manifest_frame, path_exists
 from ..sources.mapping import DEFAULT_SYNONYMS
 from ..sources.sinks import run_timestamp, with_previous, write_lots
-from ..sources.staging import stage
+from ..sources.staging import discarding_stages, stage
 from .ingest import ingest
 from .metrics import with_metrics
 
@@ -105,20 +105,20 @@ def run(
     """
     fields = canonical.parse_fields(settings.get("OUTPUT_FIELDS"))
     entries = choose_entries(files, settings)
-    lots = lots_of_files(spark, entries, fields, synonyms or DEFAULT_SYNONYMS, keep_order=not append)
     folder = settings.get("OUTPUT_DIR") or "./out"
     stamp = timestamp or run_timestamp()
-    if append:
-        lots = with_previous(lots, folder, stamp, fields)
     config = settings.get("METRICS") or {}
     returns = config.get("RETURNS") or {}
-    series = [
-        return_series(spark, returns[name], returns.get("COLUMN", "return"))
-        for name in ("PORTFOLIO_FILE", "BENCHMARK_FILE")
-        if returns.get(name)
-    ]
-    portfolio, benchmark = series if len(series) == 2 else (None, None)
-    return write_lots(with_metrics(lots, config, portfolio, benchmark, as_of), folder, stamp)
+    given = [returns.get(name) for name in ("PORTFOLIO_FILE", "BENCHMARK_FILE")]
+    with discarding_stages(spark):
+        lots = lots_of_files(spark, entries, fields, synonyms or DEFAULT_SYNONYMS, keep_order=not append)
+        if append:
+            lots = with_previous(lots, folder, stamp, fields)
+        portfolio = benchmark = None
+        if all(path and path_exists(spark, path) for path in given):
+            column = returns.get("COLUMN", "return")
+            portfolio, benchmark = (return_series(spark, path, column) for path in given)
+        return write_lots(with_metrics(lots, config, portfolio, benchmark, as_of), folder, stamp)
 
 
 def clean_with_counts(lots: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, dict[str, Observation]]:

@@ -8,9 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths_in_scope: ContextVar[list[str] | None] = ContextVar("_paths_in_scope", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder in local mode only."""
@@ -25,7 +30,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/lotframe/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lotframe/{name}-{uuid.uuid4().hex}"
+    paths = _paths_in_scope.get()
+    if paths is not None:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def discarding_stages(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables staged inside the block when it ends.
+
+    For jobs that write their result inside the block; a DataFrame that leaves
+    it would miss its tables.
+    """
+    paths: list[str] = []
+    token = _paths_in_scope.set(paths)
+    try:
+        yield
+    finally:
+        _paths_in_scope.reset(token)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

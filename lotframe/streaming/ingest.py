@@ -11,7 +11,7 @@ from ..operators import canonical, clean
 from ..plans.ingest import ingest
 from ..sources.grid import parse_files
 from ..sources.manifest import path_exists
-from ..sources.staging import stage
+from ..sources.staging import discarding_stages, stage
 
 _FILES_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -33,12 +33,13 @@ def append_batch(
     the earlier ones only, so a replayed batch gives the same sink.
     """
     spark = files.sparkSession
-    lots = ingest(stage(parse_files(files), "grid"), fields, synonyms)
-    if path_exists(spark, sink):
-        types = ", ".join(f"`{field}` string" for field in fields)
-        existing = spark.read.schema(f"{types}, batch_id long").parquet(sink).filter(F.col("batch_id") < batch_id)
-        lots = new_lots(lots, existing.select(*map(clean.quoted, fields)), fields)
-    lots.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+    with discarding_stages(spark):
+        lots = ingest(stage(parse_files(files), "grid"), fields, synonyms)
+        if path_exists(spark, sink):
+            types = ", ".join(f"`{field}` string" for field in fields)
+            existing = spark.read.schema(f"{types}, batch_id long").parquet(sink).filter(F.col("batch_id") < batch_id)
+            lots = new_lots(lots, existing.select(*map(clean.quoted, fields)), fields)
+        lots.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
 
 def stream_reports(

@@ -1,3 +1,4 @@
+import pathlib
 import zipfile
 
 import pytest
@@ -9,6 +10,7 @@ from lotframe.sources.cells import text_rows
 from lotframe.sources.grid import read_folder, read_grid, select_sheets
 from lotframe.sources.manifest import choose_entries, manifest_entries, manifest_frame
 from lotframe.sources.sinks import latest_version, lots_path, read_lots
+from lotframe.sources.staging import shared_folder
 from lotframe.streaming.ingest import stream_reports
 
 from reports import FILES, FLAT, HYBRID, LOTS
@@ -130,7 +132,10 @@ def test_run_in_order_with_metrics_and_append(spark, tmp_path):
         "METRICS": {"RETURNS": {"PORTFOLIO_FILE": str(returns), "BENCHMARK_FILE": str(returns)}},
     }
     as_of = F.lit("2024-01-15").cast("date")
+    staged = pathlib.Path(shared_folder(spark)) / "lotframe"
+    before = set(staged.glob("*"))
     written = run(spark, settings, timestamp="20240101_000000", as_of=as_of)
+    assert set(staged.glob("*")) == before
     assert written.endswith("/portfolio-20240101_000000/v1")
     out = spark.read.option("header", True).csv(written).collect()
     assert [row["Broker"] for row in out] == ["DD", "DD", "AA", "AA"]
