@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
@@ -13,10 +14,12 @@ from ..sources.flat import read_flat
 from ..sources.grid import read_grid
 from ..sources.manifest import choose_entries, manifest_frame, path_exists
 from ..sources.mapping import DEFAULT_SYNONYMS
-from ..sources.sinks import run_timestamp, with_previous, write_lots
+from ..sources.sinks import run_timestamp, with_previous, write_lots, write_report
 from ..sources.staging import discarding_stages, stage
 from .ingest import ingest
-from .metrics import with_metrics
+from .metrics import metrics_report, with_metrics
+
+log = logging.getLogger(__name__)
 
 
 def read_reports(spark: SparkSession, entries: Iterable[str | dict], on_bad_file: str = "fail") -> DataFrame:
@@ -121,6 +124,58 @@ def run(
         return write_lots(with_metrics(lots, config, portfolio, benchmark, as_of), folder, stamp)
 
 
+def report(
+    spark: SparkSession,
+    folder: str,
+    holdings: str | None = None,
+    portfolio_returns: str | None = None,
+    benchmark_returns: str | None = None,
+    values_csv: str | None = None,
+    date_column: str = "Date",
+    value_column: str = "Value",
+    beta_column: str = "Beta",
+    weight_column: str = "Value",
+    fixed_growth: tuple[float, float, float] | None = None,
+    timestamp: str | None = None,
+) -> dict[str, str]:
+    """The metrics report of the given files as JSON and CSV; returns their paths.
+
+    A file that is missing or lacks its columns leaves its metric null. Return
+    files count by their first column.
+    """
+    given = {
+        "holdings": holdings,
+        "portfolio_returns": portfolio_returns,
+        "benchmark_returns": benchmark_returns,
+        "values_csv": values_csv,
+    }
+    present = {name: path for name, path in given.items() if path and path_exists(spark, path)}
+    stamp = timestamp or run_timestamp()
+    with discarding_stages(spark):
+        portfolio = benchmark = values = None
+        if {"portfolio_returns", "benchmark_returns"} <= present.keys():
+            portfolio = return_series(spark, present["portfolio_returns"])
+            benchmark = return_series(spark, present["benchmark_returns"])
+        if "values_csv" in present:
+            try:
+                values = value_series(spark, present["values_csv"], date_column, value_column)
+            except KeyError as error:
+                log.warning("no growth from values: %s", error)
+        positions = read_flat(spark, present["holdings"]) if "holdings" in present else None
+        found = metrics_report(
+            spark,
+            positions,
+            portfolio,
+            benchmark,
+            values,
+            {name: path for name, path in given.items() if path},
+            beta_column,
+            weight_column,
+            fixed_growth,
+        )
+        return write_report(found.select(F.lit(stamp).alias("timestamp"), "*"), folder, stamp)
+
+
 def clean_with_counts(lots: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, dict[str, Observation]]:
     """Cleaned lots and the observations of rows in, non-empty rows and lots out.
 

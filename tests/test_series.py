@@ -140,6 +140,21 @@ def test_series_files(spark, tmp_path):
         jobs.value_series(spark, str(path))
 
 
+def test_report_of_files(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("r,x\n1.0,9\n2.0,9\n4.0,9\n")
+    (tmp_path / "b.csv").write_text("r\n0.01\n0.02\n0.04\n")
+    (tmp_path / "h.csv").write_text("Symbol,Value,Beta\nA,1,3\n")
+    (tmp_path / "v.csv").write_text("Date,Value\n2020-01-01,100\n,7\n2021-01-01,110\n")
+    at = {name: str(tmp_path / f"{name}.csv") for name in "pbhv"}
+    paths = jobs.report(spark, str(tmp_path / "out"), at["h"], at["p"], at["b"], at["v"], timestamp="t")
+    row = spark.read.json(paths["json"]).first()
+    assert row["metrics"]["beta"] == pytest.approx(1.0) and row["metrics"]["beta_method"] == "timeseries"
+    assert row["metrics"]["cagr"] == pytest.approx(1.1 ** (365.25 / 366) - 1)
+    paths = jobs.report(spark, str(tmp_path / "out"), at["h"], "/none.csv", at["b"], at["b"], timestamp="u")
+    row = spark.read.json(paths["json"]).first()
+    assert row["metrics"]["beta"] == 3.0 and row["metrics"]["cagr"] is None and row["timestamp"] == "u"
+
+
 def test_cleaning(spark):
     rows = [(" a ", "1"), (" a ", "1"), (" ", ""), (None, None), (None, "1"), (None, "1")]
     lots = spark.createDataFrame(rows, "`x y` string, `n#` string")
