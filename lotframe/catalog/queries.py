@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import (
-    blank_to_null,
     broker_from_path,
     cagr,
     cagr_from_text,

@@ -109,14 +109,21 @@ def read_grid(
 
 
 def read_folder(spark: SparkSession, folder: str, glob: str = "*", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Grid of all reports below a folder, listed by Spark and not by the driver's caller."""
+    """Grid of all reports below a folder, listed by Spark and not by the caller.
+
+    Only the paths of long texts come to the driver, one per
+    ``LONG_TEXT_BYTES`` of data at most; they are read by splits.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .load(folder)
     )
-    return parse_files(files, None, block_rows)
+    is_long = (F.col("length") > LONG_TEXT_BYTES) & ~F.col("path").rlike("(?i)[.]xlsx?$")
+    long = [row["path"] for row in files.filter(is_long).select("path").collect()]
+    grid = parse_files(files.filter(~is_long), None, block_rows)
+    return grid.unionByName(read_long_text(spark, long)) if long else grid
 
 
 def select_sheets(grid: DataFrame, tabs: Sequence[str] | None) -> DataFrame:

@@ -2,12 +2,12 @@ import csv
 import io
 
 import pytest
-from hypothesis import HealthCheck, given, settings, strategies as st
+from hypothesis import given, settings, strategies as st
 
 from lotframe.plans.ingest import ingest
 from lotframe.sources import grid as grid_module
 from lotframe.sources.cells import text_rows
-from lotframe.sources.grid import read_grid
+from lotframe.sources.grid import read_folder, read_grid
 from lotframe.sources.long_text import quote_open_after, read_long_text
 
 from reports import FILES, LOTS
@@ -60,3 +60,11 @@ def test_long_reports_give_the_same_lots(spark, tmp_path, tiny_splits, monkeypat
         (tmp_path / name).write_text(text)
     lots = ingest(read_grid(spark, [str(tmp_path / name) for name in FILES])).collect()
     assert {tuple(row) for row in lots} == LOTS
+
+
+def test_folder_scan_splits_long_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(grid_module, "LONG_TEXT_BYTES", 100)
+    (tmp_path / "long.csv").write_text('a,"x\ny"\n' * 20)
+    (tmp_path / "short.csv").write_text("b,c\n")
+    found = read_folder(spark, str(tmp_path)).collect()
+    assert sum(row.cells == ["a", "x\ny"] for row in found) == 20 and len(found) == 21
