@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..sources.staging import stage
 from .columns import documents, nullable_key, word_count, words
 
-BLOCK_WORDS = 128
+BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 SEED = 20261
 MAX_REPEATS = 3
