@@ -6,11 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html import op6_tree_scores
+from .language import op10_language_profiles
 from .mixing import op1_mix_sources
+from .near_duplicates import op9_simhash_components
+from .quality import op7_quality_outliers
+from .secrets import op4_guess_cost_secrets
 from .sharding import op8_hilbert_shards
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mix_sources": op1_mix_sources,
-    "op8_hilbert_shards": op8_hilbert_shards,
-}
+_ALL = (
+    op1_mix_sources,
+    op4_guess_cost_secrets,
+    op6_tree_scores,
+    op7_quality_outliers,
+    op8_hilbert_shards,
+    op9_simhash_components,
+    op10_language_profiles,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {query.__name__: query for query in _ALL}
 ORACLES: dict[str, str] = {}
