@@ -13,10 +13,14 @@ from .near_duplicates import op9_simhash_components
 from .quality import op7_quality_outliers
 from .secrets import op4_guess_cost_secrets
 from .sharding import op8_hilbert_shards
+from .substring_dedup import op3_relative_parsing
+from .token_files import op5_token_files
 
 _ALL = (
     op1_mix_sources,
+    op3_relative_parsing,
     op4_guess_cost_secrets,
+    op5_token_files,
     op6_tree_scores,
     op7_quality_outliers,
     op8_hilbert_shards,
