@@ -91,8 +91,8 @@ def permuted(df: DataFrame, value: str, length: str, salts: list[Column], into:
 
 def sized_documents(docs: DataFrame) -> DataFrame:
     return docs.select(
-        "doc_id", "source", "text", nullable_key("source").alias("src"), word_count(F.col("text")).alias("size"),
-        F.xxhash64("text").alias("_tie"),
+        "doc_id", "source", "text", *[name for name in ("lang",) if name in docs.columns],
+        nullable_key("source").alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"),
     )
 
 
@@ -154,7 +154,7 @@ class Mix:
     ):
         spark = docs.sparkSession
         self.sized = sized_documents(docs)
-        slim = stage(self.sized.drop("text"), "mix-sizes")
+        slim = stage(self.sized.drop("text", "lang"), "mix-sizes")
         self.quotas = stage(slot_quotas(slim, block_words).coalesce(1), "mix-quotas")
         n_slots, n_rows = self.quotas.agg(F.sum("slots")).first()[0] or 0, slim.count()
         self.chunks = -(-n_rows // CHUNK_ROWS) or 1
@@ -174,7 +174,7 @@ class Mix:
         )
 
     def texts(self) -> DataFrame:
-        """One row per document and pass: ``doc_id``, ``source``, ``text`` of the words taken in that pass.
+        """One row per document and pass: ``doc_id``, ``source``, ``lang`` if given, ``text`` of the words taken in that pass.
 
         A document taken whole keeps its text as it is; otherwise the taken words
         are joined by one space.
@@ -186,7 +186,8 @@ class Mix:
         cut = F.flatten(F.transform("spans", lambda s: F.slice("_words", (s.first_word + 1).cast("int"), s.n_words.cast("int"))))
         full = full.withColumn("_words", F.when(F.col("taken") < F.col("size"), words(F.col("text"))))
         text = F.when(F.col("taken") < F.col("size"), F.array_join(cut, " ")).otherwise(F.col("text"))
-        return full.select("doc_id", "source", "pass_no", text.alias("text"))
+        lang = ["lang"] if "lang" in self.sized.columns else []
+        return full.select("doc_id", "source", *lang, "pass_no", text.alias("text"))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op2_spaced_seeds
 from .html import op6_tree_scores
 from .language import op10_language_profiles
 from .mixing import op1_mix_sources
@@ -18,6 +19,7 @@ from .token_files import op5_token_files
 
 _ALL = (
     op1_mix_sources,
+    op2_spaced_seeds,
     op3_relative_parsing,
     op4_guess_cost_secrets,
     op5_token_files,
