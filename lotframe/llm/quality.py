@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.staging import stage
-from .columns import documents
+from .columns import documents, held, released
 from .tokens import Words, covered, portions
 
 MIN_WORDS = 20
@@ -179,13 +179,14 @@ def estimates(rows: DataFrame) -> DataFrame:
             # Scaled so that the middle distance is that of a normal distribution.
             (F.pow(F.lit(2.0), reached(0.5) / BINS_PER_OCTAVE) / MEDIAN_SQUARE).alias("scale"),
         )
-        near = apart.join(limits, "grp").where(F.col("_bin") <= F.col("_last"))
+        # One row per group, staged so that its size is known: rows of a group stay where they are.
+        near = apart.join(stage(limits.coalesce(1), "mcd-limits"), "grp").where(F.col("_bin") <= F.col("_last"))
         fit = _solved(near.groupBy("grp").agg(_moments("v").alias("moments"), F.max("scale").alias("scale")))
     return fit
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_counts``, ``_base_failed``, ``_distance`` and ``_kept``."""
+def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` as the struct ``_doc``, with ``_counts``, ``_base_failed``, ``_distance`` and ``_kept``."""
     counted = with_counts(docs.select("lang", "source", "text"))
     vectors = stage(
         counted.select(group_levels().alias("levels"), statistics("_counts").alias("v"), base_failed("_counts").alias("out")),
@@ -199,21 +200,21 @@ def judged(docs: DataFrame) -> DataFrame:
         F.max_by(F.struct("mean", "inverse"), F.col("grp").substr(1, 1)).alias("fit")
     )
     best = stage(best.select("_group", "fit.mean", "fit.inverse").coalesce(1), "quality-fits")
-    full = with_counts(docs).withColumns({"_group": group_levels()[0], "_v": statistics("_counts")})
+    full = with_counts(docs.select(held(keep), "lang", "source", "text")).withColumns({"_group": group_levels()[0], "_v": statistics("_counts")})
     full = full.join(best, "_group", "left").withColumn("_base_failed", base_failed("_counts"))
     full = full.withColumn("_distance", squared_distance("_v"))
     return full.withColumn("_kept", ~F.col("_base_failed") & F.coalesce(F.col("_distance") <= CUTOFF, F.lit(False)))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    names = docs.columns
-    return judged(docs).where("_kept").select(*[F.col(f"`{name}`") for name in names])
+    """``docs`` without those that a rule or the estimates reject."""
+    return judged(docs, docs.columns).where("_kept").select(*released(docs.columns))
 
 
 def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = judged(documents(spark, sf_dir))
+    kept = judged(documents(spark, sf_dir), ["doc_id"])
     counts = [F.col(f"_counts.{name}").alias(name) for name in COUNTS[:5]]
     return kept.select(
-        "doc_id", *counts, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"),
+        "_doc.doc_id", *counts, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"),
         F.round("_distance", 6).alias("distance"),
     )
