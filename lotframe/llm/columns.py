@@ -30,6 +30,15 @@ def nullable_key(name: str) -> Column:
     return F.coalesce(F.concat(F.lit("v"), F.col(name).cast("string")), F.lit("n"))
 
 
+def held(names: list[str]) -> Column:
+    """The caller's columns as one struct, so that no name of an operator's own can clash with theirs."""
+    return (F.struct(*[F.col(f"`{name}`") for name in names]) if names else F.struct(F.lit(0).alias("_"))).alias("_doc")
+
+
+def released(names: list[str]) -> list[Column]:
+    return [F.col("_doc").getField(name).alias(name) for name in names]
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Equal for equal documents only (64 bits); rows that repeat a document share it."""
     return F.xxhash64(F.lit(1), F.col(doc_id), F.lit(2), F.col(text), F.col(text).isNull())

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .columns import documents, row_key
+from .columns import documents, held, released, row_key
 
 SPAN = 12
 #: Places of the window that count, of three and two gaps.
@@ -106,8 +106,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     found = contaminated(docs, benchmark).select("_row").distinct()
-    names = [F.col(f"`{name}`") for name in docs.columns]
-    return docs.withColumn("_row", row_key()).join(found, "_row", "left_anti").select(*names)
+    keyed = docs.select(held(docs.columns), row_key().alias("_row"))
+    return keyed.join(found, "_row", "left_anti").select(*released(docs.columns))
 
 
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

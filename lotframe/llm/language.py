@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .columns import documents
+from .columns import documents, held, released
 from .tokens import mix64, portions
 
 DIMENSIONS = 1024
@@ -151,8 +151,9 @@ def predicted(docs: DataFrame, prototypes: DataFrame) -> DataFrame:
             yield pd.DataFrame({"lang_pred": names, "score": np.clip(scores, 0, 1)})
 
     result = F.pandas_udf(predict, "lang_pred string, score double")
-    kept = [F.col(f"`{name}`") for name in docs.columns if name not in ("lang_pred", "score")]
-    return docs.withColumn("_found", result(F.col("text"))).select(*kept, "_found.lang_pred", "_found.score")
+    kept = [name for name in docs.columns if name not in ("lang_pred", "score")]
+    found = docs.select(held(kept), result(F.col("text")).alias("_found"))
+    return found.select(*released(kept), "_found.lang_pred", "_found.score")
 
 
 def op10_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,7 +119,7 @@ def drawn_slots(spark: SparkSession, quotas: DataFrame, n_slots: int, seed: int,
     )
     places = spark.range(n_slots).withColumn("page", F.floor(F.col("id") / F.lit(PAGE)))
     owned = places.join(pages, "page").where((F.col("id") >= F.col("first_slot")) & (F.col("id") <= last))
-    owned = owned.withColumn("_n", F.lit(n_slots).cast("long"))
+    owned = owned.withColumn("_n", F.lit(max(n_slots, 1)).cast("long"))
     owned = permuted(owned, "id", "_n", [F.lit(seed)], "_out")
     owned = owned.withColumn("_j", F.col("id") - F.col("first_slot"))
     owned = owned.withColumn("pass_no", F.floor(F.col("_j") / F.col("n_blocks")).cast("int"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.staging import stage
-from .columns import documents
+from .columns import documents, held, released
 from .components import components
 from .tokens import mix64
 
@@ -76,7 +76,8 @@ def with_fingerprint(docs: DataFrame, shingle_words: int, into: str = "fp") -> D
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+    # Of a signed number, the bits of its absolute value would be counted.
+    return np.bitwise_count((a ^ b).view(np.uint64))
 
 
 def vantage_tree(points: np.ndarray, leaf_size: int) -> list[tuple[int, int, int, int]]:
@@ -344,10 +345,10 @@ def one_per_component(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     Rows without doc_id can't name a component and stay as they are.
     """
-    keepers = found.select(F.col("component_id").alias("_keeper")).where("_keeper is not null").distinct()
-    names = [F.col(f"`{name}`") for name in docs.columns]
-    named = docs.where("doc_id is not null").join(keepers, F.col("doc_id") == F.col("_keeper"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*names)
+    keepers = found.select(F.col("component_id").alias("_id")).where("_id is not null").distinct()
+    rows = docs.select(held(docs.columns), F.col("doc_id").alias("_id"))
+    named = rows.where("_id is not null").join(keepers, "_id", "left_semi").dropDuplicates(["_id"])
+    return named.unionByName(rows.where("_id is null")).select(*released(docs.columns))
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .columns import documents
+from .columns import documents, held, released
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(
@@ -171,8 +171,9 @@ def scanned(docs: DataFrame) -> DataFrame:
     """``docs`` with counts per kind, ``base`` and ``spans`` (kind:start:end, by start)."""
     fields = ("n_assign", "n_access", "n_hex", "n_guess", "base", "spans")
     scan = F.pandas_udf(_scan_batches, "n_assign long, n_access long, n_hex long, n_guess long, base string, spans string")
-    kept = [F.col(f"`{name}`") for name in docs.columns if name not in fields]
-    return docs.withColumn("_found", scan(F.col("text"))).select(*kept, *[F.col(f"_found.{name}") for name in fields])
+    kept = [name for name in docs.columns if name not in fields]
+    found = docs.select(held(kept), scan(F.col("text")).alias("_found"))
+    return found.select(*released(kept), *[F.col(f"_found.{name}") for name in fields])
 
 
 def op4_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

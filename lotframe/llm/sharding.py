@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..sources.staging import stage
-from .columns import documents, nullable_key
+from .columns import documents, held, nullable_key, released
 
 N_SHARDS = 24
 BITS = 5
@@ -62,48 +62,55 @@ def hilbert_index(df: DataFrame, axes: list[str], bits: int, into: str) -> DataF
 
 
 def levels(docs: DataFrame, column: str, into: str, bits: int) -> DataFrame:
-    """One row per value of ``column``, its rank scaled to ``2 ** bits`` levels."""
+    """One row per value of ``column``, its rank scaled to ``2 ** bits`` levels; staged, so that its size is known."""
     values = docs.select(nullable_key(column).alias(f"_key_{into}")).distinct()
     rank = F.row_number().over(Window.orderBy(f"_key_{into}")) - 1
     total = F.count("*").over(Window.partitionBy())
-    return values.withColumn(into, F.floor(rank * F.lit(1 << bits) / total).cast("long"))
+    scaled = values.withColumn(into, F.floor(rank * F.lit(1 << bits) / total).cast("long"))
+    return stage(scaled.coalesce(1), "hilbert-levels")
 
 
-def hilbert_shards(docs: DataFrame, n_shards: int = N_SHARDS, bits: int = BITS) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot``; counts of shards differ by one at most."""
-    docs = docs.select([F.col(f"`{name}`") for name in docs.columns if name not in ("shard", "slot", "_curve")])
+def hilbert_shards(
+    docs: DataFrame, n_shards: int = N_SHARDS, bits: int = BITS, size: Column | None = None, tie: Column | None = None
+) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot``; counts of shards differ by one at most.
+
+    ``size`` (the third dimension) and ``tie`` (a hash that orders the rows of a
+    cell) are made from doc_id and text unless given. Rows are shuffled once.
+    """
+    names = [name for name in docs.columns if name not in ("shard", "slot")]
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8 if size is None else size
+    tie = F.xxhash64("doc_id", "text") if tie is None else tie
     n_rows = docs.count()
     chunks = -(-n_rows // CHUNK_ROWS) or 1
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
-    keyed = docs.withColumns({
-        "_key__source": nullable_key("source"), "_key__lang": nullable_key("lang"),
-        "_size": F.least(F.floor(F.log2(size) * 1.5).cast("long"), F.lit((1 << bits) - 1)),
-    })
+    keyed = docs.select(
+        held(names), nullable_key("source").alias("_key__source"), nullable_key("lang").alias("_key__lang"), tie.alias("_tie"),
+        F.least(F.floor(F.log2(size) * 1.5).cast("long"), F.lit((1 << bits) - 1)).alias("_size"), F.col("doc_id").alias("_id"),
+    )
     keyed = keyed.join(levels(docs, "source", "_source", bits), "_key__source")
     keyed = keyed.join(levels(docs, "lang", "_lang", bits), "_key__lang")
     axes = ["_source", "_lang", "_size"]
     # At most 2 ** (3 * bits) cells. Staged, since the optimizer would push filters on the
     # curve index down through the chained steps and multiply their expressions.
     curve = stage(hilbert_index(keyed.select(*axes).distinct().coalesce(1), axes, bits, "_curve"), "hilbert-cells")
-    keyed = keyed.join(curve, axes)
-    keyed = keyed.withColumn("_tie", F.xxhash64("doc_id", "text"))
-    keyed = keyed.withColumn("_chunk", F.pmod(F.col("_tie"), F.lit(chunks)))
+    keyed = keyed.join(curve, axes).withColumn("_chunk", F.pmod(F.col("_tie"), F.lit(chunks)))
 
-    chunk_rows = keyed.groupBy("_curve", "_chunk").agg(F.count("*").alias("_rows"))
+    chunk_rows = stage(keyed.groupBy("_curve", "_chunk").agg(F.count("*").alias("_rows")), "hilbert-chunks")
     in_cell = Window.partitionBy("_curve").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunk_at = chunk_rows.withColumn("_in_cell", F.coalesce(F.sum("_rows").over(in_cell), F.lit(0)))
-    cells = keyed.groupBy("_curve").agg(F.count("*").alias("_cell_rows"))
+    cells = chunk_rows.groupBy("_curve").agg(F.sum("_rows").alias("_cell_rows"))
     along = Window.orderBy("_curve").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("_curve", F.coalesce(F.sum("_cell_rows").over(along), F.lit(0)).alias("_cell_at"))
     offsets = chunk_at.join(cells, "_curve").select("_curve", "_chunk", (F.col("_in_cell") + F.col("_cell_at")).alias("_offset"))
+    offsets = stage(offsets, "hilbert-offsets")
 
-    local = F.row_number().over(Window.partitionBy("_curve", "_chunk").orderBy("_tie", "doc_id")) - 1
+    local = F.row_number().over(Window.partitionBy("_curve", "_chunk").orderBy("_tie", "_id")) - 1
     ranked = keyed.withColumn("_local", local).join(offsets, ["_curve", "_chunk"])
     ranked = ranked.withColumn("_rank", F.col("_local") + F.col("_offset"))
     ranked = ranked.withColumn("shard", F.floor(F.col("_rank") * n_shards / F.lit(max(n_rows, 1))).cast("int"))
     begins = F.ceil(F.col("shard").cast("long") * F.lit(n_rows) / n_shards)
     ranked = ranked.withColumn("slot", (F.col("_rank") - begins).cast("long"))
-    return ranked.select(*[F.col(f"`{name}`") for name in docs.columns], "shard", "slot")
+    return ranked.select(*released(names), "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = N_SHARDS) -> None:
@@ -116,12 +123,14 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = N_SHARDS) -> None:
 
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return hilbert_shards(documents(spark, sf_dir)).select(
-        "doc_id",
+    # The digest of a text is all that this query returns of it, so the rows to order are narrow.
+    rows = documents(spark, sf_dir).select(
+        "doc_id", "lang", "source",
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.lit("rows").alias("law"),
-        "shard",
-        "slot",
+    )
+    placed = hilbert_shards(rows, size=F.col("size"), tie=F.xxhash64("doc_id", "text_crc32"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
