@@ -82,7 +82,6 @@ def hilbert_shards(
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8 if size is None else size
     tie = F.xxhash64("doc_id", "text") if tie is None else tie
     n_rows = docs.count()
-    chunks = -(-n_rows // CHUNK_ROWS) or 1
     keyed = docs.select(
         held(names), nullable_key("source").alias("_key__source"), nullable_key("lang").alias("_key__lang"), tie.alias("_tie"),
         F.least(F.floor(F.log2(size) * 1.5).cast("long"), F.lit((1 << bits) - 1)).alias("_size"), F.col("doc_id").alias("_id"),
@@ -92,8 +91,10 @@ def hilbert_shards(
     axes = ["_source", "_lang", "_size"]
     # At most 2 ** (3 * bits) cells. Staged, since the optimizer would push filters on the
     # curve index down through the chained steps and multiply their expressions.
-    curve = stage(hilbert_index(keyed.select(*axes).distinct().coalesce(1), axes, bits, "_curve"), "hilbert-cells")
-    keyed = keyed.join(curve, axes).withColumn("_chunk", F.pmod(F.col("_tie"), F.lit(chunks)))
+    cells = keyed.groupBy(*axes).agg(F.count("*").alias("_cell_rows")).coalesce(1)
+    curve = stage(hilbert_index(cells, axes, bits, "_curve"), "hilbert-cells")
+    chunks = F.ceil(F.col("_cell_rows") / F.lit(CHUNK_ROWS))
+    keyed = keyed.join(curve, axes).withColumn("_chunk", F.pmod(F.col("_tie"), chunks)).drop("_cell_rows")
 
     chunk_rows = stage(keyed.groupBy("_curve", "_chunk").agg(F.count("*").alias("_rows")), "hilbert-chunks")
     in_cell = Window.partitionBy("_curve").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
