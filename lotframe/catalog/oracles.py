@@ -126,10 +126,13 @@ islands as (
 starts as (
   select *, min(case when not is_blank and len(cells) <> 1 then row_no end) over (partition by file, island) as table_row
   from islands),
-segs as (
-  select s.suppkey, s.file, s.block, s.row_no, s.cells, s.table_row, h.cells as header
-  from starts s join grid h on h.file = s.file and h.row_no = s.table_row
-  where not s.is_blank and s.row_no >= s.table_row)"""
+segs as materialized (
+  select suppkey, file, block, row_no, cells, table_row,
+    first_value(cells) over (partition by file, table_row order by row_no) as header
+  from starts where not is_blank and row_no >= table_row)"""
+
+_HOLDERS = """select 'C' || c_custkey || chr(10) || 'sub, "x"' as "Account", ' ' || c_mktsegment || ' ' as "Symbol",
+  cast(cast(c_acctbal as decimal(18,2)) as varchar) as "Value" from customer"""
 
 MAPPING = (
     "entries(ord, raw, canonical) as (values "
@@ -310,6 +313,8 @@ select {COLUMNS} from spotty union all select {', '.join(['null'] * len(FULL_FIE
 select "Account", "Symbol", "Type", min(qty) as first_quantity from lots group by all""",
     "clean_lots": f"with {_SPOTTY} select distinct {COLUMNS} from spotty",
     "append_dedupe": f"with {LOTS} select distinct {COLUMNS} from lots",
+    "append_roundtrip": _HOLDERS,
+    "manifest_ingest": _HOLDERS,
     "ingest_flat": f"with {LOTS} select distinct {COLUMNS} from lots where layout = 0",
     "ingest_hybrid": f"with {LOTS} select distinct {COLUMNS} from lots where layout = 1",
     "ingest_symbol_group": f"with {LOTS} select distinct {COLUMNS} from lots where layout = 2",

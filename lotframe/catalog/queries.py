@@ -27,6 +27,8 @@ from ..operators import canonical, classify, clean, headers, keyvalues, realign,
 from ..plans import metrics
 from ..plans.audit import ingest_audit as audit_counts
 from ..plans.ingest import decide, ingest, parse_reports
+from ..plans.jobs import lots_of_files
+from ..sources import sinks
 from ..sources.flat import read_flat
 from ..sources.grid import read_folder, select_sheets
 from ..sources.mapping import DEFAULT_SYNONYMS, mapping_frame, resolve_mapping, resolve_variants
@@ -155,8 +157,12 @@ def date_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
             when 0 then date_format(d, 'yyyy-MM-dd') when 1 then date_format(d, 'MM/dd/yyyy')
             when 2 then date_format(d, 'M/d/yyyy') when 3 then date_format(d, 'dd/MM/yyyy')
             when 4 then date_format(d, 'yyyyMMdd') when 5 then date_format(d, 'MMM d, yyyy')
-            when 6 then date_format(d, 'yyyy-MM-dd 00:00:00') when 7 then '02/30/2001'
-            else 'n/a' end as text""",
+            when 6 then case o_orderkey % 7
+                when 0 then date_format(d, 'yyyy-MM-dd 00:00:00') when 1 then date_format(d, 'M/d/yyyy') || ' 12:30:05 AM'
+                when 2 then date_format(d, 'd-MMM-yy') when 3 then date_format(d, 'MMM d yyyy')
+                when 4 then date_format(d, 'yyyy-M-d') || ' 9:05' when 5 then date_format(d, 'MMMM d, yyyy') || ' 11:59 pm'
+                else date_format(d, 'yyyyMMdd') || ' 10:00' end
+            when 7 then '02/30/2001' else 'n/a' end as text""",
     )
     return texts.select("o_orderkey", F.date_format(lenient_date(F.col("text")), "yyyy-MM-dd").alias("day"))
 
@@ -329,7 +335,7 @@ QUERIES["broker_from_path"] = QUERIES.pop("broker_from_path_rows")
 
 def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     blocked = segment.by_block(_reports(spark, sf_dir))
-    rows, segments = decide(blocked, FIELDS, resolve_mapping(DEFAULT_SYNONYMS))
+    rows, segments = decide(blocked, FIELDS, resolve_mapping(spark, DEFAULT_SYNONYMS))
     present = F.col("table_row").isNotNull()
     return rows.filter(present), segments.filter(present)
 
@@ -470,6 +476,37 @@ def append_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.append_lots(earlier, again, FIELDS)
 
 
+def _holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as lots whose text has spaces at its ends and line breaks inside."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey",
+        "'C' || c_custkey || chr(10) || 'sub, \"x\"' as `Account`",
+        "' ' || c_mktsegment || ' ' as `Symbol`",
+        "cast(cast(c_acctbal as decimal(18,2)) as string) as `Value`",
+    )
+
+
+@query
+def append_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lots written, appended to by a run with another field order, and read again."""
+    fields, folder = ("Account", "Symbol", "Value"), new_folder(spark, "append")
+    holders = _holders(spark, sf_dir)
+    sinks.write_lots(holders.filter("c_custkey % 3 <> 0").select(*fields), folder, "run")
+    again = holders.filter("c_custkey % 3 <> 1").select(*reversed(fields))
+    sinks.write_lots(sinks.with_previous(again, folder, "run", tuple(reversed(fields))), folder, "run")
+    return sinks.read_lots(spark, sinks.lots_path(folder, "run"), fields)
+
+
+@query
+def manifest_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports listed twice, in two spellings of an entry, through the manifest's reader."""
+    folder = new_folder(spark, "manifest")
+    sinks.lossless_csv(_holders(spark, sf_dir).drop("c_custkey").repartition(4).write).csv(folder)
+    files = [row.path for row in spark.read.format("binaryFile").load(folder).select("path").collect()]
+    entries = [*files, *({"path": path, "tabs": []} for path in reversed(files))]
+    return lots_of_files(spark, entries, ("Account", "Symbol", "Value"), keep_order=True)
+
+
 # ---- end to end ----------------------------------------------------------
 
 
@@ -533,7 +570,7 @@ def grid_scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flat_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "flat-lots")
     lots = derived.lots(spark, sf_dir).select(*map(clean.quoted, FIELDS))
-    lots.write.option("header", True).csv(folder)
+    sinks.lossless_csv(lots.write).csv(folder)
     return read_flat(spark, folder, FIELDS)
 
 

@@ -4,38 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Accepted spellings in order of preference, month first. A
+from .text import strip
+
+# Accepted spellings of a day in order of preference, month first. A
 # pattern is tried only where its shape matches, so a column of one spelling
 # costs one parse per row.
-DATE_SHAPES = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", ("yyyy-M-d",)),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ("M/d/yyyy", "d/M/yyyy")),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", ("M-d-yyyy", "d-M-yyyy")),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", ("M/d/yy", "d/M/yy")),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", ("yyyy/M/d",)),
-    (r"^\d{8}$", ("yyyyMMdd",)),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", ("MMM d, yyyy",)),
-    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", ("MMMM d, yyyy",)),
-    (r"^\d{1,2}[- ][A-Za-z]{3}[- ]\d{4}$", ("d-MMM-yyyy", "d MMM yyyy")),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", ("M/d/yyyy H:m", "d/M/yyyy H:m")),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", ("M/d/yyyy H:m:s", "d/M/yyyy H:m:s")),
-    (r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}.*$", (None,)),
+DAY_SHAPES = (
+    (r"\d{4}-\d{1,2}-\d{1,2}", ("yyyy-M-d",)),
+    (r"\d{1,2}/\d{1,2}/\d{4}", ("M/d/yyyy", "d/M/yyyy")),
+    (r"\d{1,2}-\d{1,2}-\d{4}", ("M-d-yyyy", "d-M-yyyy")),
+    (r"\d{1,2}\.\d{1,2}\.\d{4}", ("M.d.yyyy", "d.M.yyyy")),
+    (r"\d{1,2}/\d{1,2}/\d{2}", ("M/d/yy", "d/M/yy")),
+    (r"\d{1,2}-\d{1,2}-\d{2}", ("M-d-yy", "d-M-yy")),
+    (r"\d{4}/\d{1,2}/\d{1,2}", ("yyyy/M/d",)),
+    (r"\d{8}", ("yyyyMMdd",)),
+    (r"[A-Za-z]{3} \d{1,2} \d{4}", ("MMM d yyyy",)),
+    (r"[A-Za-z]{4,9} \d{1,2} \d{4}", ("MMMM d yyyy",)),
+    (r"\d{1,2} [A-Za-z]{3} \d{4}", ("d MMM yyyy",)),
+    (r"\d{1,2} [A-Za-z]{4,9} \d{4}", ("d MMMM yyyy",)),
+    (r"\d{1,2} [A-Za-z]{3} \d{2}", ("d MMM yy",)),
+    (r"[A-Za-z]{3} \d{1,2} \d{2}", ("MMM d yy",)),
 )
+# Fixed value: a time of day after the day, with or without seconds and AM or PM.
+TIME_OF_DAY = r"[ T]+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.]\d+)?)? ?([AaPp][Mm])?$"
+ISO_MOMENT = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}"
 
 DAYS_PER_YEAR = 365.25
 
 
 def lenient_date(text: Column) -> Column:
-    """Timestamp of one cell, or null; the spelling is chosen row by row."""
-    text = F.trim(text.cast("string"))
+    """Timestamp of one cell, or null; the spelling is chosen row by row.
+
+    A day may be followed by a time of day. Commas, a full stop after a month name and
+    hyphens around one count as spaces; any white space may stand around.
+    """
+    text = strip(text.cast("string"))
+    time = [F.regexp_extract(text, TIME_OF_DAY, i) for i in range(1, 5)]
+    day = F.regexp_replace(text, TIME_OF_DAY, "")
+    named = F.btrim(F.regexp_replace(F.regexp_replace(day, "[,\\s]+|(?<=[A-Za-z])[.]", " "), "(?<=[A-Za-z])-|-(?=[A-Za-z])", " "))
+    named = F.initcap(F.regexp_replace(named, " +", " "))
+    day = F.when(day.rlike("[A-Za-z]"), named).otherwise(day)
     parsed = F.lit(None).cast("timestamp")
-    for shape, patterns in reversed(DATE_SHAPES):
-        tries = [
-            F.try_to_timestamp(text) if p is None else F.try_to_timestamp(text, F.lit(p))
-            for p in patterns
-        ]
-        parsed = F.when(text.rlike(shape), F.coalesce(*tries)).otherwise(parsed)
-    return parsed
+    for shape, patterns in reversed(DAY_SHAPES):
+        tries = [F.try_to_timestamp(day, F.lit(p)) for p in patterns]
+        parsed = F.when(day.rlike(f"^{shape}$"), F.coalesce(*tries)).otherwise(parsed)
+    hour, minute, second = (F.coalesce(part.try_cast("int"), F.lit(0)) for part in time[:3])
+    half = F.lower(time[3])
+    clock = (
+        F.when(half == "", hour)
+        .when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
+        .otherwise(24)
+    )
+    valid = (clock < 24) & (minute < 60) & (second < 60)
+    shifted = F.timestamp_seconds(F.unix_seconds(parsed) + clock * 3600 + minute * 60 + second)
+    moment = F.when(valid, F.when(time[0] == "", parsed).otherwise(shifted))
+    return F.when(text.rlike(ISO_MOMENT), F.coalesce(F.try_to_timestamp(text), moment)).otherwise(moment)
 
 
 def whole_days(start: Column, end: Column) -> Column:

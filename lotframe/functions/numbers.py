@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import strip
+
 # A bare cast would also accept Java suffixes such as ``5d``.
-_NUMERIC = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
+_NUMERIC = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
 
 
 def strict_number(text: Column) -> Column:
     """Double, or null for anything that is not a plain number."""
-    text = text.cast("string")
+    text = strip(text.cast("string"))
     return F.when(text.rlike(_NUMERIC), text.try_cast("double"))
 
 

@@ -32,8 +32,8 @@ def opens_table() -> Column:
 
 def by_block(grid: DataFrame) -> DataFrame:
     """The one shuffle of the raw grid; every later step reuses it."""
-    present = F.col("file").isNotNull() & F.col("sheet_no").isNotNull() & F.col("block").isNotNull()
-    return grid.select(*BLOCK, "row_no", "cells").filter(present).repartition(*BLOCK)
+    keys = [F.coalesce(name, F.raise_error(F.lit(f"a row of the grid has no {name}"))).alias(name) for name in BLOCK]
+    return grid.select(*keys, "row_no", "cells").repartition(*BLOCK)
 
 
 def flag_blank_rows(grid: DataFrame) -> DataFrame:

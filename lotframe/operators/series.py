@@ -114,7 +114,8 @@ def beta_truncated(portfolio: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.count("*").alias("n"), covariance.alias("cov"), variance.alias("var")
     )
     beta = F.when(F.col("n") >= 2, _beta(F.col("cov"), F.col("var"), 0.0))
-    return moments.select("series_id", "n", beta.alias("beta"))
+    # A NaN among the aligned values leaves the beta undefined.
+    return moments.select("series_id", "n", F.when(~F.isnan(beta), beta).alias("beta"))
 
 
 def beta_by_weight(

@@ -46,7 +46,7 @@ def decide(blocked: DataFrame, fields: Sequence[str], mapping: dict[str, str]) -
 def parse_reports(grid: DataFrame, fields: Sequence[str], synonyms: dict | None = None) -> Parsed:
     """All stages from a report grid to uncleaned canonical rows."""
     synonyms = DEFAULT_SYNONYMS if synonyms is None else synonyms
-    mapping = resolve_mapping(synonyms)
+    mapping = resolve_mapping(grid.sparkSession, synonyms)
     blocked = segment.by_block(grid)
     rows, segments = decide(blocked, fields, mapping)
     tables = segments.filter(F.col("table_row").isNotNull())

@@ -13,7 +13,7 @@ from ..operators.prefix import running_row_number
 from ..sources.flat import read_flat
 from ..sources.grid import read_grid
 from ..sources.manifest import choose_entries, manifest_frame, path_exists
-from ..sources.mapping import DEFAULT_SYNONYMS
+from ..sources.mapping import DEFAULT_SYNONYMS, load_mapping
 from ..sources.sinks import run_timestamp, with_previous, write_lots, write_report
 from ..sources.staging import discarding_stages, stage
 from .ingest import ingest
@@ -63,8 +63,11 @@ def return_series(spark: SparkSession, path: str, column: str | None = None) ->
     """
     raw = read_flat(spark, path)
     name = column if column in raw.columns else raw.columns[0]
-    rows = raw.select(_place(), strict_number(F.col(f"`{name}`")).alias("r"))
-    return _numbered(rows)
+    number = strict_number(F.col(f"`{name}`"))
+    if column is not None and name != column:
+        # The first column stands in as it is: one bad value makes the beta undefined.
+        number = F.coalesce(number, F.lit(float("nan")))
+    return _numbered(raw.select(_place(), number.alias("r")))
 
 
 def value_series(spark: SparkSession, path: str, date_column: str = "Date", value_column: str = "Value") -> DataFrame:
@@ -93,6 +96,12 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return numbered.withColumn("pos", F.col("pos") - 1).drop("split", "place")
 
 
+def configured_synonyms(spark: SparkSession, settings: dict) -> dict:
+    """The mapping file of the settings, else the default; an unreadable file gives an empty mapping."""
+    path = settings.get("COLUMN_MAPPING") or settings.get("COLUMN_MAPPING_CONFIG")
+    return load_mapping(spark, path) if path else DEFAULT_SYNONYMS
+
+
 def run(
     spark: SparkSession,
     settings: dict,
@@ -114,7 +123,9 @@ def run(
     returns = config.get("RETURNS") or {}
     given = [returns.get(name) for name in ("PORTFOLIO_FILE", "BENCHMARK_FILE")]
     with discarding_stages(spark):
-        lots = lots_of_files(spark, entries, fields, synonyms or DEFAULT_SYNONYMS, keep_order=not append)
+        if synonyms is None:
+            synonyms = configured_synonyms(spark, settings)
+        lots = lots_of_files(spark, entries, fields, synonyms, keep_order=not append)
         if append:
             lots = with_previous(lots, folder, stamp, fields)
         portfolio = benchmark = None

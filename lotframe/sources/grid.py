@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .cells import ZIP_MAGIC, text_rows, workbook_rows
 from .long_text import LONG_TEXT_BYTES, read_long_text
-from .manifest import manifest_entries, path_length, qualified
+from .manifest import literal, path_length, united_entries
 
 log = logging.getLogger(__name__)
 
@@ -28,10 +28,12 @@ def _sheets(content: bytes, tabs: list[str] | None) -> Iterator[tuple[int, str |
     """Rows of one file; whatever is not a readable workbook is read as text."""
     if content[:4] == ZIP_MAGIC:
         try:
-            yield from list(workbook_rows(content, tabs))
-            return
+            sheets = workbook_rows(content, tabs)
         except Exception as error:  # a broken workbook must not fail the job
             log.warning("workbook read as text: %s", error)
+        else:
+            yield from sheets
+            return
     for cells in text_rows(content):
         yield 0, None, cells
 
@@ -88,21 +90,21 @@ def read_grid(
     """
     found: dict[str, list[str] | None] = {}
     empty, long = [], []
-    for path, tabs in manifest_entries(entries, on_bad_file):
+    for path, tabs in united_entries(spark, entries, on_bad_file).items():
         length = path_length(spark, path)
         if length is None:
             log.warning("input file does not exist: %s", path)
         elif length == 0:
             # File scans leave these out, but such a file still counts as a report.
-            empty.append((qualified(spark, path), 0, None, 0, 0, []))
+            empty.append((path, 0, None, 0, 0, []))
         elif length > LONG_TEXT_BYTES and path.lower().endswith(".csv"):
             long.append(path)
         else:
-            found[qualified(spark, path)] = tabs
+            found[path] = tabs
     parts = [spark.createDataFrame(empty, GRID_SCHEMA)] if empty or not (found or long) else []
     if found:
         selected = {path: tabs for path, tabs in found.items() if tabs}
-        parts.append(parse_files(spark.read.format("binaryFile").load(list(found)), selected, block_rows))
+        parts.append(parse_files(spark.read.format("binaryFile").load(list(map(literal, found))), selected, block_rows))
     if long:
         parts.append(read_long_text(spark, long))
     return reduce(DataFrame.unionByName, parts)

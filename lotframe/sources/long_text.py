@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .manifest import literal
 from .staging import stage
 
 LONG_TEXT_BYTES = 256 * 1024 * 1024
@@ -96,8 +97,10 @@ def _follow(lines: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 def read_long_text(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Grid of CSV text files of any size; row numbers increase but have gaps."""
-    raw = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("file"),
+    # The path in the metadata is escaped; other readers give it as it is.
+    plain_path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    raw = spark.read.text([literal(path) for path in paths]).select(
+        plain_path.alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("line"),
         F.col("value").cast("binary").alias("text"),

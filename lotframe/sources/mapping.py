@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import logging
-import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import normalise_header
@@ -36,11 +36,6 @@ DEFAULT_SYNONYMS = {
 }
 
 
-def normalise_key(text: str) -> str:
-    """Driver-side twin of ``normalise_header`` for the few mapping keys."""
-    return re.sub(r"\s+", " ", re.sub(r"[-_/]+", " ", text.strip().lower()))
-
-
 def mapping_entries(spec: dict) -> list[tuple[str, str]]:
     """(variant, canonical) in file order, from either JSON shape or a mix."""
     entries = []
@@ -52,22 +47,13 @@ def mapping_entries(spec: dict) -> list[tuple[str, str]]:
     return entries
 
 
-def resolve_mapping(spec: dict) -> dict[str, str]:
-    """Normalised variant to canonical name, the last entry wins."""
-    return {normalise_key(variant): canonical for variant, canonical in mapping_entries(spec)}
-
-
-def load_mapping(path: str | None = None) -> dict[str, str]:
-    """Mapping from a JSON file (a configuration file on the driver), or the default.
-
-    A missing or unreadable file gives an empty mapping.
-    """
-    if path is None:
-        return resolve_mapping(DEFAULT_SYNONYMS)
+def load_mapping(spark: SparkSession, path: str) -> dict:
+    """The specification in a JSON file, read by Spark; empty if it is missing or unreadable."""
     try:
-        with open(path, encoding="utf-8") as handle:
-            return resolve_mapping(json.load(handle))
-    except (OSError, ValueError, AttributeError) as error:
+        spec = json.loads("\n".join(row[0] for row in spark.read.text(path, wholetext=True).collect()))
+        mapping_entries(spec)
+        return spec
+    except (AnalysisException, ValueError, AttributeError) as error:
         log.warning("no usable column mapping at %s: %s", path, error)
         return {}
 
@@ -81,8 +67,13 @@ def resolve_variants(entries: DataFrame) -> DataFrame:
 
 def mapping_frame(spark: SparkSession, spec: dict) -> DataFrame:
     """The mapping of a specification as a frame; some dozens of rows."""
-    rows = list(resolve_mapping(spec).items())
-    return spark.createDataFrame(rows, "variant string, canonical string")
+    rows = [(number, raw, canonical) for number, (raw, canonical) in enumerate(mapping_entries(spec))]
+    return resolve_variants(spark.createDataFrame(rows, "ord int, raw string, canonical string"))
+
+
+def resolve_mapping(spark: SparkSession, spec: dict) -> dict[str, str]:
+    """Normalised variant to canonical name, the last entry wins; a configuration's few entries."""
+    return {row.variant: row.canonical for row in mapping_frame(spark, spec).collect()}
 
 
 def lookup(mapping: dict[str, str], key: Column) -> Column:

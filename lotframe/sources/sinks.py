@@ -1,4 +1,9 @@
-"""Where lots and reports are written."""
+"""Where lots and reports are written.
+
+Lots are kept as a Parquet working copy, which appends read, and exported in the
+format that is asked for. Types, spaces and line breaks survive in the first and
+the CSV export keeps them too.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ import datetime as dt
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 
 from ..operators.clean import append_lots
 from .flat import read_flat
@@ -35,21 +40,47 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
 def _write(df: DataFrame, path: str, file_format: str) -> None:
     writer = df.write.mode("overwrite")
     if file_format == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        writer = lossless_csv(writer)
     writer.format(file_format).save(path)
 
 
+def lossless_csv(writer: DataFrameWriter) -> DataFrameWriter:
+    """With a header, and cells as they are: the writer strips their ends unless told not to."""
+    return (
+        writer.option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+    )
+
+
+def _working_copy(version: str) -> str:
+    folder, name = version.rsplit("/", 1)
+    return f"{folder}/_working/{name}"
+
+
 def latest_version(spark: SparkSession, path: str) -> str | None:
     versions = _versions(spark, path)
     return f"{path}/v{versions[-1]}" if versions else None
 
 
 def read_lots(spark: SparkSession, path: str, fields: Sequence[str], file_format: str = "csv") -> DataFrame | None:
-    """The latest complete version, all text; null if there is none."""
+    """The latest complete version by field name, all text; null if there is none.
+
+    A field that it lacks is null. A version without a working copy is read from
+    its export.
+    """
     found = latest_version(spark, path)
     if found is None:
         return None
-    return read_flat(spark, found, fields) if file_format == "csv" else spark.read.format(file_format).load(found)
+    if path_exists(spark, f"{_working_copy(found)}/_SUCCESS"):
+        lots = spark.read.parquet(_working_copy(found))
+    else:
+        lots = read_flat(spark, found) if file_format == "csv" else spark.read.format(file_format).load(found)
+    known = set(lots.columns)
+    return lots.select(
+        *[(F.col(f"`{f}`") if f in known else F.lit(None)).cast("string").alias(f) for f in fields]
+    )
 
 
 def with_previous(
@@ -69,7 +100,9 @@ def write_lots(lots: DataFrame, folder: str, timestamp: str, file_format: str =
     path = lots_path(folder, timestamp)
     versions = _versions(lots.sparkSession, path)
     target = f"{path}/v{versions[-1] + 1 if versions else 1}"
-    _write(lots, target, file_format)
+    _write(lots, _working_copy(target), "parquet")
+    # The export reads the working copy, so the plan behind the lots runs once.
+    _write(lots.sparkSession.read.schema(lots.schema).parquet(_working_copy(target)), target, file_format)
     return target
 
 

@@ -5,11 +5,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotframe.plans.ingest import ingest
-from lotframe.plans.jobs import lots_of_files, run
+from lotframe.operators.segment import by_block
+from lotframe.operators.series import beta_truncated
+from lotframe.plans.jobs import lots_of_files, return_series, run
+from lotframe.sources import grid as grid_module
 from lotframe.sources.cells import text_rows
+from lotframe.sources.flat import read_flat
 from lotframe.sources.grid import read_folder, read_grid, select_sheets
-from lotframe.sources.manifest import choose_entries, manifest_entries, manifest_frame
-from lotframe.sources.sinks import latest_version, lots_path, read_lots
+from lotframe.sources.manifest import choose_entries, manifest_entries, manifest_frame, united_entries
+from lotframe.sources.sinks import latest_version, lots_path, read_lots, with_previous, write_lots
 from lotframe.sources.staging import shared_folder
 from lotframe.streaming.ingest import stream_reports
 
@@ -175,3 +179,72 @@ def test_folder_scan(spark, tmp_path):
     _write_files(tmp_path / "in")
     grid = read_folder(spark, str(tmp_path / "in"), "[AC]*.csv")
     assert {tuple(row) for row in ingest(grid).collect()} == {lot for lot in LOTS if lot[0] in ("AA", "CC")}
+
+
+def test_odd_names_and_open_quotes_at_any_size(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for name in ("M L_1.csv", "G[1]_1.csv", "P%20+_1.csv", "S{a}*_1.csv"):
+        (tmp_path / "in" / name).write_text(FLAT + 'Main,1,OPEN,2,01/15/2020,,,,"never closed\n')
+    entries = [str(path) for path in sorted((tmp_path / "in").iterdir())]
+    short = {tuple(row) for row in lots_of_files(spark, entries).collect()}
+    assert {lot[0] for lot in short} == {"M L", "G[1]", "P%20+", "S{a}*"}
+    assert {lot[9] for lot in short if lot[3] == "OPEN"} == {"never closed"}
+    monkeypatch.setattr(grid_module, "LONG_TEXT_BYTES", 10)
+    assert {tuple(row) for row in lots_of_files(spark, entries, keep_order=True).collect()} == short
+
+
+def test_repeated_entries(spark, tmp_path):
+    (tmp_path / "AA_1.csv").write_text(FLAT)
+    write_workbook(tmp_path / "BB_1.xlsx", [(n, sheet_of([["Symbol", "Qty"], [n, "1"]])) for n in ("One", "Two", "Three")])
+    path, book = str(tmp_path / "AA_1.csv"), str(tmp_path / "BB_1.xlsx")
+    entries = [path, {"path": book, "tabs": ["One"]}, path, {"path": book, "tabs": ["Two", "One"]}]
+    lots = lots_of_files(spark, entries, keep_order=True).collect()
+    assert [(lot["Broker"], lot["Symbol"]) for lot in lots] == [("AA", "AAA"), ("AA", "BBB"), ("BB", "One"), ("BB", "Two")]
+    united = united_entries(spark, [{"path": book, "tabs": ["One"]}, book])
+    assert list(united.values()) == [None]
+
+
+def test_bad_sheet_leaves_the_others(spark, tmp_path):
+    good = sheet_of([["Symbol", "Qty"], ["AAA", "1"]])
+    write_workbook(tmp_path / "CC_1.xlsx", [("Bad", "<row><c t='s'><v>99</v></c></row>"), ("Good", good)])
+    assert cells_of(read_grid(spark, [str(tmp_path / "CC_1.xlsx")])) == [["Symbol", "Qty"], ["AAA", "1"]]
+
+
+def test_append_keeps_text_and_names(spark, tmp_path):
+    fields = ("Symbol", "Account")
+    first = spark.createDataFrame([(" AAA ", 'Main\nSub "x"'), ("B", None)], "Symbol string, Account string")
+    written = write_lots(first, str(tmp_path), "t")
+    again = spark.createDataFrame([('Main\nSub "x"', " AAA ", 1), ("Other", "C", 2)], "Account string, Symbol string, more int")
+    write_lots(with_previous(again, str(tmp_path), "t", fields), str(tmp_path), "t")
+    expected = {(" AAA ", 'Main\nSub "x"'), ("B", None), ("C", "Other")}
+    assert {tuple(r) for r in read_lots(spark, lots_path(str(tmp_path), "t"), fields).collect()} == expected
+    assert {tuple(r) for r in read_flat(spark, written).collect()} == {tuple(r) for r in first.collect()}
+    assert {tuple(r) for r in read_lots(spark, lots_path(str(tmp_path), "t"), ("New", "Symbol")).collect()} == {(None, " AAA "), (None, "B"), (None, "C")}
+
+
+def test_mapping_of_a_run(spark, tmp_path):
+    (tmp_path / "AA_1.csv").write_text("Ticker,Shares\nAAA,1\n")
+    (tmp_path / "map.json").write_text('{"Symbol": ["shares"], "Quantity": ["ticker"]}')
+    settings = {"INPUT_FILES": [str(tmp_path / "AA_1.csv")], "OUTPUT_DIR": str(tmp_path / "out"), "OUTPUT_FIELDS": "Broker,Symbol,Quantity"}
+
+    def lots(stamp, **more):
+        path = run(spark, {**settings, **more.pop("settings", {})}, timestamp=stamp, **more)
+        return [(r["Broker"], r["Symbol"], r["Quantity"]) for r in read_flat(spark, path).collect()]
+
+    assert lots("a") == [("AA", "AAA", "1")]
+    assert lots("b", synonyms={}) == [("AA", None, None)]
+    assert lots("c", settings={"COLUMN_MAPPING": str(tmp_path / "map.json")}) == [("AA", "1", "AAA")]
+    assert lots("d", settings={"COLUMN_MAPPING": str(tmp_path / "none.json")}) == [("AA", None, None)]
+
+
+def test_first_column_stands_in_only_without_bad_values(spark, tmp_path):
+    for name, text in (("p", "x\n0.1\n0.2\n0.4\n"), ("b", "x\n0.1\n0.3\n0.2\n"), ("bad", "x\n0.1\noops\n0.2\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    p, b, bad = (return_series(spark, str(tmp_path / f"{n}.csv"), "return") for n in ("p", "b", "bad"))
+    assert beta_truncated(p, b).first().beta is not None and beta_truncated(p, bad).first().beta is None
+
+
+def test_rows_without_a_block_raise(spark):
+    grid = spark.createDataFrame([("f", 0, None, None, 0, ["a"])], "file string, sheet_no int, sheet string, block long, row_no long, cells array<string>")
+    with pytest.raises(Exception, match="no block"):
+        by_block(grid).collect()

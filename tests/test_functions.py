@@ -27,6 +27,19 @@ def test_dates(spark):
     assert values(spark, texts, fx.lenient_date) == expected
 
 
+def test_more_date_spellings(spark):
+    at = dt.datetime
+    spelled = {
+        "12/31/2024 12:00:00 AM": at(2024, 12, 31), "15-Jan-24": at(2024, 1, 15), "Jan 15 2020": at(2020, 1, 15),
+        "2020-1-5 10:00": at(2020, 1, 5, 10), "January 5, 2020 10:00": at(2020, 1, 5, 10), "20200115 10:00": at(2020, 1, 15, 10),
+        "\u00a010/02/2025\t": at(2025, 10, 2), "jan. 5, 2020": at(2020, 1, 5), "5 MARCH 2020": at(2020, 3, 5),
+        "1/5/2020 1:02:03 pm": at(2020, 1, 5, 13, 2, 3), "1/5/2020 13:00 PM": None, "1/5/2020 25:00": None, "15.01.2020": at(2020, 1, 15),
+        "2024-01-01T15:00:00": at(2024, 1, 1, 15), "12:30": None, "": None,
+    }
+    assert values(spark, list(spelled), fx.lenient_date) == list(spelled.values())
+    assert values(spark, ["\u00a05\u2003", "5"], fx.strict_number) == [5.0, 5.0]
+
+
 def test_years(spark):
     as_of = F.lit("2024-01-03").cast("date")
     texts = ["2024-01-01 15:00:00", "2024-01-01", "2024-01-04", "2024-01-03 12:00:00"]

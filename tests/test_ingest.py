@@ -134,7 +134,7 @@ def test_duplicate_headers(spark):
 
 def test_table_predicates(spark):
     grid = grid_of(spark, {"f.csv": " Account ,Cash Balance\n1,2\n\nsymbol,Purchase Date,QTY\n\nAcct,Total Gain\n1,2\n"})
-    facts = headers.header_facts(resolve_mapping(DEFAULT_SYNONYMS), ["Symbol", "Type"])
+    facts = headers.header_facts(resolve_mapping(spark, DEFAULT_SYNONYMS), ["Symbol", "Type"])
     rows = segment.resolve_tables(segment.by_block(grid), facts)
     kinds = classify.table_kinds(classify.decide_tables(classify.summarise_segments(classify.row_roles(rows))))
     assert rows_of(kinds.select("table_row", "is_summary", "is_holdings", "n_rows")) == {
@@ -143,14 +143,14 @@ def test_table_predicates(spark):
 
 
 def test_mapping(spark, tmp_path):
-    assert resolve_mapping(DEFAULT_SYNONYMS)["acct"] == "Account#"
-    assert len(resolve_mapping(DEFAULT_SYNONYMS)) == 51
+    assert resolve_mapping(spark, DEFAULT_SYNONYMS)["acct"] == "Account#"
+    assert len(resolve_mapping(spark, DEFAULT_SYNONYMS)) == 51
     path = tmp_path / "mapping.json"
     path.write_text('{"Symbol": ["Tick_er"], "my-qty": "Quantity", "TICK ER": "Account"}')
-    assert load_mapping(str(path)) == {"tick er": "Account", "my qty": "Quantity"}
-    assert load_mapping(str(tmp_path / "none.json")) == {}
+    assert resolve_mapping(spark, load_mapping(spark, str(path))) == {"tick er": "Account", "my qty": "Quantity"}
+    assert load_mapping(spark, str(tmp_path / "none.json")) == {}
     path.write_text("[")
-    assert load_mapping(str(path)) == {}
+    assert load_mapping(spark, str(path)) == {}
     raw = spark.createDataFrame([(0, " A_b ", "X"), (1, "a B", "Y")], "ord int, raw string, canonical string")
     assert rows_of(resolve_variants(raw)) == {("a b", "Y")}
 
