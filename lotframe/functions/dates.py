@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .text import strip
@@ -32,33 +34,58 @@ ISO_MOMENT = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}"
 DAYS_PER_YEAR = 365.25
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _plain_day(day: Column) -> Column:
+    """Spellings with month names without commas, full stops and hyphens."""
+    spaced = F.regexp_replace(day, r"[,\s]+|(?<=[A-Za-z])[.-]|-(?=[A-Za-z])", " ")
+    return F.when(day.rlike("[A-Za-z]"), F.initcap(F.btrim(F.regexp_replace(spaced, " +", " ")))).otherwise(day)
+
+
+def _of_pattern(day: Column, pattern: str) -> Column:
+    """Two-digit years from 69 on are of the last century."""
+    parsed = F.try_to_timestamp(day, F.lit(pattern))
+    if "yyyy" in pattern:
+        return parsed
+    earlier = F.add_months(F.to_date(parsed), -1200).cast("timestamp")
+    return F.when(F.year(parsed) >= 2069, earlier).otherwise(parsed)
+
+
+def _midnight(day: Column) -> Column:
+    parsed = F.lit(None).cast("timestamp")
+    for shape, patterns in reversed(DAY_SHAPES):
+        tries = [_of_pattern(day, p) for p in patterns]
+        parsed = F.when(day.rlike(f"^{shape}$"), F.coalesce(*tries)).otherwise(parsed)
+    return parsed
+
+
+def _seconds(text: Column) -> Column:
+    """Seconds after midnight of the time of day at the end; null if there is no such time."""
+    part = [F.regexp_extract(text, TIME_OF_DAY, i) for i in range(1, 5)]
+    hour, minute, second = (F.coalesce(p.try_cast("int"), F.lit(0)) for p in part[:3])
+    afternoon = F.when(F.lower(part[3]) == "pm", 12).otherwise(0)
+    clock = F.when(part[3] == "", hour).when(hour.between(1, 12), hour % 12 + afternoon)
+    valid = (clock < 24) & (minute < 60) & (second < 60)
+    return F.when(valid, clock * 3600 + minute * 60 + second)
+
+
 def lenient_date(text: Column) -> Column:
     """Timestamp of one cell, or null; the spelling is chosen row by row.
 
     A day may be followed by a time of day. Commas, a full stop after a month name and
     hyphens around one count as spaces; any white space may stand around.
     """
-    text = strip(text.cast("string"))
-    time = [F.regexp_extract(text, TIME_OF_DAY, i) for i in range(1, 5)]
-    day = F.regexp_replace(text, TIME_OF_DAY, "")
-    named = F.btrim(F.regexp_replace(F.regexp_replace(day, "[,\\s]+|(?<=[A-Za-z])[.]", " "), "(?<=[A-Za-z])-|-(?=[A-Za-z])", " "))
-    named = F.initcap(F.regexp_replace(named, " +", " "))
-    day = F.when(day.rlike("[A-Za-z]"), named).otherwise(day)
-    parsed = F.lit(None).cast("timestamp")
-    for shape, patterns in reversed(DAY_SHAPES):
-        tries = [F.try_to_timestamp(day, F.lit(p)) for p in patterns]
-        parsed = F.when(day.rlike(f"^{shape}$"), F.coalesce(*tries)).otherwise(parsed)
-    hour, minute, second = (F.coalesce(part.try_cast("int"), F.lit(0)) for part in time[:3])
-    half = F.lower(time[3])
-    clock = (
-        F.when(half == "", hour)
-        .when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
-        .otherwise(24)
-    )
-    valid = (clock < 24) & (minute < 60) & (second < 60)
-    shifted = F.timestamp_seconds(F.unix_seconds(parsed) + clock * 3600 + minute * 60 + second)
-    moment = F.when(valid, F.when(time[0] == "", parsed).otherwise(shifted))
-    return F.when(text.rlike(ISO_MOMENT), F.coalesce(F.try_to_timestamp(text), moment)).otherwise(moment)
+
+    def moment(text: Column) -> Column:
+        midnight = _bound(_plain_day(F.regexp_replace(text, TIME_OF_DAY, "")), _midnight)
+        later = F.timestamp_seconds(F.unix_seconds(midnight) + _seconds(text))
+        timed = F.when(text.rlike(TIME_OF_DAY), later).otherwise(midnight)
+        return F.when(text.rlike(ISO_MOMENT), F.coalesce(F.try_to_timestamp(text), timed)).otherwise(timed)
+
+    return _bound(strip(text.cast("string")), moment)
 
 
 def whole_days(start: Column, end: Column) -> Column:

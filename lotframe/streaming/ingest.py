@@ -13,6 +13,8 @@ from ..sources.grid import parse_files
 from ..sources.manifest import path_exists
 from ..sources.staging import discarding_stages, stage
 
+#: Directories of a batch at most.
+BUCKETS = 256
 _FILES_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -24,22 +26,33 @@ def new_lots(lots: DataFrame, existing: DataFrame, fields: Sequence[str]) -> Dat
     return lots.join(existing, same, "left_anti")
 
 
+def with_bucket(lots: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Adds ``bucket``, by broker and account: a report's lots are all in a few of them."""
+    names = [name for name in ("Broker", "Account") if name in fields] or list(fields[:1])
+    return lots.withColumn("bucket", F.pmod(F.xxhash64(*map(clean.quoted, names)), F.lit(BUCKETS)).cast("int"))
+
+
 def append_batch(
     files: DataFrame, batch_id: int, sink: str, fields: Sequence[str], synonyms: dict | None = None
 ) -> None:
     """Normalise one batch of files and append what is new.
 
     A batch owns one directory of the sink and overwrites it, and compares with
-    the earlier ones only, so a replayed batch gives the same sink.
+    the earlier ones only, so a replayed batch gives the same sink. Of those it
+    reads the buckets that it has lots for (at most ``BUCKETS`` numbers are
+    gathered), so its cost doesn't follow all history.
     """
     spark = files.sparkSession
     with discarding_stages(spark):
         lots = ingest(stage(parse_files(files), "grid"), fields, synonyms)
+        lots = stage(with_bucket(lots, fields), "batch")
         if path_exists(spark, sink):
             types = ", ".join(f"`{field}` string" for field in fields)
-            existing = spark.read.schema(f"{types}, batch_id long").parquet(sink).filter(F.col("batch_id") < batch_id)
+            existing = spark.read.schema(f"{types}, batch_id long, bucket int").parquet(sink)
+            touched = [row.bucket for row in lots.select("bucket").distinct().collect()]
+            existing = existing.filter((F.col("batch_id") < batch_id) & F.col("bucket").isin(touched))
             lots = new_lots(lots, existing.select(*map(clean.quoted, fields)), fields)
-        lots.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        lots.write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/batch_id={batch_id}")
 
 
 def stream_reports(

@@ -30,7 +30,7 @@ def test_dates(spark):
 def test_more_date_spellings(spark):
     at = dt.datetime
     spelled = {
-        "12/31/2024 12:00:00 AM": at(2024, 12, 31), "15-Jan-24": at(2024, 1, 15), "Jan 15 2020": at(2020, 1, 15),
+        "12/31/2024 12:00:00 AM": at(2024, 12, 31), "15-Jan-24": at(2024, 1, 15), "15-Jan-95": at(1995, 1, 15), "2/29/96": at(1996, 2, 29), "1/5/68": at(2068, 1, 5), "Jan 15 2020": at(2020, 1, 15),
         "2020-1-5 10:00": at(2020, 1, 5, 10), "January 5, 2020 10:00": at(2020, 1, 5, 10), "20200115 10:00": at(2020, 1, 15, 10),
         "\u00a010/02/2025\t": at(2025, 10, 2), "jan. 5, 2020": at(2020, 1, 5), "5 MARCH 2020": at(2020, 3, 5),
         "1/5/2020 1:02:03 pm": at(2020, 1, 5, 13, 2, 3), "1/5/2020 13:00 PM": None, "1/5/2020 25:00": None, "15.01.2020": at(2020, 1, 15),
