@@ -45,7 +45,7 @@ MEDIAN_SQUARE = 4.351
 FLOORS = (0.5, 0.35, 0.03, 0.15, 0.1)
 N = len(FLOORS)
 BINS_PER_OCTAVE = 32
-BATCH_BYTES = 2 << 20
+BATCH_CHARS = 1 << 19
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SYMBOL = np.zeros(256, bool)
@@ -85,14 +85,18 @@ def text_counts(texts: list[bytes]) -> pd.DataFrame:
 
 def _count_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        texts = [text.encode("utf-8", "replace") if isinstance(text, str) else b"" for text in batch]
-        parts = [text_counts(texts[a:b]) for a, b in portions([len(t) for t in texts], BATCH_BYTES)]
+        texts = [text if isinstance(text, str) else "" for text in batch]
+        parts = [
+            text_counts([text.encode("utf-8", "replace") for text in texts[a:b]])
+            for a, b in portions([len(text) for text in texts], BATCH_CHARS)
+        ]
         yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in COUNTS}, dtype="int64")
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with the struct ``_counts``."""
-    count = F.pandas_udf(_count_batches, ", ".join(f"{c} long" for c in COUNTS))
+    # Marked so that the optimizer neither copies it below a filter nor runs it twice.
+    count = F.pandas_udf(_count_batches, ", ".join(f"{c} long" for c in COUNTS)).asNondeterministic()
     return docs.withColumn("_counts", count(F.col("text")))
 
 
