@@ -129,6 +129,42 @@ def test_similar_texts_share_a_component(spark, documents, monkeypatch, large):
     assert ids == collections.Counter({**{i: 1 for i in set(found.values())}, None: 2}) and kept.columns == docs.columns
 
 
+def similar_roots(rows):
+    ids = [i for i, _ in rows]
+    return union(ids, [(i, j) for k, (i, a) in enumerate(rows) for j, b in rows[:k] if jaccard(a, b) >= 0.8])
+
+
+@pytest.mark.parametrize("large, shingles", [(4096, 1 << 20), (16, 1 << 20), (4096, 3000)])
+def test_mutual_similarity_near_the_limit_is_compared_whole(spark, documents, monkeypatch, large, shingles):
+    monkeypatch.setattr(near, "LARGE_SHARD", large)
+    monkeypatch.setattr(near, "LARGE_SHINGLES", shingles, raising=False)
+    base, rows = prose(300, 77).split(), []
+    for i in range(90):
+        words, rng = list(base), random.Random(i)
+        for at in rng.sample(range(300), 3 + i % 4):
+            words[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(words)))
+    expected = similar_roots(rows)
+    assert 3 < len(set(expected.values())) < 80
+    assert {r.doc_id: r.component_id for r in near.near_copy_components(documents(rows)).collect()} == expected
+
+
+@pytest.mark.parametrize("n", [9, 40, 304, 1204])
+def test_links_are_similar_by_their_shingles(spark, documents, n):
+    rows, n_shingles = [], n - 4
+    for f in range(60):
+        words = prose(n, 3000 + f).split()
+        # A prefix keeps n - 4 - cut of n - 4 shingles; the last that has 0.8, the one after, and 0.75 to 0.6.
+        most = n_shingles // 5
+        for cut in sorted({0, most, most + 1, n_shingles // 4, n_shingles * 2 // 5}):
+            rows.append((len(rows), " ".join(words[: n - cut])))
+    found = {r.doc_id: r.component_id for r in near.near_copy_components(documents(rows)).collect()}
+    per = len(rows) // 60
+    for f in range(60):
+        family = rows[per * f : per * (f + 1)]
+        assert {i: found[i] for i, _ in family} == similar_roots(family)
+
+
 # ---- 5 token files ---------------------------------------------------------------
 
 
