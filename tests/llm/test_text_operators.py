@@ -119,6 +119,26 @@ def test_span_removal_of_odd_rows(spark, documents):
     assert substring_dedup.without_repeated_spans(documents([])).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 400])
+def test_span_removal_tells_rows_of_one_id_apart(spark, documents, monkeypatch, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(substring_dedup, "SHARE_BYTES", 1500)
+    passage = prose(30, 61)
+    rows = [(1, passage)]
+    for doc_id in (None, 7):
+        # A span at word 40 of one text lies beyond the shorter ones of the same id.
+        rows += [(doc_id, f"{prose(40, 62 + (doc_id or 0))} {passage}"), (doc_id, prose(25, 63 + (doc_id or 0))), (doc_id, prose(60, 64 + (doc_id or 0))), (doc_id, "few words"), (doc_id, None)]
+    rows += [(7, rows[6][1]), (7, rows[7][1])]
+    result = substring_dedup.without_repeated_spans(documents(rows)).collect()
+    found = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in result)
+    expected = collections.Counter()
+    for doc_id, text in rows:
+        kept = (text or "").removesuffix(f" {passage}") if text != passage or doc_id != 1 else passage
+        n = len((text or "").split())
+        expected[doc_id, n, n - len(kept.split()), kept] += 1
+    assert found == expected
+
+
 # ---- 4 secrets --------------------------------------------------------------------
 
 
