@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -10,7 +11,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from lotframe.llm import language, quality, secrets, substring_dedup
-from lotframe.llm.decontamination import contaminated, op2_spaced_seeds, without_contaminated
+from lotframe.llm.decontamination import MASKS, contaminated, op2_spaced_seeds, without_contaminated
 from lotframe.llm.html import extracted, main_text, op6_tree_scores
 from lotframe.llm.tokens import Words
 
@@ -75,6 +76,30 @@ def test_decontamination_with_substitutions(spark, documents):
     assert contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_masks_hit_any_fifth_of_substitutions():
+    for n in range(12, 24):
+        for gone in itertools.combinations(range(n), n // 5):
+            assert any(not {at + place for place in mask} & set(gone) for mask in MASKS for at in range(n - 11))
+
+
+def test_substituted_items_equal_brute_force(spark, documents):
+    items = {k: prose(n, 5000 + k).split() for k, n in enumerate((12, 16, 23, 39, 60))}
+    rows, expected = [], set()
+    for k, item in items.items():
+        cases = [set(range(phase, len(item), period)) for period in range(5, 12) for phase in range(period)]
+        cases += [set(random.Random(c).sample(range(len(item)), len(item) // 5)) for c in range(20)]
+        for gone in cases:
+            if 5 * len(gone) > len(item):
+                continue
+            rows.append((len(rows), " ".join([prose(9, 70), *("zz" if i in gone else w for i, w in enumerate(item)), prose(9, 71)])))
+            # Padding and substitutes are in no item: equal tokens are all the others.
+            expected |= {(rows[-1][0], k, len(item) - len(gone))} if len(item) - len(gone) >= 10 else set()
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in items.items()], "item_id long, text string")
+    found = contaminated(documents(rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {e[:2] for e in expected}
+    assert all(r.n_equal >= {e[:2]: e[2] for e in expected}[r.doc_id, r.item_id] for r in found)
+
+
 # ---- 3 span removal ------------------------------------------------------------
 
 
