@@ -100,6 +100,20 @@ def test_substituted_items_equal_brute_force(spark, documents):
     assert all(r.n_equal >= {e[:2]: e[2] for e in expected}[r.doc_id, r.item_id] for r in found)
 
 
+def test_runs_short_items_and_unspaced_scripts(spark, documents):
+    item, clause = prose(60, 81).split(), "他在雨中走了很久才回到那座老房子里,因为路被水冲断了"
+    cut = {n: " ".join([prose(20, 82), *item[20 : 20 + n], prose(20, 83)]) for n in (12, 13, 23)}
+    rows = [(n, text) for n, text in cut.items()] + [
+        (100, "Say: seven small ships, sailing!"), (101, "seven small boats sailing seven small ships"), (102, "seven small ships sailing"),
+        (103, f"前面的话。{clause}。后面的话"), (104, "前面的话。后面的话"), (105, "ร้านนี้เปิดวันไหน บอกหน่อย"), (106, "x seven"), (107, None),
+    ]
+    bench = [(1, " ".join(item)), (2, "Seven small ships sailing"), (3, clause), (4, "เปิดวันไหน"), (5, "..."), (6, None)]
+    bench = spark.createDataFrame(bench, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(documents(rows), bench).collect()} == {
+        (13, 1), (23, 1), (100, 2), (102, 2), (103, 3), (105, 4),
+    }
+
+
 # ---- 3 span removal ------------------------------------------------------------
 
 
