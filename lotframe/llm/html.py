@@ -2,7 +2,9 @@
 
 A page is read into a tree of elements. Elements that never hold an article
 (navigation, forms, scripts and the like, or with such a class, id or role) are
-left out. Every paragraph scores for its length and commas and passes the points
+left out. A class, id or role tells so as a whole: all its parts must name such
+things. What a class, id, role, style or form leaves out is kept all the same if
+it holds most of the page's paragraph points, and over ``SPARED_LEAST``. Every paragraph scores for its length and commas and passes the points
 up: all of them to its parent, half to the grandparent, a third and a quarter
 further up. A container's points are discounted by the share of its text that is
 links. The best container is kept, with those siblings that score enough or read
@@ -46,7 +48,9 @@ IMPLIED_END = {
     "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
     "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
 }
-#: Parts of class, id or role names of what is not the article.
+#: Left out unless most of the page is inside; scripts of some sites wrap whole pages in one form.
+WRAPPERS = frozenset("form fieldset label".split())
+#: Class, id or role names of what is not the article.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist disqus "
     "replies reply respond cookie cookies consent gdpr notice notices alert warning popup modal overlay sidebar side rail "
@@ -55,38 +59,48 @@ BOILERPLATE = frozenset(
     "promo promotion promoted sponsor sponsored sponsors teaser tags search form skip hidden feedback complementary "
     "contentinfo".split()
 )
+#: Parts that such a name may have besides: "footer-links" is as boilerplate as "footer".
+NEUTRAL = frozenset("site global box bar block wrapper container inner list links buttons area".split())
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.DOTALL,
 )
-_NAMED = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
-_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+#: One attribute with its value, so that no name is looked for inside the values of others.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 PARAGRAPH_LEAST = 25
 LEVEL_SHARES = (1.0, 0.5, 1 / 3, 0.25)
 SIBLING_SHARE, SIBLING_LEAST = 0.2, 10.0
+#: More points than a paragraph without commas has at 200 characters: an ad is not the text of a page that has few words.
+SPARED_LEAST = 3.0
 
 
 class Node:
-    __slots__ = ("kind", "parent", "children", "out", "score", "size", "linked")
+    __slots__ = ("kind", "parent", "children", "out", "doubtful", "score", "size", "linked")
 
-    def __init__(self, kind: str, parent: Node | None, out: bool):
-        self.kind, self.parent, self.out = kind, parent, out
+    def __init__(self, kind: str, parent: Node | None, out: bool, doubtful: bool = False):
+        self.kind, self.parent, self.out, self.doubtful = kind, parent, out, doubtful
         self.children: list[Node | str] = []
         self.score = 0.0
         self.size = self.linked = 0
 
 
-def _is_boilerplate(attributes: str) -> bool:
-    for name, value in _NAMED.findall(attributes):
+def _names_boilerplate(token: str) -> bool:
+    parts = [part.lower() for part in _PART.findall(token) if not part.isdigit()]
+    return any(part in BOILERPLATE for part in parts) and all(part in BOILERPLATE or part in NEUTRAL for part in parts)
+
+
+def _is_boilerplate(kind: str, attributes: str) -> bool:
+    for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style":
             if re.search(r"display\s*:\s*none", value, re.IGNORECASE):
                 return True
-        elif any(part.lower() in BOILERPLATE for part in _PART.findall(value)):
+        elif name in ("class", "id", "role") and kind != "h1" and any(map(_names_boilerplate, value.split())):
             return True
     return False
 
@@ -137,13 +151,55 @@ def tree(html: str) -> Node:
                 if open_node.kind in ended:
                     node = open_node.parent or root
                 open_node = open_node.parent
-        child = Node(kind, node, node.out or kind in LEFT_OUT or (kind not in ("html", "body", "article", "main") and _is_boilerplate(attributes)))
+        named = kind not in ("html", "body", "article", "main") and _is_boilerplate(kind, attributes)
+        child = Node(kind, node, kind in LEFT_OUT or named, kind not in LEFT_OUT - WRAPPERS)
         node.children.append(child)
         if kind not in VOID:
             node = child
+    _leave_out(root)
     return root
 
 
+def _leave_out(root: Node) -> None:
+    """Passes ``out`` down, except from doubtful elements that hold most of the page's paragraph points."""
+    found, todo, doubts = [], [root], False
+    while todo:
+        node = todo.pop()
+        if node.out and not node.doubtful:
+            continue
+        found.append(node)
+        doubts = doubts or node.out
+        todo.extend(c for c in node.children if isinstance(c, Node))
+    if doubts:
+        points: dict[Node, float] = {}
+        for node in reversed(found):
+            inside = [c for c in node.children if isinstance(c, Node)]
+            node.size = sum(c.size if isinstance(c, Node) else len(c.strip()) for c in node.children)
+            node.linked = node.size if node.kind == "a" else sum(c.linked for c in inside)
+            points[node] = sum(points.get(c, 0.0) for c in inside)
+            if _is_paragraph(node):
+                points[node] += (1 + _commas(node) + min(node.size / 100, 3)) * (1 - _link_density(node))
+        for node in found:
+            if node.out and points[node] > max(points[root] / 2, SPARED_LEAST):
+                node.out = False
+        for node in found:
+            node.size = node.linked = 0
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        for child in node.children:
+            if isinstance(child, Node):
+                child.out = child.out or node.out
+                todo.append(child)
+
+
+def _is_paragraph(node: Node) -> bool:
+    own = node.kind in PARAGRAPHS or (
+        node.kind in ("div", "section", "article") and not any(isinstance(c, Node) and c.kind in BLOCKS for c in node.children)
+    )
+    return own and node.kind not in HEADINGS and node.size >= PARAGRAPH_LEAST
+
+
 def _ordered(root: Node) -> list[Node]:
     """All elements not left out, parents first; without recursion, since pages may nest deeply."""
     found, todo = [], [root]
@@ -185,10 +241,7 @@ def _commas(node: Node) -> int:
 
 def best_container(nodes: list[Node]) -> Node:
     for node in nodes:
-        own = node.kind in PARAGRAPHS or (
-            node.kind in ("div", "section", "article") and not any(isinstance(c, Node) and c.kind in BLOCKS for c in node.children)
-        )
-        if not own or node.kind in HEADINGS or node.size < PARAGRAPH_LEAST:
+        if not _is_paragraph(node):
             continue
         points = 1 + _commas(node) + min(node.size / 100, 3)
         parent = node.parent

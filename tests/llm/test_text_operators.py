@@ -249,6 +249,31 @@ def test_main_text():
     assert main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
+@pytest.mark.parametrize("tag, body", [
+    ('<p title="the hidden cost">', "</p>"), ('<p><a href="/wiki/hidden-figures">', "</a></p>"), ('<p><a href="/item?id=search">', "</a></p>"),
+    ("<p data-x='class=ad'>", "</p>"), ('<h1 class="entry-header">', "</h1>"), ('<div class="article-header">', "</div>"),
+    ('<h1 class="header">', "</h1>"), ('<p class="has-sidebar">', "</p>"),
+])
+def test_attributes_that_are_not_boilerplate(tag, body):
+    paragraph = "<p>A paragraph of some length, with commas, and more words than a menu has.</p>"
+    assert "Kept words." in main_text(f"<body><div>{tag}Kept words.{body}{paragraph * 3}</div></body>")
+
+
+@pytest.mark.parametrize("tag", [
+    'class="ad"', "id=sidebar", 'data-a="1" CLASS="col cookie-notice"', 'role="navigation"', "hidden", 'style="display: none"', "class='footerLinks'", 'class="sidebar-2"',
+])
+def test_attributes_that_are_boilerplate(tag):
+    paragraph = "<p>A paragraph of some length, with commas, and more words than a menu has.</p>"
+    assert "Lost" not in main_text(f"<body><div><div {tag}><p>Lost words of a side matter, that don't belong.</p></div>{paragraph * 3}</div></body>")
+
+
+@pytest.mark.parametrize("tag", ['div class="content has-sidebar"', 'div class="sidebar"', 'form id="search"', 'div style="display:none"'])
+def test_most_of_a_page_is_never_left_out(tag):
+    text = "A paragraph of some length, with commas, and more words than a menu has."
+    page = f"<body><{tag}><div class=promo><p>Buy this thing, at once, for less money.</p></div>{f'<p>{text}</p>' * 3}</{tag.split()[0]}><p>By the way.</p></body>"
+    assert main_text(page).count(text) == 3 and "Buy" not in main_text(page)
+
+
 def test_pages_equal_their_articles(spark, tables):
     from html import unescape
 
