@@ -31,9 +31,14 @@ def opens_table() -> Column:
 
 
 def by_block(grid: DataFrame) -> DataFrame:
-    """The one shuffle of the raw grid; every later step reuses it."""
+    """The one shuffle of the raw grid; every later step reuses it.
+
+    A row without a key raises. The filter after that removes nothing: it states what inner
+    joins would else infer on some branches only, which would keep the exchanges from being equal.
+    """
     keys = [F.coalesce(name, F.raise_error(F.lit(f"a row of the grid has no {name}"))).alias(name) for name in BLOCK]
-    return grid.select(*keys, "row_no", "cells").repartition(*BLOCK)
+    known = F.col(BLOCK[0]).isNotNull() & F.col(BLOCK[1]).isNotNull() & F.col(BLOCK[2]).isNotNull()
+    return grid.select(*keys, "row_no", "cells").where(known).repartition(*BLOCK)
 
 
 def flag_blank_rows(grid: DataFrame) -> DataFrame:
