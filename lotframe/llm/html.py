@@ -2,9 +2,12 @@
 
 A page is read into a tree of elements. Elements that never hold an article
 (navigation, forms, scripts and the like, or with such a class, id or role) are
-left out. A class, id or role tells so as a whole: all its parts must name such
-things. What a class, id, role, style or form leaves out is kept all the same if
-it holds most of the page's paragraph points, and over ``SPARED_LEAST``. Every paragraph scores for its length and commas and passes the points
+left out. Some parts of a class, id or role tell so wherever they stand in the name
+(comments, ads, sidebars and the like), others only if the whole name consists of
+such parts. What a class, id, role, style or form leaves out is kept all the same if
+it holds most of the page's paragraph points, and over ``SPARED_LEAST`` (comments: all
+of them), or, left out by one part of its name, the page's only h1. Every paragraph scores for its length
+and commas and passes the points
 up: all of them to its parent, half to the grandparent, a third and a quarter
 further up. A container's points are discounted by the share of its text that is
 links. The best container is kept, with those siblings that score enough or read
@@ -14,7 +17,8 @@ Defined results: null or empty html gives an empty text; so does a page without
 text outside the left-out elements; a page without paragraphs gives the best
 container's plain text; unclosed and cut-off markup is read as browsers do for
 the cases that occur (implied ends of paragraphs and list items); repeated rows
-give equal rows; an empty table stays empty; extra columns are ignored.
+give equal rows; an empty table stays empty; extra columns are kept, but one named
+``text`` is replaced.
 """
 
 from __future__ import annotations
@@ -50,17 +54,25 @@ IMPLIED_END = {
 }
 #: Left out unless most of the page is inside; scripts of some sites wrap whole pages in one form.
 WRAPPERS = frozenset("form fieldset label".split())
-#: Class, id or role names of what is not the article.
-BOILERPLATE = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist disqus "
-    "replies reply respond cookie cookies consent gdpr notice notices alert warning popup modal overlay sidebar side rail "
-    "widget widgets menu nav navbar navigation pager pagination toolbar topbar masthead header footer foot copyright legal "
-    "share sharing social follow subscribe subscription newsletter signup login register related recommended recommendations "
-    "promo promotion promoted sponsor sponsored sponsors teaser tags search form skip hidden feedback complementary "
+#: Parts of class, id or role names that tell what is not the article wherever they stand in a name.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist disqus replies "
+    "cookie cookies nav navbar navigation sidebar footer related recommended newsletter promo promoted sponsor sponsored "
+    "sponsors".split()
+)
+#: Those of them that tell of what readers wrote, which may be longer than the article.
+OF_READERS = frozenset("comment comments commentlist disqus replies".split())
+#: Such names that tell so only as a whole, since an article has headers, tags or forms of its own.
+WEAK = frozenset(
+    "banner reply respond consent gdpr notice notices alert warning popup modal overlay side rail widget widgets menu pager "
+    "pagination toolbar topbar masthead header foot copyright legal share sharing social follow subscribe subscription "
+    "signup login register recommendations promotion teaser tags search form skip hidden feedback complementary "
     "contentinfo".split()
 )
-#: Parts that such a name may have besides: "footer-links" is as boilerplate as "footer".
+#: Parts that a weak name may have besides: "header-links" is as boilerplate as "header".
 NEUTRAL = frozenset("site global box bar block wrapper container inner list links buttons area".split())
+#: A name with one of these tells what its element has or lacks, not what it is.
+HEDGES = frozenset("has with no not without".split())
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
@@ -78,31 +90,45 @@ SPARED_LEAST = 3.0
 
 
 class Node:
-    __slots__ = ("kind", "parent", "children", "out", "doubtful", "score", "size", "linked")
+    __slots__ = ("kind", "parent", "children", "out", "doubtful", "by_part", "of_readers", "score", "size", "linked")
 
     def __init__(self, kind: str, parent: Node | None, out: bool, doubtful: bool = False):
         self.kind, self.parent, self.out, self.doubtful = kind, parent, out, doubtful
+        self.by_part = self.of_readers = False
         self.children: list[Node | str] = []
         self.score = 0.0
         self.size = self.linked = 0
 
 
-def _names_boilerplate(token: str) -> bool:
+#: Whether an element is left out: not, by a strong part of a longer name, or plainly.
+KEPT, LEFT_BY_PART, LEFT = 0, 1, 2
+
+
+def _named(token: str) -> int:
     parts = [part.lower() for part in _PART.findall(token) if not part.isdigit()]
-    return any(part in BOILERPLATE for part in parts) and all(part in BOILERPLATE or part in NEUTRAL for part in parts)
+    if any(part in STRONG or part in WEAK for part in parts) and all(
+        part in STRONG or part in WEAK or part in NEUTRAL for part in parts
+    ):
+        return LEFT
+    return LEFT_BY_PART if not STRONG.isdisjoint(parts) and HEDGES.isdisjoint(parts) else KEPT
 
 
-def _is_boilerplate(kind: str, attributes: str) -> bool:
+def _boilerplate(kind: str, attributes: str) -> tuple[int, bool]:
+    """Whether the element is left out, and whether as readers' comments."""
+    found, of_readers = KEPT, False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return LEFT, False
         if name == "style":
             if re.search(r"display\s*:\s*none", value, re.IGNORECASE):
-                return True
-        elif name in ("class", "id", "role") and kind != "h1" and any(map(_names_boilerplate, value.split())):
-            return True
-    return False
+                return LEFT, False
+        elif name in ("class", "id", "role") and kind != "h1":
+            for token in value.split():
+                named = _named(token)
+                found = max(found, named)
+                of_readers = of_readers or named > KEPT and not OF_READERS.isdisjoint(p.lower() for p in _PART.findall(token))
+    return found, of_readers
 
 
 def tree(html: str) -> Node:
@@ -151,8 +177,9 @@ def tree(html: str) -> Node:
                 if open_node.kind in ended:
                     node = open_node.parent or root
                 open_node = open_node.parent
-        named = kind not in ("html", "body", "article", "main") and _is_boilerplate(kind, attributes)
-        child = Node(kind, node, kind in LEFT_OUT or named, kind not in LEFT_OUT - WRAPPERS)
+        named, of_readers = (KEPT, False) if kind in ("html", "body", "article", "main") else _boilerplate(kind, attributes)
+        child = Node(kind, node, kind in LEFT_OUT or named > KEPT, kind not in LEFT_OUT - WRAPPERS)
+        child.by_part, child.of_readers = named == LEFT_BY_PART and kind not in LEFT_OUT, of_readers
         node.children.append(child)
         if kind not in VOID:
             node = child
@@ -161,7 +188,10 @@ def tree(html: str) -> Node:
 
 
 def _leave_out(root: Node) -> None:
-    """Passes ``out`` down, except from doubtful elements that hold most of the page's paragraph points."""
+    """Passes ``out`` down, except from doubtful elements that hold most of the page's paragraph points.
+
+    An element left out by a part of its name alone also stays if it holds the page's only h1.
+    """
     found, todo, doubts = [], [root], False
     while todo:
         node = todo.pop()
@@ -179,9 +209,19 @@ def _leave_out(root: Node) -> None:
             points[node] = sum(points.get(c, 0.0) for c in inside)
             if _is_paragraph(node):
                 points[node] += (1 + _commas(node) + min(node.size / 100, 3)) * (1 - _link_density(node))
+        titles = [node for node in found if node.kind == "h1"]
+        above: Node | None = titles[0] if len(titles) == 1 else None
+        while above is not None:
+            above.out = above.out and not above.by_part
+            above = above.parent
         for node in found:
-            if node.out and points[node] > max(points[root] / 2, SPARED_LEAST):
+            # Comments may outgrow the article, so they stay only where the page has no other paragraph.
+            most = points[node] >= points[root] if node.of_readers else points[node] > points[root] / 2
+            if node.out and most and points[node] > SPARED_LEAST:
                 node.out = False
+                if node.of_readers:  # the page has nothing else, so the comments inside are its text too
+                    for other in found:
+                        other.out = other.out and not other.of_readers
         for node in found:
             node.size = node.linked = 0
     todo = [root]

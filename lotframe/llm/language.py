@@ -13,7 +13,8 @@ a fixed size whatever the corpus holds.
 Defined results: null text or one without a letter is ``und`` with score 0, as is
 everything if nothing was learned; rows with null language are not learned from;
 ties go to the smallest language; repeated rows count as often as they stand
-there; extra columns are ignored.
+there; extra columns are kept, but those named ``lang_pred`` or ``score`` are
+replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ GRAM = 3
 FOLDS, HELD_OUT = 3, 1
 #: Trigrams of a document are counted in portions, so a long text needs no more memory.
 BATCH_CHARS = 1 << 19
+#: A table of texts and grams is dense if it has at most so many cells for each gram that occurs: 4 million a portion.
+DENSE_CELLS = 8
+GRAMS_AT_ONCE = 4096
 UNKNOWN = "und"
 _GAP = np.uint32(32)
 _BITS = 21  # of a code point
@@ -89,13 +93,26 @@ def _bundles(texts: list[str], owner: np.ndarray, n_owners: int) -> tuple[np.nda
         kinds, at = np.unique(np.concatenate(grams[a:b]), return_inverse=True)
         whose = np.repeat(owner[a:b], [len(g) for g in grams[a:b]])
         rows, whose = np.unique(whose, return_inverse=True)
-        counts = np.bincount(whose * len(kinds) + at, minlength=len(rows) * len(kinds))
-        counts = counts.reshape(len(rows), len(kinds)).astype(np.float32)
-        for c in range(0, len(kinds), 4096):
-            out[rows] += counts[:, c : c + 4096] @ gram_vectors(kinds[c : c + 4096])
+        if len(rows) * len(kinds) <= DENSE_CELLS * len(at):
+            counts = np.bincount(whose * len(kinds) + at, minlength=len(rows) * len(kinds))
+            counts = counts.reshape(len(rows), len(kinds)).astype(np.float32)
+            for c in range(0, len(kinds), GRAMS_AT_ONCE):
+                out[rows] += counts[:, c : c + GRAMS_AT_ONCE] @ gram_vectors(kinds[c : c + GRAMS_AT_ONCE])
+        else:
+            _add_sparse(out, rows, kinds, *np.unique(whose * len(kinds) + at, return_counts=True))
     return out, has_letter
 
 
+def _add_sparse(out: np.ndarray, rows: np.ndarray, kinds: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> None:
+    """Adds the grams of each (row, kind) pair to its row of ``out``; a table of all rows and kinds is never made."""
+    for c in range(0, len(pairs), GRAMS_AT_ONCE):
+        row, kind = np.divmod(pairs[c : c + GRAMS_AT_ONCE], len(kinds))
+        vectors = gram_vectors(kinds[kind])
+        vectors *= counts[c : c + GRAMS_AT_ONCE, None].astype(np.float32)
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        out[rows[row[first]]] += np.add.reduceat(vectors, first, axis=0)
+
+
 def learned_prototypes(labelled: DataFrame) -> DataFrame:
     """``lang`` and ``prototype`` (array of ``DIMENSIONS``) from ``text`` and ``lang``."""
 

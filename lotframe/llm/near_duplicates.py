@@ -32,23 +32,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..sources.staging import stage
 from .columns import documents, held, released
 from .components import components
-from .tokens import mix64
 
-RADIUS = 2
+SHINGLE_WORDS, RADIUS = 3, 2
 SEED = 42
 #: The tree is fitted on one in ``SAMPLE_SHARE`` points, within these bounds.
 SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST = 32, 2048, 1 << 18
 LEAF_SAMPLE = 64
+HASHES = 1 << 32
 #: Pairs compared at once in a leaf.
 BLOCK_PAIRS = 1 << 22
 PORTION = 1 << 15
-#: Of the wide sketch: 64-bit words, mixings for shards (a pair of similarity 0.8 shares no shard with a chance of 1 in
-#: 390,000), and the bits that a pair to be compared exactly differs in at most. Similarity 0.8 leaves 39 of 256 bits
-#: different, 6 being the deviation; texts of fewer shingles than ``FEW`` deviate more and are all compared.
-WIDE, MIN_WISE, MOST_APART, FEW = 4, 8, 72, 64
-LEAST_SIMILAR = 0.8
-#: Points and shingles of one block of a shard.
-LARGE_SHARD, LARGE_SHINGLES = 4096, 1 << 20
 
 
 def fingerprint(text: str | None, shingle_words: int) -> bytes:
@@ -193,8 +186,10 @@ def fingerprint_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v) that connect what links within ``radius`` connect; ``points``: distinct ``fp``."""
     n = points.count()
     size = min(max(n // SAMPLE_SHARE, SAMPLE_LEAST), SAMPLE_MOST)
-    sample = points.orderBy(F.xxhash64("fp"), "fp").limit(size).toPandas()
-    nodes = vantage_tree(sample.fp.to_numpy(np.int64), LEAF_SAMPLE)
+    # By a limit of the hash, so that no task or driver sees more than the sample; it is within a few per cent of ``size``.
+    limit = min(size * HASHES // max(n, 1), HASHES)
+    sample = points.where(F.pmod(F.xxhash64("fp"), F.lit(HASHES)) < limit).toPandas()
+    nodes = vantage_tree(np.sort(sample.fp.to_numpy(np.int64)), LEAF_SAMPLE)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -210,7 +205,7 @@ def fingerprint_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     return placed.groupBy("leaf").applyInPandas(link, "u long, v long")
 
 
-def near_duplicate_components(docs: DataFrame, shingle_words: int = 5, radius: int = RADIUS) -> DataFrame:
+def near_duplicate_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` for every row of ``docs`` (doc_id, text)."""
     marked = stage(with_fingerprint(docs.select("doc_id", "text"), shingle_words).select("doc_id", "fp"), "fingerprints")
     points = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "points")
@@ -218,191 +213,6 @@ def near_duplicate_components(docs: DataFrame, shingle_words: int = 5, radius: i
     return _named(marked, points, roots, "fp")
 
 
-def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
-    words = text.encode("utf-8", "replace").lower().split() if isinstance(text, str) else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, size = b" ".join(words), min(shingle_words, len(words))
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    start = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-    n, digest = len(words) - size + 1, xxhash.xxh64_digest
-    ends = (start + lengths)[size - 1 :].tolist()
-    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(start[:n].tolist(), ends)]), ">u8").astype(np.uint64)
-
-
-def wide_sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
-    """A fingerprint of ``WIDE`` 64-bit words and the smallest hash under each of ``MIN_WISE`` mixings."""
-    words, n = [], len(hashes)
-    for salt in range(WIDE):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, n, PORTION):
-            mixed = mix64(hashes[at : at + PORTION] + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            counts += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        words.append(np.packbits(counts * 2 > n).tobytes())
-    salts = [np.uint64((i + 101) * 0xD6E8FEB86659FD93 & (1 << 64) - 1) for i in range(MIN_WISE)]
-    return b"".join(words), [int(mix64(hashes ^ s).min().view(np.int64)) for s in salts] if n else []
-
-
-def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, shingle_words))
-
-
-def _sketch_batches(shingle_words: int):
-    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for text in batch:
-                hashes = shingle_set(text, shingle_words)
-                found.append((*wide_sketch(hashes), len(hashes)))
-            yield pd.DataFrame(found, columns=["wide", "mins", "n"])
-
-    return sketch
-
-
-def proposed(
-    wide: np.ndarray, mins: np.ndarray, n: np.ndarray, i: int, side: np.ndarray, least: float
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, mask of later rows) of pairs that may be ``least`` similar and share no shard under a mixing before ``i``.
-
-    If rows are of two sides, only pairs of both are meant.
-    """
-    step, crossed = max(1, BLOCK_PAIRS // (WIDE * max(len(n), 1))), (side != side[0]).any()
-    for at in range(0, len(n), step):
-        rows, later = np.arange(at, min(at + step, len(n))), slice(at, len(n))
-        apart = sum(np.bitwise_count(wide[rows, w][:, None] ^ wide[later, w]).astype(np.int16) for w in range(WIDE))
-        less, more = np.minimum(n[rows][:, None], n[later]), np.maximum(n[rows][:, None], n[later])
-        close = ((apart <= MOST_APART) | (less < FEW)) & (less >= least * more - 1e-9) & (rows[:, None] < np.arange(at, len(n)))
-        if crossed:
-            close &= side[rows][:, None] != side[later]
-        for before in range(i):
-            close &= mins[rows, before][:, None] != mins[later, before]
-        yield rows, close
-
-
-def similar_stars(point: np.ndarray, sets: list[np.ndarray], pairs: Iterator[tuple[np.ndarray, np.ndarray]], least: float):
-    """(point, smallest point of its local component), linked by the Jaccard similarity of ``sets``, over proposed pairs."""
-    begin = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
-    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    n, marked, roots = np.diff(begin), np.zeros(len(values), bool), np.arange(len(point))
-    for rows, close in pairs:
-        for row, partners in zip(rows.tolist(), close):
-            others = np.flatnonzero(partners) + rows[0]
-            # What is linked already needs no second link.
-            others = others[roots[others] != roots[row]]
-            if not len(others):
-                continue
-            own = codes[begin[row] : begin[row + 1]]
-            marked[own] = True
-            shared = np.add.reduceat(
-                marked[np.concatenate([codes[begin[o] : begin[o + 1]] for o in others.tolist()])],
-                np.concatenate(([0], np.cumsum(n[others])[:-1])), dtype=np.int64,
-            )
-            marked[own] = False
-            linked = others[shared >= least * (n[row] + n[others] - shared) - 1e-9]
-            if len(linked):
-                joined = np.unique(np.append(roots[linked], roots[row]))
-                roots[np.isin(roots, joined)] = joined[0]
-    smallest = np.full(len(point), np.iinfo(np.int64).max)
-    np.minimum.at(smallest, roots, point)
-    away = smallest[roots] != point
-    return point[away], smallest[roots[away]]
-
-
-def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of each ``part``, which come sorted; one may reach over several batches."""
-    open_part: list[pd.DataFrame] = []
-    for pdf in batches:
-        part = pdf.part.to_numpy(np.int64)
-        begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else []
-        for a, b in zip(begin, [*begin[1:], len(part)]):
-            if open_part and open_part[0].part.iloc[0] != part[a]:
-                yield pd.concat(open_part, ignore_index=True) if len(open_part) > 1 else open_part[0]
-                open_part = []
-            open_part.append(pdf.iloc[a:b])
-    if open_part:
-        yield pd.concat(open_part, ignore_index=True)
-
-
-def _pairs(rows: pd.DataFrame, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    wide = np.frombuffer(b"".join(rows.wide), np.uint64).reshape(len(rows), WIDE)
-    return proposed(wide, np.stack(rows.mins.to_list()), rows.n.to_numpy(np.int64), int(rows.i.iloc[0]), rows.side.to_numpy(), least)
-
-
-def _with_partners(least: float):
-    """Rows that are in any proposed pair of their part."""
-
-    def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, size = [], 0
-        for rows in _grouped(batches):
-            if len(rows) < 2:
-                continue
-            paired = np.zeros(len(rows), bool)
-            for some, close in _pairs(rows, least):
-                paired[some] |= close.any(axis=1)
-                paired[some[0] :] |= close.any(axis=0)
-            if paired.any():
-                found.append(rows[paired])
-                size += len(found[-1])
-            if size > PORTION:
-                yield pd.concat(found, ignore_index=True)
-                found, size = [], 0
-        if found:
-            yield pd.concat(found, ignore_index=True)
-
-    return propose
-
-
-def _similar_links(shingle_words: int, least: float):
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _grouped(batches):
-            sets = [shingle_set(text, shingle_words) for text in rows.text]
-            u, v = similar_stars(rows.point.to_numpy(np.int64), sets, _pairs(rows, least), least)
-            if len(u):
-                yield pd.DataFrame({"u": u, "v": v})
-
-    return link
-
-
-def near_copy_components(docs: DataFrame, shingle_words: int = 5, least: float = LEAST_SIMILAR) -> DataFrame:
-    """Components of documents whose shingle sets have a Jaccard similarity of ``least``; as ``near_duplicate_components``.
-
-    A similarity of 0.8 leaves 15 % of fingerprint bits different on average. No
-    vantage point prunes at that radius: distances to it differ by a few bits only
-    between unrelated texts. So texts are sharded by their smallest shingle hashes
-    under ``MIN_WISE`` mixings instead. A shard compares all its pairs: one of
-    more than ``LARGE_SHARD`` points or ``LARGE_SHINGLES`` shingles is cut into
-    blocks by hash, and every two blocks meet as a part of their own. A wide
-    fingerprint proposes pairs, loosely, under the first mixing that a pair shares;
-    texts that have a partner go to their parts again and are compared by their
-    shingles. A part gives back one star per local component.
-    """
-    docs = docs.select("doc_id", "text")
-    sketch = F.pandas_udf(_sketch_batches(shingle_words), "wide binary, mins array<long>, n long")
-    by_text = F.xxhash64(F.coalesce("text", F.lit("")))
-    marked = docs.select("doc_id", by_text.alias("by_text"), sketch(F.col("text")).alias("s")).select("doc_id", "by_text", "s.*")
-    # Texts without words are one point.
-    point = F.when(F.col("n") == 0, F.xxhash64(F.lit(""))).otherwise(F.col("by_text"))
-    marked = stage(marked.select("doc_id", point.alias("point"), "wide", "mins", "n"), "sketches")
-    points = stage(marked.groupBy("point").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("wide", "mins", "n")).alias("s")), "points")
-    dealt = points.select("point", "s.*", F.posexplode("s.mins").alias("i", "smallest"))
-    dealt = dealt.withColumn("shard", F.xxhash64("i", "smallest")).drop("smallest")
-    blocks = F.ceil(F.greatest(F.count("*") / LARGE_SHARD, F.sum("n") / LARGE_SHINGLES)).cast("int").alias("blocks")
-    sizes = dealt.groupBy("shard").agg(F.count("*").alias("sharing"), blocks).where("sharing > 1").drop("sharing")
-    shared = dealt.join(stage(sizes, "shard-sizes"), "shard")
-    side = F.pmod(F.xxhash64("point", "shard"), "blocks").cast("int")
-    shared = shared.withColumn("side", side).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    part = F.xxhash64("shard", F.least("side", "other"), F.greatest("side", "other")).alias("part")
-    columns = "part long, point long, wide binary, mins array<long>, n long, i int, side int"
-    parts = shared.select(part, "point", "wide", "mins", "n", "i", "side").repartition("part").sortWithinPartitions("part")
-    paired = stage(parts.mapInPandas(_with_partners(least), columns), "paired")
-    texts = docs.select(by_text.alias("point"), "text").join(paired.select("point").distinct(), "point", "left_semi")
-    texts = stage(texts.dropDuplicates(["point"]), "paired-texts")
-    compared = paired.join(texts, "point").repartition("part").sortWithinPartitions("part")
-    links = compared.mapInPandas(_similar_links(shingle_words, least), "u long, v long")
-    roots = components(links).withColumnRenamed("node", "point")
-    return _named(marked.select("doc_id", "point"), points, roots, "point")
-
-
 def _named(marked: DataFrame, points: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     """Every row of ``marked`` with the smallest doc_id of its component."""
     rooted = points.join(roots, key, "left").withColumn("root", F.coalesce("root", key))
@@ -423,5 +233,5 @@ def one_per_component(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicate_components(documents(spark, sf_dir), shingle_words=3)
+    found = near_duplicate_components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -100,69 +100,32 @@ def test_vantage_tree_finds_every_link(spark, monkeypatch, seed):
     assert found == expected and len(set(expected.values())) < len(points)
 
 
-def jaccard(a, b):
-    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
-    return len(a & b) / len(a | b)
-
-
-@pytest.mark.parametrize("large", [4096, 8])
-def test_similar_texts_share_a_component(spark, documents, monkeypatch, large):
-    monkeypatch.setattr(near, "LARGE_SHARD", large)
+def test_one_document_of_each_component_stays(spark, documents):
     rows, family = [], {}
-    for f in range(12):
-        base = prose(240, 50 + f).split()
+    for f in range(8):
+        base = prose(900, 50 + f)
         for k in range(4 if f else 30):
-            words = list(base)
-            if k:
-                words[7 * k] = f"new{k}"
-            rows.append((len(rows), " ".join(words)))
+            rows.append((len(rows), base + " " * k if k % 2 else base.replace(" ", "  ")))
             family[len(rows) - 1] = f
-    rows += [(1000 + i, prose(240, 900 + i)) for i in range(40)] + [(2000, None), (2001, "")]
-    found = {r.doc_id: r.component_id for r in near.near_copy_components(documents(rows)).collect()}
-    assert jaccard(rows[0][1], rows[1][1]) > 0.9
-    for i, f in family.items():
-        assert found[i] == min(j for j, g in family.items() if g == f)
-    assert all(found[1000 + i] == 1000 + i for i in range(40)) and found[2001] == 2000
+    rows += [(1000 + i, prose(240, 900 + i)) for i in range(40)] + [(2000, None), (2001, ""), (3000, "long " * 40_000)]
+    found = {r.doc_id: r.component_id for r in near.near_duplicate_components(documents(rows)).collect()}
+    assert all(found[i] == min(j for j, g in family.items() if g == f) for i, f in family.items())
+    assert all(found[1000 + i] == 1000 + i for i in range(40)) and found[2001] == 2000 and found[3000] == 3000
     docs = documents([*rows, rows[0], (None, "x y"), (None, rows[0][1])])
-    kept = near.one_per_component(docs, near.near_copy_components(docs))
+    kept = near.one_per_component(docs, near.near_duplicate_components(docs))
     ids = collections.Counter(r.doc_id for r in kept.collect())
     assert ids == collections.Counter({**{i: 1 for i in set(found.values())}, None: 2}) and kept.columns == docs.columns
 
 
-def similar_roots(rows):
-    ids = [i for i, _ in rows]
-    return union(ids, [(i, j) for k, (i, a) in enumerate(rows) for j, b in rows[:k] if jaccard(a, b) >= 0.8])
-
-
-@pytest.mark.parametrize("large, shingles", [(4096, 1 << 20), (16, 1 << 20), (4096, 3000)])
-def test_mutual_similarity_near_the_limit_is_compared_whole(spark, documents, monkeypatch, large, shingles):
-    monkeypatch.setattr(near, "LARGE_SHARD", large)
-    monkeypatch.setattr(near, "LARGE_SHINGLES", shingles, raising=False)
-    base, rows = prose(300, 77).split(), []
-    for i in range(90):
-        words, rng = list(base), random.Random(i)
-        for at in rng.sample(range(300), 3 + i % 4):
-            words[at] = f"n{i}x{at}"
-        rows.append((i, " ".join(words)))
-    expected = similar_roots(rows)
-    assert 3 < len(set(expected.values())) < 80
-    assert {r.doc_id: r.component_id for r in near.near_copy_components(documents(rows)).collect()} == expected
-
-
-@pytest.mark.parametrize("n", [9, 40, 304, 1204])
-def test_links_are_similar_by_their_shingles(spark, documents, n):
-    rows, n_shingles = [], n - 4
-    for f in range(60):
-        words = prose(n, 3000 + f).split()
-        # A prefix keeps n - 4 - cut of n - 4 shingles; the last that has 0.8, the one after, and 0.75 to 0.6.
-        most = n_shingles // 5
-        for cut in sorted({0, most, most + 1, n_shingles // 4, n_shingles * 2 // 5}):
-            rows.append((len(rows), " ".join(words[: n - cut])))
-    found = {r.doc_id: r.component_id for r in near.near_copy_components(documents(rows)).collect()}
-    per = len(rows) // 60
-    for f in range(60):
-        family = rows[per * f : per * (f + 1)]
-        assert {i: found[i] for i, _ in family} == similar_roots(family)
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(near, "SAMPLE_LEAST", 50)
+    monkeypatch.setattr(near, "SAMPLE_MOST", 60)
+    seen = []
+    plain = near.vantage_tree
+    monkeypatch.setattr(near, "vantage_tree", lambda points, leaf: seen.append(points) or plain(points, leaf))
+    points = spark.range(5000).select(F.xxhash64("id").alias("fp"))
+    near.fingerprint_links(points)
+    assert 20 < len(seen[0]) < 120 and (np.diff(seen[0]) > 0).all()
 
 
 # ---- 5 token files ---------------------------------------------------------------
@@ -221,11 +184,10 @@ def test_pipeline_keeps_clean_documents(spark, tables):
     rows = {name: {r.doc_id: r.text for r in df.collect()} for name, df in (("q", quality), ("d", distinct), ("c", clean))}
     items = [r.text for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
     assert set(rows["d"].values()) <= set(rows["q"].values()) and len(set(rows["d"].values())) == len(rows["d"])
-    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows["q"].items() for w in [t.lower().split()]}
-    for i in rows["q"].keys() - rows["d"].keys():
-        assert max(len(shingles[i] & s) / len(shingles[i] | s) for j, s in shingles.items() if j != i) >= 0.5
-    ids = sorted(rows["d"])
-    assert not [(i, j) for i in ids for j in ids if i < j and len(shingles[i] & shingles[j]) >= 0.85 * len(shingles[i] | shingles[j])]
+    prints = {i: plain_fingerprint(t, 3) for i, t in rows["q"].items()}
+    ids = sorted(prints)
+    roots = union(ids, [(i, j) for i in ids for j in ids if i < j and (prints[i] ^ prints[j]).bit_count() <= 2])
+    assert rows["d"].keys() == set(roots.values())
     assert rows["d"].keys() - rows["c"].keys() == {i for i, t in rows["d"].items() if any(x in t for x in items)}
     mixed = corpus_pipeline.source_mix(spark, clean, tables)
     assert mixed.columns == docs.columns

@@ -13,7 +13,7 @@ from hypothesis import given, settings, strategies as st
 from lotframe.llm import language, quality, secrets, substring_dedup
 from lotframe.llm.decontamination import MASKS, contaminated, op2_spaced_seeds, without_contaminated
 from lotframe.llm.html import extracted, main_text, op6_tree_scores
-from lotframe.llm.tokens import Words
+from lotframe.llm.tokens import Words, portions
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NOISE = random.Random(7)
@@ -267,6 +267,40 @@ def test_attributes_that_are_boilerplate(tag):
     assert "Lost" not in main_text(f"<body><div><div {tag}><p>Lost words of a side matter, that don't belong.</p></div>{paragraph * 3}</div></body>")
 
 
+PART_NAMES = (
+    "comments-section post-comments user-comments comment-body comment-thread article-comments related-posts related-articles "
+    "ad-slot google-ad main-nav sidebar-left page-footer promo-unit"
+).split()
+
+
+@pytest.mark.parametrize("name", PART_NAMES)
+@pytest.mark.parametrize("attribute", ["class", "id"])
+def test_parts_of_names_that_are_boilerplate(name, attribute):
+    text = "A paragraph of some length, with commas, and more words than a menu has."
+    lost = f"<div {attribute}='{name}'><p>Lost words of a side matter, that don't belong, however many.</p></div>"
+    inside = f"<body><article><h1>Head</h1>{f'<p>{text}</p>' * 4}{lost}</article></body>"
+    beside = f"<body><h1>Head</h1><div class=post>{f'<p>{text}</p>' * 4}</div>{lost}</body>"
+    camel = inside.replace(name, "".join(part.capitalize() for part in name.split("-")))
+    for page in (inside, beside, camel):
+        assert "Lost" not in main_text(page) and main_text(page).count(text) == 4
+
+
+@pytest.mark.parametrize("name", ["no-comments", "with-sidebar", "without-ads", "commentary", "header-image", "post-tags-list-item", "unrelated"])
+def test_names_that_only_seem_boilerplate(name):
+    text = "A paragraph of some length, with commas, and more words than a menu has."
+    assert "Kept words" in main_text(f"<article><h1>Head</h1>{f'<p>{text}</p>' * 3}<div class={name}><p>Kept words, of a part.</p></div></article>")
+
+
+def test_comments_longer_than_the_article_and_a_page_of_nothing_else():
+    text = "A paragraph of some length, with commas, and more words than a menu has."
+    comments = "<div class=comments-section>" + "<div class=comment-body><p>What a reader wrote, at length, with commas.</p></div>" * 30 + "</div>"
+    assert main_text(f"<body><div class=post><h1>Head</h1>{f'<p>{text}</p>' * 3}</div>{comments}</body>").count("reader") == 0
+    assert main_text(f"<body>{comments}</body>").count("reader") == 30
+    # The part of a name that holds the only heading names the page's own text.
+    page = f"<body><div class=news-comment><h1>Head</h1>{f'<p>{text}</p>' * 3}</div><div class=other><p>{text}</p></div></body>"
+    assert "Head" in main_text(page)
+
+
 @pytest.mark.parametrize("tag", ['div class="content has-sidebar"', 'div class="sidebar"', 'form id="search"', 'div style="display:none"'])
 def test_most_of_a_page_is_never_left_out(tag):
     text = "A paragraph of some length, with commas, and more words than a menu has."
@@ -351,6 +385,24 @@ def test_language_held_out(spark, tables):
     assert len(found) == len(truth) and all(0 <= r.score <= 1 for r in found)
 
 
+def test_short_texts_of_many_letters_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 50))) for _ in range(10_000)]
+    tracemalloc.start()
+    for a, b in portions([len(t) for t in texts], language.BATCH_CHARS):
+        found, known = language._bundles(texts[a:b], np.arange(b - a), b - a)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6 and known.all()
+    # Sparse and dense tables add up the same.
+    mixed = texts[:40] + ["some words of a language", "andere Wörter", "", "1 2 3"] * 5
+    whole, _ = language._bundles(mixed, np.arange(len(mixed)), len(mixed))
+    alone = np.concatenate([language._bundles([t], np.zeros(1, int), 1)[0] for t in mixed])
+    assert (whole == alone).all()
+
+
 def test_language_rows(spark, documents):
     rows = [(i, prose(40, i, "aeioulmn"), "xx") for i in range(8)] + [(20 + i, prose(40, i, "krtzvbyä"), "yy") for i in range(8)]
     rows += [(50, "ignored words", None), (51, None, "xx"), (52, "", "yy")]
