@@ -233,12 +233,19 @@ def kept_lines(lines: DataFrame, common: DataFrame) -> DataFrame:
             for number, part in pdf.groupby("portion", sort=False):
                 if number != portion:
                     portion, keys = number, np.zeros(0, np.uint64)
-                marks = part.row_key.isna()
-                keys = _distinct([keys.tobytes(), *part.hashes[marks]])
-                for key, blob in zip(part.row_key[~marks], part.hashes[~marks]):
-                    keep = ~np.isin(np.frombuffer(blob, np.uint64), keys)
-                    if not keep.all():
-                        out.append((int(key), np.flatnonzero(keep).astype(np.int32)))
+                answers = part.row_key.isna().to_numpy()
+                keys = _distinct([keys.tobytes(), *part.hashes[answers]])
+                blobs = part.hashes[~answers].tolist()
+                # The lines of all documents at once; most documents lose none.
+                line = np.frombuffer(b"".join(blobs), np.uint64)
+                at = np.minimum(np.searchsorted(keys, line), max(len(keys) - 1, 0))
+                keep = keys[at] != line if len(keys) else np.ones(len(line), bool)
+                ends = np.cumsum([len(blob) // 8 for blob in blobs])
+                losing = np.unique(np.searchsorted(ends, np.flatnonzero(~keep), "right"))
+                row_keys = part.row_key[~answers].tolist()
+                for doc in losing.tolist():
+                    begin = ends[doc] - len(blobs[doc]) // 8
+                    out.append((int(row_keys[doc]), np.flatnonzero(keep[begin : ends[doc]]).astype(np.int32)))
             yield pd.DataFrame(out, columns=["row_key", "keep"])
 
     both = lines.select("portion", F.struct("row_key").alias("row"), "hashes").unionByName(
