@@ -7,9 +7,9 @@ columns of ``documents``; columns that ``docs`` has beyond those are dropped.
 
 1. quality rules: documents with too few or too many repeated words go, and so do
    outliers among their language and source.
-2. near duplicates: one document of each component of SimHash fingerprints over
-   five-word shingles, at a similarity of 0.8, stays: the one with the smallest
-   doc_id.
+2. near duplicates: documents whose SimHash fingerprints over three-word shingles
+   differ in two bits at most are linked; of each component one document stays, the
+   one with the smallest doc_id.
 3. decontamination: documents that hold a benchmark item go.
 4. mixing: blocks of words are drawn so that sources have their target shares. A
    document has a row for each pass over its source that takes any of it, with the
@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lotframe.llm.decontamination import without_contaminated
 from lotframe.llm.mixing import Mix
-from lotframe.llm.near_duplicates import near_copy_components, one_per_component
+from lotframe.llm.near_duplicates import near_duplicate_components, one_per_component
 from lotframe.llm.quality import kept_documents
 from lotframe.llm.token_files import token_file_digest
 from lotframe.sources.staging import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-SHINGLE_WORDS = 5
+SHINGLE_WORDS, MOST_BITS = 3, 2
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    return one_per_component(docs, near_copy_components(docs, SHINGLE_WORDS))
+    return one_per_component(docs, near_duplicate_components(docs, SHINGLE_WORDS, MOST_BITS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
