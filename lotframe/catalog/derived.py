@@ -6,8 +6,17 @@ in one of three layouts, by ``suppkey % 3``: flat, hybrid, symbol-grouped.
 
 from __future__ import annotations
 
+import io
+import re
+import uuid
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..sources.inputs import file_system
+from ..sources.manifest import qualified
 from ..sources.staging import stage
 
 AS_OF = "2002-01-01"
@@ -230,3 +239,66 @@ def benchmark_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In percent for every second user."""
     scaled = F.when(F.col("series_id") % 2 == 0, F.col("r") * 100).otherwise(F.col("r"))
     return _returns(user_days(spark, sf_dir), "total").withColumn("r", scaled)
+
+
+#: Rows of one sheet of a derived workbook.
+SHEET_ROWS = 200
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _sheet_xml(rows: list[list[str]], number_of: dict[str, int]) -> str:
+    """Whole numbers as numbers, first cells as shared strings, all others in place."""
+    lines = []
+    for cells in rows:
+        parts = []
+        for at, cell in enumerate(cells):
+            if not cell:
+                parts.append("<c/>")
+            elif re.fullmatch("[1-9][0-9]{0,14}", cell):
+                parts.append(f"<c><v>{cell}</v></c>")
+            elif at == 0:
+                parts.append(f'<c t="s"><v>{number_of.setdefault(cell, len(number_of))}</v></c>')
+            else:
+                parts.append(f'<c t="inlineStr"><is><t>{escape(cell)}</t></is></c>')
+        lines.append(f"<row>{''.join(parts)}</row>")
+    return f'<worksheet xmlns="{_MAIN}"><sheetData>{"".join(lines)}</sheetData></worksheet>'
+
+
+def workbook_bytes(rows: list[list[str]], sheet_rows: int = SHEET_ROWS) -> bytes:
+    """An XLSX file with the rows on sheets S1, S2 and so on."""
+    sheets = [rows[at : at + sheet_rows] for at in range(0, len(rows), sheet_rows)]
+    number_of: dict[str, int] = {}
+    target = io.BytesIO()
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as book:
+        names = "".join(f'<sheet name="S{n}" sheetId="{n}" r:id="r{n}"/>' for n in range(1, len(sheets) + 1))
+        links = "".join(f'<Relationship Id="r{n}" Target="worksheets/s{n}.xml"/>' for n in range(1, len(sheets) + 1))
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_LINKS}"><sheets>{names}</sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="x">{links}</Relationships>')
+        for number, some in enumerate(sheets, start=1):
+            book.writestr(f"xl/worksheets/s{number}.xml", _sheet_xml(some, number_of))
+        items = "".join(f"<si><t>{escape(text)}</t></si>" for text in number_of)
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{_MAIN}">{items}</sst>')
+    return target.getvalue()
+
+
+def write_workbooks(reports: DataFrame, folder: str) -> int:
+    """One workbook for each report and block, written by the tasks; the number of workbooks."""
+    spark = reports.sparkSession
+    system, inner = file_system(qualified(spark, [folder])[0])
+    system.create_dir(inner)
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        report, block = pdf.report[0], pdf.block[0]
+        rows = [list(cells) for cells in pdf.sort_values("row_no").cells]
+        name = f"{inner}/{report}-{block}.xlsx"
+        # A task that is run twice, or by two executors at once, leaves one whole file.
+        scratch = f"{inner}/_{report}-{block}-{uuid.uuid4().hex}"
+        with system.open_output_stream(scratch) as target:
+            target.write(workbook_bytes(rows))
+        system.move(scratch, name)
+        return pd.DataFrame({"name": [name]})
+
+    report = F.regexp_extract("file", "([^/]*)[.]csv$", 1).alias("report")
+    blocks = reports.select(report, "block", "row_no", "cells").groupBy("report", "block")
+    return blocks.applyInPandas(write, "name string").count()

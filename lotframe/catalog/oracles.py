@@ -10,7 +10,7 @@ from __future__ import annotations
 from ..functions.text import CATEGORY_HEADINGS
 from ..operators.canonical import FULL_FIELDS
 from ..sources.mapping import DEFAULT_SYNONYMS, mapping_entries
-from .derived import AS_OF, FLAT_HEADER, GROUP_HEADER, HYBRID_HEADER, ORDERS_PER_BLOCK
+from .derived import AS_OF, FLAT_HEADER, GROUP_HEADER, HYBRID_HEADER, ORDERS_PER_BLOCK, SHEET_ROWS
 
 
 def _text(value: str) -> str:
@@ -339,6 +339,13 @@ select 'B' || suppkey || '_2002' as report, cast(block as bigint) as block,
   cast(row_number() over (partition by suppkey, block order by row_no) - 1 as bigint) as row_no,
   case when regexp_matches(array_to_string(cells, ''), '.') or len(cells) <> 1 then array_to_string(cells, '|') else '' end as cells
 from grid""",
+    "workbook_scan": f"""with {GRID},
+placed as (select suppkey, block, cells, row_number() over (partition by suppkey, block order by row_no) - 1 as at from grid),
+sheets as (select *, at // {SHEET_ROWS} as sheet, max(len(cells)) over (partition by suppkey, block, at // {SHEET_ROWS}) as width from placed)
+select 'B' || suppkey || '_2002' as report, cast(block as bigint) as block, 'S' || (sheet + 1) as sheet,
+  cast(at % {SHEET_ROWS} as bigint) as row_no, array_to_string(list_resize(cells, width, ''), '|') as cells
+from sheets""",
+    "stream_ingest": _HOLDERS,
     "flat_scan": f"with {LOTS} select {COLUMNS} from lots",
     "beta_strict": f"""with {SERIES},
 both_sides as (select series_id, p.r as p, b.r as b from (from pr where r is not null) p

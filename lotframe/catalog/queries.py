@@ -33,6 +33,7 @@ from ..sources.flat import read_flat
 from ..sources.grid import read_folder, select_sheets
 from ..sources.mapping import DEFAULT_SYNONYMS, mapping_frame, resolve_mapping, resolve_variants
 from ..sources.staging import new_folder
+from ..streaming.ingest import stream_reports
 from . import derived
 from .derived import AS_OF, table
 
@@ -566,6 +567,33 @@ def grid_scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def workbook_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports written as workbooks of several sheets by the tasks, and scanned back."""
+    folder = new_folder(spark, "workbooks")
+    derived.write_workbooks(_reports(spark, sf_dir), folder)
+    scanned = read_folder(spark, folder, "*.xlsx")
+    return scanned.select(
+        F.regexp_extract("file", r"([^/]*)-\d+[.]xlsx$", 1).alias("report"),
+        F.regexp_extract("file", r"-(\d+)[.]xlsx$", 1).cast("long").alias("block"),
+        "sheet",
+        "row_no",
+        _cells(),
+    )
+
+
+@query
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports that arrive in several batches, half of them again later, through the stream."""
+    fields, folder = ("Account", "Symbol", "Value"), new_folder(spark, "arriving")
+    sink, checkpoint = new_folder(spark, "stream-sink"), new_folder(spark, "stream-state")
+    holders = _holders(spark, sf_dir)
+    for part in ("c_custkey % 3 <> 0", "c_custkey % 3 <> 1"):
+        sinks.lossless_csv(holders.where(part).select(*fields).repartition(4).write.mode("append")).csv(folder)
+        stream_reports(spark, folder, sink, checkpoint, fields, files_per_batch=2, available_now=True).finish()
+    return spark.read.parquet(sink).select(*fields)
+
+
 @query
 def flat_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "flat-lots")

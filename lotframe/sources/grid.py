@@ -1,7 +1,8 @@
 """Report files as a grid of text cells.
 
 ``grid(file, sheet_no, sheet, block, row_no, cells)`` is the only place where
-Python sees data. Everything after it is expressed on columns.
+Python sees data. Everything after it is expressed on columns. Files are read by
+the data source of ``report_source``, whatever their size.
 """
 
 from __future__ import annotations
@@ -14,15 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .cells import ZIP_MAGIC, text_rows, workbook_rows
-from .long_text import LONG_TEXT_BYTES, read_long_text
-from .manifest import literal, path_length, united_entries
+from .inputs import is_reachable
+from .manifest import existing_files, literal, path_length, united_entries
+from .report_source import BLOCK_ROWS, GRID_SCHEMA, SPLIT_BYTES, batched, grid_of_files
 
 log = logging.getLogger(__name__)
 
-GRID_SCHEMA = "file string, sheet_no int, sheet string, block long, row_no long, cells array<string>"
-BLOCK_ROWS = 65_536
-BATCH_ROWS = 20_000
-
 
 def _sheets(content: bytes, tabs: list[str] | None) -> Iterator[tuple[int, str | None, list[str]]]:
     """Rows of one file; whatever is not a readable workbook is read as text."""
@@ -49,12 +47,6 @@ def _file_rows(file: str, content: bytes, tabs: list[str] | None, block_rows: in
         yield file, 0, None, 0, 0, []
 
 
-def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())]
-    columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
-    return pa.RecordBatch.from_arrays(columns, ["file", "sheet_no", "sheet", "block", "row_no", "cells"])
-
-
 def parse_files(files: DataFrame, tabs_by_path: dict[str, list[str]] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Grid of a binary-file frame with ``path`` and ``content``.
 
@@ -64,15 +56,10 @@ def parse_files(files: DataFrame, tabs_by_path: dict[str, list[str]] | None = No
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for path, content in zip(batch["path"].to_pylist(), batch["content"]):
-                for row in _file_rows(path, content.as_py(), tabs_by_path.get(path), block_rows):
-                    rows.append(row)
-                    if len(rows) == BATCH_ROWS:
-                        yield _record_batch(rows)
-                        rows = []
-            if rows:
-                yield _record_batch(rows)
+            files = zip(batch["path"].to_pylist(), batch["content"])
+            yield from batched(
+                row for path, content in files for row in _file_rows(path, content.as_py(), tabs_by_path.get(path), block_rows)
+            )
 
     return files.select("path", "content").mapInArrow(parse, GRID_SCHEMA)
 
@@ -82,50 +69,51 @@ def read_grid(
     entries: Iterable[str | dict],
     on_bad_file: str = "fail",
     block_rows: int = BLOCK_ROWS,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """Grid of the listed reports; missing files are skipped with a warning.
 
-    Long CSV texts are read by splits, all other files whole, one at a time.
-    Spark packs small files into tasks by ``spark.sql.files.maxPartitionBytes``.
+    Files are read by byte ranges of ``split_bytes``; their lengths are asked for in tasks.
+    Those in stores that only Spark can read are read whole.
     """
-    found: dict[str, list[str] | None] = {}
-    empty, long = [], []
-    for path, tabs in united_entries(spark, entries, on_bad_file).items():
-        length = path_length(spark, path)
-        if length is None:
-            log.warning("input file does not exist: %s", path)
-        elif length == 0:
-            # File scans leave these out, but such a file still counts as a report.
-            empty.append((path, 0, None, 0, 0, []))
-        elif length > LONG_TEXT_BYTES and path.lower().endswith(".csv"):
-            long.append(path)
-        else:
-            found[path] = tabs
-    parts = [spark.createDataFrame(empty, GRID_SCHEMA)] if empty or not (found or long) else []
-    if found:
-        selected = {path: tabs for path, tabs in found.items() if tabs}
-        parts.append(parse_files(spark.read.format("binaryFile").load(list(map(literal, found))), selected, block_rows))
-    if long:
-        parts.append(read_long_text(spark, long))
+    united = united_entries(spark, entries, on_bad_file)
+    near = {path: tabs for path, tabs in united.items() if is_reachable(path)}
+    far = {path: tabs for path, tabs in united.items() if path not in near}
+    parts = []
+    if near or not far:
+        parts.append(grid_of_files(existing_files(spark, near), split_bytes, block_rows))
+    if far:
+        lengths = {path: path_length(spark, path) for path in far}
+        found = [path for path, length in lengths.items() if length]
+        # File scans leave empty files out, but such a file still counts as a report.
+        empty = [(path, 0, None, 0, 0, []) for path, length in lengths.items() if length == 0]
+        parts.append(spark.createDataFrame(empty, GRID_SCHEMA))
+        if found:
+            selected = {path: far[path] for path in found if far[path]}
+            parts.append(parse_files(spark.read.format("binaryFile").load(list(map(literal, found))), selected, block_rows))
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_folder(spark: SparkSession, folder: str, glob: str = "*", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Grid of all reports below a folder, listed by Spark and not by the caller.
+def read_listed(files: DataFrame, block_rows: int = BLOCK_ROWS, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Grid of a binary-file frame: by byte ranges, without its ``content``, if tasks can read all its paths."""
+    stores = files.select(F.regexp_extract("path", "^[^:]*:(//[^/]*/)?", 0).alias("store")).distinct().collect()
+    if all(is_reachable(row["store"]) for row in stores):
+        whole = F.lit(None).cast("array<string>").alias("tabs")
+        return grid_of_files(files.select("path", "length", whole), split_bytes, block_rows)
+    return parse_files(files, None, block_rows)
 
-    Only the paths of long texts come to the driver, one per
-    ``LONG_TEXT_BYTES`` of data at most; they are read by splits.
-    """
+
+def read_folder(
+    spark: SparkSession, folder: str, glob: str = "*", block_rows: int = BLOCK_ROWS, split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
+    """Grid of all reports below a folder, listed by Spark and not by the caller."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .load(folder)
     )
-    is_long = (F.col("length") > LONG_TEXT_BYTES) & ~F.col("path").rlike("(?i)[.]xlsx?$")
-    long = [row["path"] for row in files.filter(is_long).select("path").collect()]
-    grid = parse_files(files.filter(~is_long), None, block_rows)
-    return grid.unionByName(read_long_text(spark, long)) if long else grid
+    return read_listed(files, block_rows, split_bytes)
 
 
 def select_sheets(grid: DataFrame, tabs: Sequence[str] | None) -> DataFrame:

@@ -1,24 +1,29 @@
+import os
 import pathlib
+import subprocess
+import sys
+import textwrap
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from lotframe.operators import canonical
 from lotframe.plans.ingest import ingest
 from lotframe.operators.segment import by_block
 from lotframe.operators.series import beta_truncated
 from lotframe.plans.jobs import lots_of_files, return_series, run
-from lotframe.sources import grid as grid_module
 from lotframe.sources.cells import text_rows
 from lotframe.sources.flat import read_flat
 from lotframe.sources.grid import read_folder, read_grid, select_sheets
 from lotframe.sources.manifest import choose_entries, manifest_entries, manifest_frame, united_entries
 from lotframe.sources.sinks import latest_version, lots_path, read_lots, with_previous, write_lots
 from lotframe.sources.staging import shared_folder
-from lotframe.streaming.ingest import stream_reports
+from lotframe.streaming.ingest import land_batch, stream_reports
 
 from reports import FILES, FLAT, HYBRID, LOTS
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
@@ -159,20 +164,36 @@ def test_stream_appends_once(spark, tmp_path):
     folder, sink, checkpoint = tmp_path / "in", str(tmp_path / "sink"), str(tmp_path / "cp")
 
     def drain():
-        query = stream_reports(spark, str(folder), sink, checkpoint, available_now=True)
-        query.awaitTermination(300)
-        assert query.exception() is None
-        found = spark.read.parquet(sink).drop("batch_id", "bucket").collect()
-        return len(found), {tuple(row) for row in found}
+        stream = stream_reports(spark, str(folder), sink, checkpoint, files_per_batch=1, available_now=True)
+        stream.finish(300)
+        assert stream.landing.exception() is None and stream.unseen.exception() is None
+        found = spark.read.parquet(sink).collect()
+        return stream, len(found), {tuple(row) for row in found}
 
     _write_files(folder, ["AA_1.csv", "CC_1.csv"])
     first = {lot for lot in LOTS if lot[0] in ("AA", "CC")}
-    assert drain() == (len(first), first)
+    assert drain()[1:] == (len(first), first)
     _write_files(folder, ["BB_1.csv"])
     (folder / "AA_2.csv").write_text(FLAT + "Main,00123,NEW,1,,,,,\n")
     second = first | {lot for lot in LOTS if lot[0] == "BB"}
     second |= {("AA", "Main", "00123", "NEW", "1", None, None, None, None, None, None)}
-    assert drain() == (len(second), second)
+    stream, *found = drain()
+    assert found == [len(second), second]
+    # What was put out before is not read again: the batch reads the lots that have landed since, repeats included.
+    progress = [p for p in stream.unseen.recentProgress if p.numInputRows]
+    assert sum(p.numInputRows for p in progress) == len([lot for lot in LOTS if lot[0] == "BB"]) + 3
+    assert all(source.description.endswith("/landed]") for p in progress for source in p.sources)
+    assert {p.stateOperators[0].operatorName for p in progress} == {"dedupe"}
+    # A landed batch that is run again stays as it is; one that was cut off is written anew and goes through once.
+    landed = pathlib.Path(checkpoint) / "landed"
+    names = sorted(str(f) for f in landed.rglob("*.parquet"))
+    files = spark.read.format("binaryFile").load(str(folder / "AA_1.csv"))
+    land_batch(files, 0, str(landed), canonical.FULL_FIELDS)
+    assert sorted(str(f) for f in landed.rglob("*.parquet")) == names
+    (landed / "batch_id=0" / "_SUCCESS").unlink()
+    land_batch(files, 0, str(landed), canonical.FULL_FIELDS)
+    assert sorted(str(f) for f in landed.rglob("*.parquet")) != names
+    assert drain()[1:] == (len(second), second)
 
 
 def test_folder_scan(spark, tmp_path):
@@ -181,7 +202,7 @@ def test_folder_scan(spark, tmp_path):
     assert {tuple(row) for row in ingest(grid).collect()} == {lot for lot in LOTS if lot[0] in ("AA", "CC")}
 
 
-def test_odd_names_and_open_quotes_at_any_size(spark, tmp_path, monkeypatch):
+def test_odd_names_and_open_quotes_at_any_size(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name in ("M L_1.csv", "G[1]_1.csv", "P%20+_1.csv", "S{a}*_1.csv"):
         (tmp_path / "in" / name).write_text(FLAT + 'Main,1,OPEN,2,01/15/2020,,,,"never closed\n')
@@ -189,7 +210,8 @@ def test_odd_names_and_open_quotes_at_any_size(spark, tmp_path, monkeypatch):
     short = {tuple(row) for row in lots_of_files(spark, entries).collect()}
     assert {lot[0] for lot in short} == {"M L", "G[1]", "P%20+", "S{a}*"}
     assert {lot[9] for lot in short if lot[3] == "OPEN"} == {"never closed"}
-    monkeypatch.setattr(grid_module, "LONG_TEXT_BYTES", 10)
+    cut = ingest(read_grid(spark, entries, split_bytes=40))
+    assert {tuple(row) for row in cut.collect()} == short
     assert {tuple(row) for row in lots_of_files(spark, entries, keep_order=True).collect()} == short
 
 
@@ -248,3 +270,37 @@ def test_rows_without_a_block_raise(spark):
     grid = spark.createDataFrame([("f", 0, None, None, 0, ["a"])], "file string, sheet_no int, sheet string, block long, row_no long, cells array<string>")
     with pytest.raises(Exception, match="no block"):
         by_block(grid).collect()
+
+
+def test_a_long_sheet_takes_bounded_memory(tmp_path):
+    """300,000 rows and as many shared strings, in a process of its own."""
+    script = tmp_path / "read.py"
+    script.write_text(textwrap.dedent(f"""
+        import resource, sys, zipfile
+        sys.path.insert(0, {ROOT!r})
+        from lotframe.sources import cells
+        main, rel = {MAIN!r}, {REL!r}
+        with zipfile.ZipFile("w.xlsx", "w", zipfile.ZIP_DEFLATED) as book:
+            book.writestr("xl/workbook.xml", f'<workbook xmlns="{{main}}" xmlns:r="{{rel}}"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>')
+            book.writestr("xl/_rels/workbook.xml.rels", '<R xmlns="x"><Relationship Id="r1" Target="worksheets/s.xml"/></R>')
+            with book.open("xl/sharedStrings.xml", "w") as part:
+                part.write(f'<sst xmlns="{{main}}">'.encode())
+                for i in range(300_000):
+                    part.write(f"<si><t>text number {{i}} {{'x' * 100}}</t></si>".encode())
+                part.write(b"</sst>")
+            with book.open("xl/worksheets/s.xml", "w") as part:
+                part.write(f'<worksheet xmlns="{{main}}"><sheetData>'.encode())
+                for i in range(300_000):
+                    inner = "".join(f'<c t="inlineStr"><is><t>{{i}}-{{k}}</t></is></c>' for k in range(5))
+                    part.write(f'<row><c t="s"><v>{{i}}</v></c>{{inner}}</row>'.encode())
+                part.write(b"</sheetData></worksheet>")
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        book = cells.Workbook(open("w.xlsx", "rb"))
+        n = 0
+        for row in book.rows(book.sheets[0]):
+            n += row[0].startswith(f"text number {{n}} ") and row[5] == f"{{n}}-4"
+        print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+    """))
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=400)
+    rows, grown_mb = map(int, done.stdout.split()) if done.returncode == 0 else (done.stderr, 0)
+    assert rows == 300_000 and grown_mb < 100
