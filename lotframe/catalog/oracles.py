@@ -340,10 +340,10 @@ select 'B' || suppkey || '_2002' as report, cast(block as bigint) as block,
   case when regexp_matches(array_to_string(cells, ''), '.') or len(cells) <> 1 then array_to_string(cells, '|') else '' end as cells
 from grid""",
     "workbook_scan": f"""with {GRID},
-placed as (select suppkey, block, cells, row_number() over (partition by suppkey, block order by row_no) - 1 as at from grid),
-sheets as (select *, at // {SHEET_ROWS} as sheet, max(len(cells)) over (partition by suppkey, block, at // {SHEET_ROWS}) as width from placed)
+placed as (select suppkey, block, cells, row_number() over (partition by suppkey, block order by row_no) - 1 as place from grid),
+sheets as (select *, place // {SHEET_ROWS} as sheet, max(len(cells)) over (partition by suppkey, block, place // {SHEET_ROWS}) as width from placed)
 select 'B' || suppkey || '_2002' as report, cast(block as bigint) as block, 'S' || (sheet + 1) as sheet,
-  cast(at % {SHEET_ROWS} as bigint) as row_no, array_to_string(list_resize(cells, width, ''), '|') as cells
+  cast(place % {SHEET_ROWS} as bigint) as row_no, array_to_string(list_resize(cells, width, ''), '|') as cells
 from sheets""",
     "stream_ingest": _HOLDERS,
     "flat_scan": f"with {LOTS} select {COLUMNS} from lots",

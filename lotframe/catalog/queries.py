@@ -660,10 +660,9 @@ def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def beta_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    positions = _positions(spark, sf_dir)
-    each = series.beta_by_weight(positions, ["Broker"])
-    overall = series.beta_by_weight(positions).select(F.lit("all").alias("Broker"), "beta")
-    return _rounded(each.unionByName(overall), "beta")
+    found = series.beta_by_levels(_positions(spark, sf_dir), ["Broker"])
+    broker = F.when(F.col("level") == 0, F.col("Broker")).otherwise("all").alias("Broker")
+    return _rounded(found.select(broker, "beta"), "beta")
 
 
 def _daily_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ DAY_SHAPES = (
     (r"\d{1,2} [A-Za-z]{3} \d{2}", ("d MMM yy",)),
     (r"[A-Za-z]{3} \d{1,2} \d{2}", ("MMM d yy",)),
 )
+#: Of these, the first are tried on a cell as it is, before anything is cut or replaced.
+COMMON_SHAPES = 2
 # Fixed value: a time of day after the day, with or without seconds and AM or PM.
 TIME_OF_DAY = r"[ T]+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.]\d+)?)? ?([AaPp][Mm])?$"
 ISO_MOMENT = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}"
@@ -50,8 +52,12 @@ def _of_pattern(day: Column, pattern: str) -> Column:
     parsed = F.try_to_timestamp(day, F.lit(pattern))
     if "yyyy" in pattern:
         return parsed
-    earlier = F.add_months(F.to_date(parsed), -1200).cast("timestamp")
-    return F.when(F.year(parsed) >= 2069, earlier).otherwise(parsed)
+
+    def of_century(moment: Column) -> Column:
+        earlier = F.add_months(F.to_date(moment), -1200).cast("timestamp")
+        return F.when(F.year(moment) >= 2069, earlier).otherwise(moment)
+
+    return _bound(parsed, of_century)
 
 
 def _midnight(day: Column) -> Column:
@@ -81,11 +87,16 @@ def lenient_date(text: Column) -> Column:
 
     def moment(text: Column) -> Column:
         midnight = _bound(_plain_day(F.regexp_replace(text, TIME_OF_DAY, "")), _midnight)
-        later = F.timestamp_seconds(F.unix_seconds(midnight) + _seconds(text))
-        timed = F.when(text.rlike(TIME_OF_DAY), later).otherwise(midnight)
-        return F.when(text.rlike(ISO_MOMENT), F.coalesce(F.try_to_timestamp(text), timed)).otherwise(timed)
-
-    return _bound(strip(text.cast("string")), moment)
+        clock = F.when(text.rlike(TIME_OF_DAY), _seconds(text)).otherwise(F.lit(0))
+        iso = F.when(text.rlike(ISO_MOMENT), F.try_to_timestamp(text))
+        return F.coalesce(iso, F.timestamp_seconds(F.unix_seconds(midnight) + clock))
+
+    text = text.cast("string")
+    common = F.lit(None).cast("timestamp")
+    for shape, patterns in reversed(DAY_SHAPES[:COMMON_SHAPES]):
+        common = F.when(text.rlike(rf"^{shape}\z"), F.coalesce(*[_of_pattern(text, p) for p in patterns])).otherwise(common)
+    is_common = text.rlike("^(" + "|".join(shape for shape, _ in DAY_SHAPES[:COMMON_SHAPES]) + r")\z")
+    return F.when(is_common, common).otherwise(_bound(strip(text), moment))
 
 
 def whole_days(start: Column, end: Column) -> Column:

@@ -7,13 +7,17 @@ from pyspark.sql import Column, functions as F
 from .text import strip
 
 # A bare cast would also accept Java suffixes such as ``5d``.
-_NUMERIC = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
+_NUMERIC = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\z"
 
 
 def strict_number(text: Column) -> Column:
-    """Double, or null for anything that is not a plain number."""
-    text = strip(text.cast("string"))
-    return F.when(text.rlike(_NUMERIC), text.try_cast("double"))
+    """Double, or null for anything that is not a plain number.
+
+    Most cells have nothing around their number, so white space is cut only where the cell as it is is none.
+    """
+    text = text.cast("string")
+    bare = strip(text)
+    return F.when(text.rlike(_NUMERIC), text.try_cast("double")).when(bare.rlike(_NUMERIC), bare.try_cast("double"))
 
 
 def lenient_number(text: Column) -> Column:

@@ -133,10 +133,32 @@ def beta_by_weight(
     if beta_column not in columns or weight_column not in columns:
         groups = positions.select(*by).distinct() if by else positions.sparkSession.range(1).select()
         return groups.select("*", F.lit(None).cast("double").alias("beta"))
-    beta, weight = strict_number(F.col(f"`{beta_column}`")), strict_number(F.col(f"`{weight_column}`"))
-    usable = (weight > 0) & beta.isNotNull()
-    total = F.sum(F.when(usable, weight))
-    return positions.groupBy(*by).agg(F.try_divide(F.sum(F.when(usable, weight * beta)), total).alias("beta"))
+    return _weighted(positions, by, beta_column, weight_column).select(*by, F.try_divide("_product", "_weight").alias("beta"))
+
+
+def _weighted(positions: DataFrame, by: Sequence[str], beta_column: str, weight_column: str) -> DataFrame:
+    """Sums of weights and of weighted betas over the usable rows, per group."""
+    numbers = positions.select(
+        *by, strict_number(F.col(f"`{beta_column}`")).alias("_b"), strict_number(F.col(f"`{weight_column}`")).alias("_w")
+    )
+    usable = (F.col("_w") > 0) & F.col("_b").isNotNull()
+    weight, product = F.when(usable, F.col("_w")), F.when(usable, F.col("_w") * F.col("_b"))
+    return numbers.groupBy(*by).agg(F.sum(weight).alias("_weight"), F.sum(product).alias("_product"))
+
+
+def beta_by_levels(
+    positions: DataFrame, by: Sequence[str], beta_column: str = "Beta", weight_column: str = "Value"
+) -> DataFrame:
+    """:func:`beta_by_weight` of every group and of every level above, in one pass over the positions.
+
+    A level above has nulls for the keys that it leaves out; ``level`` counts those. Upper levels are rolled
+    up from the sums of the groups, so each position is read and parsed once.
+    """
+    sums = _weighted(positions, by, beta_column, weight_column)
+    rolled = sums.rollup(*by).agg(
+        F.sum("_weight").alias("_weight"), F.sum("_product").alias("_product"), F.bit_count(F.grouping_id()).alias("level")
+    )
+    return rolled.select(*by, "level", F.try_divide("_product", "_weight").alias("beta"))
 
 
 def cagr_of_series(values: DataFrame, periods_per_year: float) -> DataFrame:
@@ -163,7 +185,15 @@ def cagr_of_dated_values(values: DataFrame, date_column: str = "date", value_col
         .groupBy("series_id")
         .agg(F.count("*").alias("n"), F.min_by(entry, "pos").alias("first"), F.max_by(entry, "pos").alias("last"))
     )
-    dated = years_between(lenient_date(F.col("first.date")), lenient_date(F.col("last.date")))
-    years = F.coalesce(dated, F.col("n") / 12)
-    growth = cagr(strict_number(F.col("first.value")), strict_number(F.col("last.value")), years)
-    return ends.select("series_id", "n", years.alias("years"), growth.alias("cagr"))
+    # Parsed in a projection of their own, since years and growth name them several times.
+    parsed = ends.select(
+        "series_id",
+        "n",
+        lenient_date(F.col("first.date")).alias("_begin"),
+        lenient_date(F.col("last.date")).alias("_end"),
+        strict_number(F.col("first.value")).alias("_from"),
+        strict_number(F.col("last.value")).alias("_to"),
+    )
+    years = F.coalesce(years_between(F.col("_begin"), F.col("_end")), F.col("n") / 12)
+    timed = parsed.withColumn("years", years)
+    return timed.select("series_id", "n", "years", cagr(F.col("_from"), F.col("_to"), F.col("years")).alias("cagr"))

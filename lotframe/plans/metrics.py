@@ -18,9 +18,12 @@ def with_growth(lots: DataFrame, as_of: Column | None = None) -> DataFrame:
     cost = initial_value(
         lenient_number(text("Total Cost")), lenient_number(text("Quantity")), lenient_number(text("Cost per Unit"))
     )
-    years = years_held(lenient_date(text("Acquisition Date")), as_of)
-    rate = cagr(cost, lenient_number(text("Value")), F.col("`Years Held`"))
-    return lots.withColumn("Years Held", years).withColumn("CAGR", rate)
+    acquired = lenient_date(text("Acquisition Date"))
+    # Each cell is parsed in a projection of its own, since the growth names the results several times.
+    parsed = lots.withColumns({"_cost_": cost, "_value_": lenient_number(text("Value")), "_acquired_": acquired})
+    timed = parsed.withColumn("Years Held", years_held(F.col("_acquired_"), as_of))
+    rate = cagr(F.col("_cost_"), F.col("_value_"), F.col("`Years Held`"))
+    return timed.withColumn("CAGR", rate).drop("_cost_", "_value_", "_acquired_")
 
 
 def with_beta(lots: DataFrame, portfolio: DataFrame, benchmark: DataFrame) -> DataFrame:

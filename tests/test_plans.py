@@ -61,3 +61,25 @@ def test_scans_read_only_used_columns(spark, name, columns):
 def test_filters_reach_the_scan(spark):
     text = plan(derived.table(spark, SF_DIR, "lineitem").filter(F.col("l_suppkey") == 3).select("l_orderkey"))
     assert "EqualTo(l_suppkey,3)" in text
+
+
+def parses(df):
+    """Number tests and date parses in the optimised plan."""
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    return text.count("infinity"), text.count("gettimestamp("), len(text)
+
+
+def test_each_cell_of_a_lot_is_parsed_once(spark):
+    numbers, dates, _ = parses(QUERIES["lots_with_metrics"](spark, SF_DIR))
+    # Four numbers with a test for cells as they are and one for others; one date of 19 patterns, three of them tried first.
+    assert numbers == 8 and dates == 22
+
+
+def test_report_parses_its_ends_once(spark):
+    numbers, dates, size = parses(QUERIES["metrics_report"](spark, SF_DIR))
+    assert numbers == 8 and dates == 44 and size < 120_000
+
+
+def test_levels_of_beta_read_positions_once(spark):
+    text = plan(QUERIES["beta_holdings"](spark, SF_DIR))
+    assert len(re.findall(r"FileScan parquet [^\n]*/lineitem", text)) == 1
