@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..sources.inputs import file_system
 from ..sources.manifest import qualified
-from ..sources.staging import stage
+from ..sources.sinks import write_lots
+from ..sources.staging import new_folder, stage
 
 AS_OF = "2002-01-01"
 
@@ -204,6 +205,19 @@ def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _REPORT_TABLES[key]
 
 
+_EARLIER: dict[tuple[str, str], str] = {}
+
+
+def earlier_output(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of an earlier run's output, stamped ``run``; written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _EARLIER:
+        folder = new_folder(spark, "earlier-output")
+        write_lots(lots(spark, sf_dir).filter("size <= 30").drop("layout", "size").distinct(), folder, "run")
+        _EARLIER[key] = folder
+    return _EARLIER[key]
+
+
 def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily event value per user: ``total`` of all events, ``part`` of some types."""
     amount = F.col("value").cast("decimal(18,2)")

@@ -131,6 +131,27 @@ segs as materialized (
     first_value(cells) over (partition by file, table_row order by row_no) as header
   from starts where not is_blank and row_no >= table_row)"""
 
+#: Headers of the raw tables by their first two cells; the second kind of report names two columns alike.
+_RAW_HEADERS = {
+    "Filter|Setting": ["Filter", "Setting"],
+    "Account|Account #": FLAT_HEADER,
+    "Account|Net Account Value": ["Account", "Net Account Value", "Total Gain $"],
+    "Symbol|Date Acquired": ["Symbol", "Date Acquired", "Qty #", "Price Paid $", "Value $", "Value $#2"],
+    "Description|Symbol": GROUP_HEADER,
+}
+
+
+def _united_columns() -> str:
+    names = dict.fromkeys(name for header in _RAW_HEADERS.values() for name in header)
+    cases = {
+        name: " ".join(
+            f"when '{key}' then coalesce(cells[{header.index(name) + 1}], '')" for key, header in _RAW_HEADERS.items() if name in header
+        )
+        for name in names
+    }
+    return ", ".join(f"case header[1] || '|' || header[2] {case} end as \"{name}\"" for name, case in cases.items())
+
+
 _HOLDERS = """select 'C' || c_custkey || chr(10) || 'sub, "x"' as "Account", ' ' || c_mktsegment || ' ' as "Symbol",
   cast(cast(c_acctbal as decimal(18,2)) as varchar) as "Value" from customer"""
 
@@ -303,9 +324,11 @@ select file, cells[1] as heading, count(*) as n from grid where lower(trim(cells
 select {COLUMNS} from lots union all select {COLUMNS} from lots where linenumber = 1""",
     "union_tables": """select 'C' || c_custkey as "Account", cast(cast(c_acctbal as decimal(18,2)) as varchar) as "Value" from customer
 union all select 'S' || s_suppkey, cast(cast(s_acctbal as decimal(18,2)) as varchar) from supplier""",
-    "union_by_name": """select 'C' || c_custkey as "Account", cast(cast(c_acctbal as decimal(18,2)) as varchar) as "Value",
+    "union_missing_columns": """select 'C' || c_custkey as "Account", cast(cast(c_acctbal as decimal(18,2)) as varchar) as "Value",
   c_mktsegment as "Type" from customer
 union all select 'S' || s_suppkey, cast(cast(s_acctbal as decimal(18,2)) as varchar), null from supplier""",
+    "union_by_name": f"""with {SEGMENTS}
+select file, row_no, {_united_columns()} from segs where row_no > table_row""",
     "blank_to_null": f"""with {_SPOTTY}
 select {COLUMNS} from spotty union all select {', '.join(['null'] * len(FULL_FIELDS))} from lots where size = 7""",
     "drop_all_null": f"with {_SPOTTY} select {COLUMNS} from spotty",
@@ -386,6 +409,27 @@ ends as (select series_id, count(*) as n, min(pos) as first_pos, max(pos) as las
 spans as (select *, case when series_id % 3 <> 0 and last_pos > first_pos then (last_pos - first_pos) * 400 / 365.25
   else n / 12.0 end as years from ends)
 select series_id, n, round(years, 6) as years, {growth('a', 'z', 'years')} as cagr from spans""",
+    "metrics_reports": f"""with {_POSITIONS}, {SERIES}, {GAPPY},
+scaled as (select series_id, case when avg(abs(r)) > 1 then 0.01 else 1 end as s from gp group by all),
+scaled_b as (select series_id, case when avg(abs(r)) > 1 then 0.01 else 1 end as s from br group by all),
+pairs as (select series_id, gp.r * scaled.s as p, br.r * scaled_b.s as b from gp join br using (series_id, pos)
+  join scaled using (series_id) join scaled_b using (series_id)
+  where series_id % 2 = 0 and gp.r is not null and br.r is not null),
+by_series as (select 'B' || series_id as portfolio, case when count(*) >= 2 and var_samp(b) > 1e-18
+  then covar_samp(p, b) / var_samp(b) end as beta from pairs group by all),
+by_weight as (select "Broker" as portfolio, sum(case when weight > 0 then weight * beta end)
+  / nullif(sum(case when weight > 0 and beta is not null then weight end), 0) as beta from positions group by all),
+ends as (select series_id, count(*) as n, min(pos) as first_pos, max(pos) as last_pos, arg_min(total, pos) as a,
+  arg_max(total, pos) as z from days where total > 1 group by all),
+spans as (select *, case when series_id % 3 <> 0 and last_pos > first_pos then (last_pos - first_pos) * 400 / 365.25
+  else n / 12.0 end as years from ends),
+grown as (select 'B' || series_id as portfolio, {growth('a', 'z', 'years')} as cagr from spans),
+known as (select 'B' || series_id as portfolio from br union select "Broker" from positions),
+found as (select known.portfolio, s.beta as by_series, w.beta as by_weight, cagr from known
+  left join by_series s using (portfolio) left join by_weight w using (portfolio) left join grown using (portfolio))
+select portfolio, round(coalesce(by_series, by_weight), 6) as beta,
+  case when by_series is not null then 'timeseries' when by_weight is not null then 'holdings' end as beta_method,
+  cagr, coalesce(by_series, by_weight, cagr) is not null as ok from found""",
     "metrics_report": f"""with {SERIES},
 scales as (select case when (select avg(abs(r)) from pr) > 1 then 0.01 else 1 end as sp,
   case when (select avg(abs(r)) from br) > 1 then 0.01 else 1 end as sb),

@@ -23,7 +23,7 @@ from ..functions import (
     strict_number,
     years_held,
 )
-from ..operators import canonical, classify, clean, headers, keyvalues, realign, segment, series
+from ..operators import canonical, classify, clean, headers, keyvalues, realign, segment, series, union
 from ..plans import metrics
 from ..plans.audit import ingest_audit as audit_counts
 from ..plans.ingest import decide, ingest, parse_reports
@@ -426,11 +426,22 @@ def union_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+def union_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers, suppliers = _accounts(spark, sf_dir)
     return customers.unionByName(suppliers, allowMissingColumns=True)
 
 
+@query
+def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All raw tables of all reports as one table; one layout names two columns alike."""
+    twice = F.transform("cells", lambda c: F.when(c == "Total Cost", "Value $").otherwise(c))
+    renamed = F.when((F.col("row_no") == 7) & (F.col("block") == 0), twice).otherwise(F.col("cells"))
+    blocked = segment.by_block(_reports(spark, sf_dir).withColumn("cells", renamed))
+    rows = segment.resolve_tables(blocked, union.column_names(F.col("cells")))
+    names = union.column_list(union.folded_columns(rows))
+    return union.widened(union.rows_by_name(rows), names).select("file", "row_no", "row.*")
+
+
 def _spotty_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lots with blank types, and for some sizes rows of nothing but blanks."""
     lots = derived.lots(spark, sf_dir)
@@ -471,10 +482,8 @@ def clean_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def append_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earlier output and a second run that repeats half of it."""
-    lots = derived.lots(spark, sf_dir)
-    earlier = lots.filter("size <= 30").select(*map(clean.quoted, FIELDS))
-    again = lots.filter("size >= 15").select(*map(clean.quoted, FIELDS))
-    return clean.append_lots(earlier, again, FIELDS)
+    again = derived.lots(spark, sf_dir).filter("size >= 15").select(*map(clean.quoted, FIELDS))
+    return sinks.with_previous(again, derived.earlier_output(spark, sf_dir), "run", FIELDS)
 
 
 def _holders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -674,17 +683,20 @@ def cagr_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(series.cagr_of_series(_daily_values(spark, sf_dir), 1), "cagr")
 
 
-@query
-def cagr_dated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates go backwards in file order for every third user."""
     day = F.when(F.col("series_id") % 3 == 0, -F.col("pos")).otherwise(F.col("pos") * 400)
-    dated = _daily_values(spark, sf_dir).select(
+    return _daily_values(spark, sf_dir).select(
         "series_id",
         "pos",
         F.date_format(F.date_add(F.lit("2001-01-31").cast("date"), day.cast("int")), "M/d/yyyy").alias("date"),
         F.when(F.col("value") > 1, F.col("value").cast("decimal(18,2)").cast("string")).alias("value"),
     )
-    return _rounded(series.cagr_of_dated_values(dated), "years", "cagr")
+
+
+@query
+def cagr_dated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(series.cagr_of_dated_values(_dated_values(spark, sf_dir)), "years", "cagr")
 
 
 @query
@@ -709,3 +721,26 @@ def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("metrics.cagr", 6).alias("cagr"),
         "diagnostics.ok",
     )
+
+
+@query
+def metrics_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report per portfolio: users have return series, brokers positions, and some keys have both."""
+
+    def named(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("series_id", F.concat(F.lit("B"), F.col("series_id").cast("string")))
+
+    positions = _positions(spark, sf_dir).withColumnRenamed("Broker", "series_id")
+    reports = metrics.metrics_reports(
+        positions,
+        named(_gappy(derived.portfolio_returns(spark, sf_dir)).where("series_id % 2 = 0")),
+        named(derived.benchmark_returns(spark, sf_dir)),
+        named(_dated_values(spark, sf_dir)),
+    )
+    return reports.select(
+        F.col("series_id").alias("portfolio"),
+        F.round("metrics.beta", 6).alias("beta"),
+        "metrics.beta_method",
+        F.round("metrics.cagr", 6).alias("cagr"),
+        "diagnostics.ok",
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import cagr, initial_value, lenient_date, lenient_number, years_held
@@ -83,15 +85,58 @@ def metrics_report(
     found = spark.range(1).select(
         by_series.alias("by_series"), by_weight.alias("by_weight"), growth.alias("cagr")
     )
+    return found.select(*_report_columns(inputs, beta_column, weight_column))
+
+
+def _report_columns(inputs: dict[str, str] | None, beta_column: str, weight_column: str) -> list[Column]:
+    """The report's parts from ``by_series``, ``by_weight`` and ``cagr``."""
     method = F.when(F.col("by_series").isNotNull(), "timeseries").when(F.col("by_weight").isNotNull(), "holdings")
     beta = F.coalesce("by_series", "by_weight")
     given = inputs or {}
     # The names of the report's input entries.
     names = ("holdings", "portfolio_returns", "benchmark_returns", "values_csv")
-    columns = [
+    return [
         F.struct(beta.alias("beta"), method.alias("beta_method"), F.col("cagr")).alias("metrics"),
         F.struct(*[F.lit(given.get(name)).cast("string").alias(name) for name in names]).alias("inputs"),
         F.struct(F.lit(beta_column).alias("BETA_COLUMN"), F.lit(weight_column).alias("BETA_WEIGHT_COLUMN")).alias("config"),
         F.struct((beta.isNotNull() | F.col("cagr").isNotNull()).alias("ok")).alias("diagnostics"),
     ]
-    return found.select(*columns)
+
+
+def metrics_reports(
+    positions: DataFrame | None = None,
+    portfolio: DataFrame | None = None,
+    benchmark: DataFrame | None = None,
+    values: DataFrame | None = None,
+    inputs: dict[str, str] | None = None,
+    key: str = "series_id",
+    beta_column: str = "Beta",
+    weight_column: str = "Value",
+) -> DataFrame:
+    """A row as of :func:`metrics_report` for every portfolio, i.e. every ``key`` of any input.
+
+    Every input has the key as a column. Each metric is one aggregate over its input; their rows, one per
+    portfolio, meet in one more shuffle, so any number of portfolios costs what one does per row.
+    """
+    nothing = F.lit(None).cast("double")
+
+    def part(rows: DataFrame, **known: Column) -> DataFrame:
+        values_of = {name: known.get(name, nothing).alias(name) for name in ("by_series", "by_weight", "cagr")}
+        return rows.select(F.col(f"`{key}`").cast("string").alias(key), *values_of.values())
+
+    def by_id(rows: DataFrame) -> DataFrame:
+        return rows.withColumnRenamed(key, "series_id")
+
+    parts = []
+    if portfolio is not None and benchmark is not None:
+        betas = beta_paired(by_id(portfolio), by_id(benchmark), detect_scale=True).withColumnRenamed("series_id", key)
+        parts.append(part(betas, by_series=F.col("beta")))
+    if positions is not None:
+        parts.append(part(beta_by_weight(positions, (key,), beta_column, weight_column), by_weight=F.col("beta")))
+    if values is not None:
+        parts.append(part(cagr_of_dated_values(by_id(values)).withColumnRenamed("series_id", key), cagr=F.col("cagr")))
+    if not parts:
+        raise ValueError("a report needs positions, two return series or values")
+    metrics = ("by_series", "by_weight", "cagr")
+    found = reduce(DataFrame.unionByName, parts).groupBy(key).agg(*[F.max(name).alias(name) for name in metrics])
+    return found.select(key, *_report_columns(inputs, beta_column, weight_column))

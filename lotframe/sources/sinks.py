@@ -8,14 +8,19 @@ the CSV export keeps them too.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
+import uuid
+import zlib
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 
-from ..operators.clean import append_lots
+from ..operators.clean import append_lots, append_to_buckets, lot_key
 from .flat import read_flat
 from .manifest import _file_system, path_exists
+from .staging import stage
 
 
 def run_timestamp(moment: dt.datetime | None = None) -> str:
@@ -54,9 +59,65 @@ def lossless_csv(writer: DataFrameWriter) -> DataFrameWriter:
     )
 
 
-def _working_copy(version: str) -> str:
-    folder, name = version.rsplit("/", 1)
-    return f"{folder}/_working/{name}"
+#: Columns that are worked out for a lot and don't tell it from others.
+METRICS = ("Years Held", "CAGR", "Beta")
+
+
+@dataclass(frozen=True)
+class WorkingCopy:
+    """Lots in Parquet, bucketed by :func:`lot_key` over fields that the folder's name has a checksum of."""
+
+    folder: str
+    buckets: int
+    checksum: str
+
+    @classmethod
+    def named(cls, version: str, fields: Sequence[str], buckets: int) -> WorkingCopy:
+        parent, name = version.rsplit("/", 1)
+        checksum = f"{zlib.crc32(json.dumps(sorted(fields)).encode()):08x}"
+        return cls(f"{parent}/_working/{name}-{buckets}-{checksum}", buckets, checksum)
+
+    @classmethod
+    def of(cls, spark: SparkSession, version: str) -> WorkingCopy | None:
+        """The complete copy of a version; null if it has none."""
+        parent, name = version.rsplit("/", 1)
+        if not path_exists(spark, f"{parent}/_working"):
+            return None
+        system, working = _file_system(spark, f"{parent}/_working")
+        for status in system.listStatus(working):
+            match = re.fullmatch(rf"{name}-(\d+)-([0-9a-f]{{8}})", status.getPath().getName())
+            if match and path_exists(spark, f"{parent}/_working/{match[0]}/_SUCCESS"):
+                return cls(f"{parent}/_working/{match[0]}", int(match[1]), match[2])
+        return None
+
+    def fits(self, fields: Sequence[str]) -> bool:
+        return self == WorkingCopy.named(f"{self.folder.rsplit('/_working/', 1)[0]}/{self.version}", fields, self.buckets)
+
+    @property
+    def version(self) -> str:
+        return self.folder.rsplit("/", 1)[1].split("-")[0]
+
+    def write(self, lots: DataFrame, fields: Sequence[str]) -> None:
+        """One file per bucket if the lots come in these buckets already."""
+        table = f"lotframe_{uuid.uuid4().hex}"
+        keyed = lots.withColumn("lot_key", lot_key(fields))
+        writer = keyed.write.bucketBy(self.buckets, "lot_key").sortBy("lot_key").format("parquet").option("path", self.folder)
+        writer.mode("overwrite").saveAsTable(table)
+        lots.sparkSession.sql(f"DROP TABLE {table}")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """A scan that knows its buckets. The table is in the catalog only until it is resolved; its files stay."""
+        schema = spark.read.parquet(self.folder).schema
+        columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
+        table = f"lotframe_{uuid.uuid4().hex}"
+        spark.sql(
+            f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (lot_key) SORTED BY (lot_key) "
+            f"INTO {self.buckets} BUCKETS LOCATION '{self.folder}'"
+        )
+        try:
+            return spark.table(table)
+        finally:
+            spark.sql(f"DROP TABLE {table}")
 
 
 def latest_version(spark: SparkSession, path: str) -> str | None:
@@ -73,8 +134,9 @@ def read_lots(spark: SparkSession, path: str, fields: Sequence[str], file_format
     found = latest_version(spark, path)
     if found is None:
         return None
-    if path_exists(spark, f"{_working_copy(found)}/_SUCCESS"):
-        lots = spark.read.parquet(_working_copy(found))
+    copy = WorkingCopy.of(spark, found)
+    if copy is not None:
+        lots = spark.read.parquet(copy.folder)
     else:
         lots = read_flat(spark, found) if file_format == "csv" else spark.read.format(file_format).load(found)
     known = set(lots.columns)
@@ -86,23 +148,42 @@ def read_lots(spark: SparkSession, path: str, fields: Sequence[str], file_format
 def with_previous(
     lots: DataFrame, folder: str, timestamp: str, fields: Sequence[str], file_format: str = "csv"
 ) -> DataFrame:
-    """The lots together with those already written under this timestamp."""
-    previous = read_lots(lots.sparkSession, lots_path(folder, timestamp), fields, file_format)
+    """The lots together with those already written under this timestamp.
+
+    Earlier lots are read from their buckets and not shuffled, unless they were written with other fields.
+    """
+    spark, path = lots.sparkSession, lots_path(folder, timestamp)
+    version = latest_version(spark, path)
+    copy = WorkingCopy.of(spark, version) if version else None
+    if copy is not None and copy.fits(fields):
+        return append_to_buckets(copy.read(spark), lots, fields, copy.buckets)
+    previous = read_lots(spark, path, fields, file_format)
     return lots if previous is None else append_lots(previous, lots, fields)
 
 
-def write_lots(lots: DataFrame, folder: str, timestamp: str, file_format: str = "csv") -> str:
+def write_lots(lots: DataFrame, folder: str, timestamp: str, file_format: str = "csv", buckets: int | None = None) -> str:
     """Write under ``portfolio-<timestamp>`` and return the path.
 
     Each write makes a new version directory, so an append can read the version
-    before it and a failed job leaves that one in place.
+    before it and a failed job leaves that one in place. A version keeps the number of
+    buckets of the one before; the first takes ``buckets``, else the session's shuffle partitions.
     """
-    path = lots_path(folder, timestamp)
-    versions = _versions(lots.sparkSession, path)
+    spark, path = lots.sparkSession, lots_path(folder, timestamp)
+    versions = _versions(spark, path)
     target = f"{path}/v{versions[-1] + 1 if versions else 1}"
-    _write(lots, _working_copy(target), "parquet")
-    # The export reads the working copy, so the plan behind the lots runs once.
-    _write(lots.sparkSession.read.schema(lots.schema).parquet(_working_copy(target)), target, file_format)
+    before = WorkingCopy.of(spark, f"{path}/v{versions[-1]}") if versions else None
+    fields = [name for name in lots.columns if name not in METRICS]
+    count = before.buckets if before else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    copy = WorkingCopy.named(target, fields, count)
+    if before is not None and before.fits(fields):
+        # An append comes from these buckets; the export reads the working copy, so the plan behind it runs once.
+        copy.write(lots, fields)
+        whole = spark.read.parquet(copy.folder).select(*[F.col(f"`{name}`") for name in lots.columns])
+    else:
+        # The export has the lots in their order, the working copy in their buckets, a file for each.
+        whole = stage(lots, "lots")
+        copy.write(whole.repartition(count, lot_key(fields)), fields)
+    _write(whole, target, file_format)
     return target
 
 

@@ -304,3 +304,27 @@ def test_a_long_sheet_takes_bounded_memory(tmp_path):
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=400)
     rows, grown_mb = map(int, done.stdout.split()) if done.returncode == 0 else (done.stderr, 0)
     assert rows == 300_000 and grown_mb < 100
+
+
+def test_appends_keep_their_buckets(spark, tmp_path):
+    fields = ("Symbol", "Account", "Note")
+    types = "Symbol string, Account string, Note string"
+    first = spark.createDataFrame([(f"S{i}", None if i % 3 else "A", " x ") for i in range(50)] + [(None, "A", None)], types)
+    write_lots(first, str(tmp_path), "t", buckets=4)
+    for k in (1, 2):
+        more = spark.createDataFrame([(f"S{i}", None if i % 3 else "A", " x ") for i in range(40, 50 + 10 * k)] + [(None, "A", None), ("", " ", None)], types)
+        joined = with_previous(more, str(tmp_path), "t", fields)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and "SelectedBucketsCount: 4 out of 4" in plan
+        write_lots(joined, str(tmp_path), "t")
+    path = lots_path(str(tmp_path), "t")
+    copies = sorted(p.name.split("-")[:2] for p in (tmp_path / "portfolio-t" / "_working").iterdir())
+    assert copies == [["v1", "4"], ["v2", "4"], ["v3", "4"]]
+    assert all(len(list(p.glob("*.parquet"))) <= 4 for p in (tmp_path / "portfolio-t" / "_working").iterdir())
+    lots = [tuple(r) for r in read_lots(spark, path, fields).collect()]
+    assert len(lots) == len(set(lots)) == 71
+    assert {tuple(r) for r in read_flat(spark, latest_version(spark, path)).collect()} == set(lots)
+    # Other fields have other keys: those lots are compared whole.
+    fewer = with_previous(spark.createDataFrame([("A", "S0"), ("B", "S0")], "Account string, Symbol string"), str(tmp_path), "t", ("Account", "Symbol"))
+    assert fewer.count() == 72
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lotframe_")]

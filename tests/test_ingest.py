@@ -2,9 +2,10 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from lotframe.operators import canonical, classify, headers, keyvalues, segment
+from lotframe.operators import canonical, classify, headers, keyvalues, segment, union
 from lotframe.plans.audit import ingest_audit
 from lotframe.plans.ingest import ingest, parse_reports
+from lotframe.plans.metrics import metrics_report, metrics_reports
 from lotframe.sources.mapping import DEFAULT_SYNONYMS, load_mapping, mapping_frame, resolve_mapping, resolve_variants
 
 from reports import FILES, FLAT, GRID_SCHEMA, GROUPED, HYBRID, LOTS, SEVERAL, grid_of
@@ -200,3 +201,43 @@ def test_rendered_lots_come_back(spark, lots, block_rows):
     expected = {("F", *lot) for lot in wanted} | {("H", "ACC", *lot[1:]) for lot in wanted}
     expected |= {("G", *lot) for lot in wanted if lot[0].lower() not in headings}
     assert found == expected
+
+
+def test_raw_tables_unite_by_header(spark):
+    rows = [
+        ("f", 0, ["a", "b", "a"]), ("f", 1, ["1", "2", "3"]), ("f", 2, ["4"]), ("f", 3, []),
+        ("f", 4, ["b", "a#2", "A"]), ("f", 5, ["5", "6", "7", "8"]), ("g", 0, ["a", ""]), ("g", 1, ["9", "10"]),
+    ]
+    grid = spark.createDataFrame(
+        [(file, 0, 0, number, cells) for file, number, cells in rows],
+        "file string, sheet_no int, block long, row_no long, cells array<string>",
+    )
+    tables = segment.resolve_tables(segment.by_block(grid), union.column_names(F.col("cells")))
+    names = union.column_list(union.folded_columns(tables))
+    assert names == ["a", "b", "a\x1f2", "a#2", "A", ""]
+    wide = union.widened(union.rows_by_name(tables), names)
+    assert wide.schema["row"].dataType.names == ["a", "b", "a#2", "a#2#", "A", ""]
+    found = {(r.file, r.row_no): tuple(r.row) for r in wide.collect()}
+    assert found == {
+        ("f", 1): ("1", "2", "3", None, None, None), ("f", 2): ("4", "", "", None, None, None),
+        ("f", 5): (None, "5", None, "6", "7", None), ("g", 1): ("9", None, None, None, None, "10"),
+    }
+    with pytest.raises(ValueError, match="over 2 columns"):
+        union.column_list(union.folded_columns(tables), 2)
+
+
+def test_reports_of_many_portfolios(spark):
+    returns = "k string, pos long, r double"
+    p = spark.createDataFrame([(k, i, 0.01 * i * s) for k, s in (("x", 1.0), ("y", 200.0)) for i in range(5)], returns)
+    b = spark.createDataFrame([(k, i, 0.01 * i) for k in "xyz" for i in range(5)], returns)
+    held = spark.createDataFrame([("x", "9", "1"), ("z", "2", "3"), ("z", "4", "1"), ("w", "n/a", "1")], "k string, Beta string, Value string")
+    values = spark.createDataFrame([("z", 0, "2020-01-01", "100"), ("z", 1, "1/1/2021", "110"), ("v", 0, "2020-01-01", "1")], "k string, pos long, date string, value string")
+    found = {r.k: (r.metrics.beta, r.metrics.beta_method, r.metrics.cagr, r.diagnostics.ok) for r in metrics_reports(held, p, b, values, key="k").collect()}
+    assert set(found) == set("vwxyz")
+    assert found["x"][:2] == (pytest.approx(1.0), "timeseries") and found["y"][0] == pytest.approx(2.0)
+    assert found["z"][:2] == (pytest.approx(2.5), "holdings") and found["z"][2] == pytest.approx(1.1 ** (365.25 / 366) - 1)
+    assert found["w"] == (None, None, None, False) and found["v"][2:] == (0.0, True)
+    one = metrics_report(spark, held.where("k = 'z'"), p.where("k = 'z'").withColumnRenamed("k", "series_id"), b.where("k = 'z'").withColumnRenamed("k", "series_id")).first()
+    assert one.metrics.beta == pytest.approx(found["z"][0])
+    with pytest.raises(ValueError):
+        metrics_reports()

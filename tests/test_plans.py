@@ -83,3 +83,27 @@ def test_report_parses_its_ends_once(spark):
 def test_levels_of_beta_read_positions_once(spark):
     text = plan(QUERIES["beta_holdings"](spark, SF_DIR))
     assert len(re.findall(r"FileScan parquet [^\n]*/lineitem", text)) == 1
+
+
+def above(text, needle):
+    """Operators between the line that holds ``needle`` and the root."""
+    lines = text.splitlines()
+    at = next(i for i, line in enumerate(lines) if needle in line)
+    depth, found = len(lines[at]) - len(lines[at].lstrip(" :+-*()0123456789")), []
+    for line in reversed(lines[:at]):
+        own = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        if own < depth and line.strip():
+            found.append(line.strip(" :+-"))
+            depth = own
+    return found
+
+
+def test_an_append_does_not_move_its_history(spark):
+    found = QUERIES["append_dedupe"](spark, SF_DIR)
+    text = plan(found)
+    assert "Bucketed: true" in text
+    operators = above(text, "Bucketed: true")
+    assert any("ShuffledHashJoin" in line for line in operators)
+    assert not any("Exchange" in line or line.split(" ")[0].endswith("Sort") for line in operators)
+    lots = derived.lots(spark, SF_DIR).drop("layout", "size").distinct()
+    assert found.count() == lots.count() and found.exceptAll(lots).isEmpty()
