@@ -6,8 +6,11 @@ word count, word length, shares of symbols, repeated lines and repeated words)
 are judged by their Mahalanobis distance from the bulk of their own language and
 source. The bulk's mean and covariance are minimum-covariance-determinant
 estimates: concentration steps that keep the ``COVERAGE`` of rows nearest to the
-last estimate. A step is one aggregation of moments and one of a distance
-histogram, so a language or source may hold any share of the rows.
+last estimate, from three starts: all rows; medians with deviations from them; the
+rows that are near the median in every statistic. After ``TRIAL_STEPS`` the start
+with the smallest determinant of its rows' covariance goes on, until no group's
+determinant gets smaller any more. A step is one aggregation of moments and one of a
+distance histogram, so a language or source may hold any share of the rows.
 
 Groups of fewer than ``LEAST_ROWS`` rows take the estimate of their language, or
 of all rows. Every variance has a floor, since most texts have no symbols or
@@ -35,7 +38,11 @@ RUN_WORDS = 8
 MAX_REPEAT_PERCENT = 30
 #: Share of a group's rows that the estimate rests on.
 COVERAGE = 0.75
-STEPS = 4
+#: Steps of every start, steps of the best one at most, and a decrease of the determinant's logarithm that counts as none.
+TRIAL_STEPS, MOST_STEPS, STILL = 2, 12, 1e-3
+#: Rows of the third start: within so many deviations of the median, in every statistic.
+INNER = 1.5
+ACCURACY = 1000
 LEAST_ROWS = 100
 #: Squared distance of one in a million rows of a five-dimensional normal distribution.
 CUTOFF = 36.0
@@ -121,19 +128,26 @@ def group_levels(lang: str = "lang", source: str = "source") -> Column:
     return F.array(F.concat_ws("\x00", F.lit("3"), *shown), F.concat_ws("\x00", F.lit("2"), shown[0]), F.lit("1"))
 
 
+def _covariance(moments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mean = moments[1 : N + 1] / moments[0]
+    square = np.zeros((N, N))
+    square[np.triu_indices(N)] = moments[N + 1 :] / moments[0]
+    square = square + np.triu(square, 1).T
+    return mean, square - np.outer(mean, mean)
+
+
 def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Means and inverse covariances from one row of moments per group."""
+    """Means, inverse covariances and the logarithm of the rows' determinant from one row of moments per group and start."""
     for pdf in batches:
         rows = []
         for moments, scale in zip(pdf.moments, pdf.scale):
-            m = np.asarray(moments, float)
-            mean = m[1 : N + 1] / m[0]
-            square = np.zeros((N, N))
-            square[np.triu_indices(N)] = m[N + 1 :] / m[0]
-            square = square + np.triu(square, 1).T
-            cov = (square - np.outer(mean, mean)) * max(scale, 1.0) + np.diag(np.square(FLOORS))
-            rows.append((np.round(mean, 9).tolist(), np.round(np.linalg.inv(cov), 9).ravel().tolist()))
-        yield pd.DataFrame({"grp": pdf.grp, "mean": [r[0] for r in rows], "inverse": [r[1] for r in rows]})
+            mean, cov = _covariance(np.asarray(moments, float))
+            floor = np.diag(np.square(FLOORS))
+            inverse = np.linalg.inv(cov * max(scale, 1.0) + floor)
+            rows.append((np.round(mean, 9).tolist(), np.round(inverse, 9).ravel().tolist(), float(np.linalg.slogdet(cov + floor)[1])))
+        yield pd.DataFrame({
+            "grp": pdf.grp, "start": pdf.start, "mean": [r[0] for r in rows], "inverse": [r[1] for r in rows], "det": [r[2] for r in rows],
+        })
 
 
 def _moments(vector: str) -> Column:
@@ -152,41 +166,78 @@ def squared_distance(vector: str) -> Column:
 
 
 def _solved(moments: DataFrame) -> DataFrame:
-    return stage(moments.mapInPandas(_solve, "grp string, mean array<double>, inverse array<double>"), "mcd")
+    return stage(moments.mapInPandas(_solve, "grp string, start int, mean array<double>, inverse array<double>, det double"), "mcd")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """The first estimates of every group."""
+
+    def middles(of: list[Column], name: str) -> Column:
+        return F.array(*[F.percentile_approx(x, 0.5, ACCURACY) for x in of]).alias(name)
+
+    each = [F.col("v")[i] for i in range(N)]
+    medians = stage(rows.groupBy("grp").agg(middles(each, "median")), "medians")
+    apart = rows.join(medians, "grp")
+    # 1.4826 median deviations are a standard deviation of a normal distribution.
+    spread = [F.abs(F.col("v")[i] - F.col("median")[i]) * 1.4826 for i in range(N)]
+    spreads = stage(apart.groupBy("grp").agg(F.first("median").alias("median"), middles(spread, "spread")), "spreads")
+    near = rows.join(spreads, "grp")
+    inner = F.lit(True)
+    for i in range(N):
+        inner = inner & (F.abs(F.col("v")[i] - F.col("median")[i]) <= INNER * F.greatest(F.col("spread")[i], F.lit(FLOORS[i])))
+    every = rows.select("grp", "v", F.lit(0).alias("start")).unionByName(near.where(inner).select("grp", "v", F.lit(2).alias("start")))
+    sums = every.groupBy("grp", "start").agg(_moments("v").alias("moments"))
+    # Moments of a single row that stands for median and deviations.
+    m, s = F.col("median"), F.col("spread")
+    products = [m[i] * m[j] + (s[i] * s[i] if i == j else F.lit(0.0)) for i in range(N) for j in range(i, N)]
+    marginal = spreads.select("grp", F.lit(1).alias("start"), F.array(F.lit(1.0), *[m[i] for i in range(N)], *products).alias("moments"))
+    return _solved(sums.unionByName(marginal).withColumn("scale", F.lit(1.0)))
+
+
+def _concentrated(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    """The estimates from the ``COVERAGE`` of each group's rows that are nearest by ``fit``."""
+    apart = rows.join(fit.drop("det"), "grp").withColumn("_d", squared_distance("v"))
+    apart = apart.withColumn("_bin", F.floor(F.log2(F.col("_d") + 1e-6) * BINS_PER_OCTAVE).cast("int"))
+    bins = apart.groupBy("grp", "start", "_bin").agg(F.count("*").alias("rows"))
+    # A group has some hundreds of bins however many rows it has.
+    counted = bins.groupBy("grp", "start").agg(F.sort_array(F.collect_list(F.struct("_bin", "rows"))).alias("bins"))
+
+    def reached(share: float) -> Column:
+        return F.aggregate(
+            "bins",
+            F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("at")),
+            lambda a, b: F.struct(
+                (a.sum + b.rows).alias("sum"),
+                F.coalesce(a["at"], F.when(a.sum + b.rows >= F.col("_n") * F.lit(share), b["_bin"])).alias("at"),
+            ),
+            lambda a: a["at"],
+        )
+
+    total = F.aggregate("bins", F.lit(0).cast("long"), lambda a, b: a + b.rows)
+    limits = counted.withColumn("_n", total).select(
+        "grp", "start", reached(COVERAGE).alias("_last"),
+        # Scaled so that the middle distance is that of a normal distribution.
+        (F.pow(F.lit(2.0), reached(0.5) / BINS_PER_OCTAVE) / MEDIAN_SQUARE).alias("scale"),
+    )
+    # One row per group, staged so that its size is known: rows of a group stay where they are.
+    near = apart.join(stage(limits.coalesce(1), "mcd-limits"), ["grp", "start"]).where(F.col("_bin") <= F.col("_last"))
+    return _solved(near.groupBy("grp", "start").agg(_moments("v").alias("moments"), F.max("scale").alias("scale")))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """One row per group with ``mean`` and ``inverse``; ``rows``: ``grp`` and the vector ``v``."""
-    fit = _solved(rows.groupBy("grp").agg(_moments("v").alias("moments"), F.lit(1.0).alias("scale")))
-    for _ in range(STEPS):
-        apart = rows.join(fit, "grp").withColumn("_d", squared_distance("v"))
-        apart = apart.withColumn("_bin", F.floor(F.log2(F.col("_d") + 1e-6) * BINS_PER_OCTAVE).cast("int"))
-        bins = apart.groupBy("grp", "_bin").agg(F.count("*").alias("rows"))
-        # A group has some hundreds of bins however many rows it has.
-        counted = bins.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("_bin", "rows"))).alias("bins"))
-
-        def reached(share: float) -> Column:
-            running = F.aggregate(
-                "bins",
-                F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("at")),
-                lambda a, b: F.struct(
-                    (a.sum + b.rows).alias("sum"),
-                    F.coalesce(a["at"], F.when(a.sum + b.rows >= F.col("_n") * F.lit(share), b["_bin"])).alias("at"),
-                ),
-                lambda a: a["at"],
-            )
-            return running
-
-        total = F.aggregate("bins", F.lit(0).cast("long"), lambda a, b: a + b.rows)
-        limits = counted.withColumn("_n", total).select(
-            "grp", reached(COVERAGE).alias("_last"),
-            # Scaled so that the middle distance is that of a normal distribution.
-            (F.pow(F.lit(2.0), reached(0.5) / BINS_PER_OCTAVE) / MEDIAN_SQUARE).alias("scale"),
-        )
-        # One row per group, staged so that its size is known: rows of a group stay where they are.
-        near = apart.join(stage(limits.coalesce(1), "mcd-limits"), "grp").where(F.col("_bin") <= F.col("_last"))
-        fit = _solved(near.groupBy("grp").agg(_moments("v").alias("moments"), F.max("scale").alias("scale")))
-    return fit
+    fit = _starts(rows)
+    for _ in range(TRIAL_STEPS):
+        fit = _concentrated(rows, fit)
+    best = F.min_by(F.struct(*fit.columns), F.struct("det", "start")).alias("best")
+    fit = stage(fit.groupBy("grp").agg(best).select("best.*"), "mcd-best")
+    for _ in range(MOST_STEPS):
+        further = _concentrated(rows, fit)
+        both = fit.select("grp", F.col("det").alias("_before")).join(further, "grp")
+        fit = further
+        if both.where(F.col("_before") - F.col("det") > STILL).isEmpty():
+            break
+    return fit.drop("det", "start")
 
 
 def judged(docs: DataFrame, keep: list[str]) -> DataFrame:

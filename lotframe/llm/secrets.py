@@ -8,9 +8,16 @@ keyboard walks and brute-force stretches, found by dynamic programming, must
 take at least ``LEAST_GUESSES`` (as a power of ten) guesses. Prose and
 placeholders after such a key are cheap and stay.
 
+Words are ranked by their counts over the whole corpus, behind a short list that
+guessers try first. The ``DICTIONARY`` commonest of those that occur ``LEAST_SEEN``
+times are the dictionary (some 50,000 entries, broadcast); letters that are in no
+word cost brute force. Letters that stand in the corpus often enough are a word,
+whoever wrote them.
+
 Defined results: null text has no spans; texts are scanned whole; repeated rows
-give equal rows; an empty table stays empty; extra columns are ignored. The scan
-is one pass over the rows without a shuffle.
+give equal rows; an empty table stays empty; extra columns are kept, but those
+named as the added ones are replaced. Words are counted in one pass with a shuffle of
+counts; the scan is another without any.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .columns import documents, held, released
+from .spelling import ascii_lower
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(
@@ -45,8 +53,9 @@ CONTEXT = re.compile(
 )
 LOGIN_URL = re.compile(r"://[^\s:/@]+:([^\s/@]+)@")
 LEAST_GUESSES = 10.0
-#: Guesses (log10) per letter of a plain word that is in no list: less than for random letters.
-PLAIN_LETTER = 0.85
+#: Words of the corpus in the dictionary at most, how often they occur at least, and their letters.
+DICTIONARY, LEAST_SEEN = 50_000, 10
+SHORTEST_WORD, LONGEST_WORD = 3, 24
 
 #: Words that guessers try first, the commonest first.
 COMMON_WORDS = (
@@ -62,7 +71,6 @@ COMMON_WORDS = (
     "api", "app", "dev", "prod", "stage", "local", "host", "name", "home", "work", "data", "file", "code", "open",
 )
 RANKS = {word: rank for rank, word in enumerate(COMMON_WORDS, 1)}
-LONGEST_WORD = max(map(len, COMMON_WORDS))
 #: Rows of a keyboard.
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _NEXT_KEYS = {a + b for row in KEY_ROWS for a, b in zip(row, row[1:])} | {b + a for row in KEY_ROWS for a, b in zip(row, row[1:])}
@@ -78,51 +86,57 @@ def _alphabet(text: str) -> int:
     return (size + 33 * any(not (c.isascii() and c.isalnum()) for c in text)) or 1
 
 
-def _word_cost(piece: str) -> float | None:
+def word_ranks(docs: DataFrame, most: int = DICTIONARY) -> dict[str, int]:
+    """Rank by word: the common ones, then those of ``docs`` by their counts, ``most`` at most; collected by the driver."""
+    runs = docs.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("word"))
+    runs = runs.where(F.char_length("word").between(SHORTEST_WORD, LONGEST_WORD))
+    counts = runs.groupBy(ascii_lower(F.col("word")).alias("word")).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEN)
+    found = [row.word for row in counts.orderBy(F.col("n").desc(), "word").limit(most).collect()]
+    return RANKS | {word: rank for rank, word in enumerate((w for w in found if w not in RANKS), len(RANKS) + 1)}
+
+
+def _word_cost(piece: str, ranks: dict[str, int]) -> float | None:
     low = piece.lower()
     plain = low.translate(_LOOKALIKE)
-    rank = min(RANKS.get(low, 10**9), RANKS.get(plain, 10**9), RANKS.get(low[::-1], 10**9))
+    rank = min(ranks.get(low, 10**9), ranks.get(plain, 10**9), ranks.get(low[::-1], 10**9))
     if rank == 10**9:
         return None
-    changed = (piece != low) + (low not in RANKS) + (piece not in (low, low.upper(), low.capitalize()))
+    changed = (piece != low) + (low not in ranks) + (piece not in (low, low.upper(), low.capitalize()))
     return math.log10(rank * 2**changed + 1)
 
 
-def guess_cost(value: str) -> float:
-    """Log10 of the guesses the cheapest segmentation of ``value`` needs."""
-    n = len(value)
+def pieces(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, float]]:
+    """(start, end, log10 of guesses) of every stretch that can be one piece of a segmentation."""
+    n, low = len(value), value.lower()
     per_char = math.log10(max(_alphabet(value), 10))
-    best = [0.0] + [math.inf] * n
-    dates: dict[int, list[int]] = {}
-    for at in range(n):
-        if value[at].isdigit():
-            match = _DATE.match(value, at)
-            if match:
-                dates.setdefault(at, []).append(match.end())
-    low = value.lower()
     for at in range(n):
-        cost = best[at]
-        # A stretch of brute force grows character by character.
-        plain = value[at].isalpha() and (at == 0 or low[at] == value[at] or not value[at - 1].isalpha())
-        best[at + 1] = min(best[at + 1], cost + (PLAIN_LETTER if plain else per_char))
-        for end in range(at + 3, min(n, at + LONGEST_WORD) + 1):
-            word = _word_cost(value[at:end])
+        # A stretch of brute force is as many pieces as characters.
+        yield at, at + 1, per_char
+        for end in range(at + SHORTEST_WORD, min(n, at + LONGEST_WORD) + 1):
+            word = _word_cost(value[at:end], ranks)
             if word is not None:
-                best[end] = min(best[end], cost + word)
-        for end in dates.get(at, ()):
-            best[end] = min(best[end], cost + _DATE_COST)
+                yield at, end, word
+        if value[at].isdigit() and (match := _DATE.match(value, at)):
+            yield at, match.end(), _DATE_COST
         # Walks and repeats are taken from where they begin, so a long run costs linear time.
         end = at + 1 if at == 0 or low[at - 1 : at + 1] not in _NEXT_KEYS else n
         while end < n and low[end - 1] + low[end] in _NEXT_KEYS:
             end += 1
             if end - at >= 3:
-                best[end] = min(best[end], cost + math.log10(47 * (end - at)))
+                yield at, end, math.log10(47 * (end - at))
         for period in (1, 2, 3, 4):
             end = at + 2 * period if at < period or value[at - period : at] != value[at : at + period] else n + 1
             while end <= n and value[end - period : end] == value[at : at + period]:
-                best[end] = min(best[end], cost + period * per_char + math.log10((end - at) // period))
+                yield at, end, period * per_char + math.log10((end - at) // period)
                 end += period
-    return best[n]
+
+
+def guess_cost(value: str, ranks: dict[str, int] = RANKS) -> float:
+    """Log10 of the guesses the cheapest segmentation of ``value`` needs."""
+    best = [0.0] + [math.inf] * len(value)
+    for start, end, cost in pieces(value, ranks):  # by start, so that best[start] is final
+        best[end] = min(best[end], best[start] + cost)
+    return best[-1]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -136,7 +150,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def guessed_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def guessed_spans(text: str, base: list[tuple[int, int, int]], ranks: dict[str, int] = RANKS) -> list[tuple[int, int, int]]:
     """Hard values in credential contexts outside the base spans."""
     low, found = text.lower(), []
     patterns = [CONTEXT] if any(word in low for word in CONTEXT_WORDS) else []
@@ -146,7 +160,7 @@ def guessed_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
             value = match[1].rstrip(".!?)]}:")
             start, end = match.start(1), match.start(1) + len(value)
             inside = any(a < end and start < b for a, _, b in base)
-            if value and not inside and guess_cost(value) >= LEAST_GUESSES:
+            if value and not inside and guess_cost(value, ranks) >= LEAST_GUESSES:
                 found.append((start, 3, end))
     return sorted(set(found))
 
@@ -155,24 +169,28 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def _scan_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for text in batch:
-            text = text if isinstance(text, str) else ""
-            base = base_spans(text)
-            extra = guessed_spans(text, base)
-            counts = [sum(kind == k for _, kind, _ in base) for k in range(3)]
-            rows.append((*counts, len(extra), _joined(base), _joined(sorted(base + extra))))
-        yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_guess", "base", "spans"])
-
+def scanned(docs: DataFrame, ranks: dict[str, int] | None = None) -> DataFrame:
+    """``docs`` with counts per kind, ``base`` and ``spans`` (kind:start:end, by start).
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """``docs`` with counts per kind, ``base`` and ``spans`` (kind:start:end, by start)."""
+    ``ranks``: of words, by default those of ``docs`` themselves (:func:`word_ranks`).
+    """
     fields = ("n_assign", "n_access", "n_hex", "n_guess", "base", "spans")
-    scan = F.pandas_udf(_scan_batches, "n_assign long, n_access long, n_hex long, n_guess long, base string, spans string")
+    known = docs.sparkSession.sparkContext.broadcast(word_ranks(docs) if ranks is None else ranks)
+
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch:
+                text = text if isinstance(text, str) else ""
+                base = base_spans(text)
+                extra = guessed_spans(text, base, known.value)
+                counts = [sum(kind == k for _, kind, _ in base) for k in range(3)]
+                rows.append((*counts, len(extra), _joined(base), _joined(sorted(base + extra))))
+            yield pd.DataFrame(rows, columns=list(fields))
+
+    found_by = F.pandas_udf(scan, "n_assign long, n_access long, n_hex long, n_guess long, base string, spans string")
     kept = [name for name in docs.columns if name not in fields]
-    found = docs.select(held(kept), scan(F.col("text")).alias("_found"))
+    found = docs.select(held(kept), found_by(F.col("text")).alias("_found"))
     return found.select(*released(kept), *[F.col(f"_found.{name}") for name in fields])
 
 

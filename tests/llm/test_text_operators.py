@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from lotframe.llm import language, quality, secrets, substring_dedup
-from lotframe.llm.decontamination import MASKS, contaminated, op2_spaced_seeds, without_contaminated
+from lotframe.llm.decontamination import LEAST_EQUAL, LEAST_SHARE, MASKS, contaminated, op2_spaced_seeds, without_contaminated
 from lotframe.llm.html import extracted, main_text, op6_tree_scores
 from lotframe.llm.tokens import Words, portions
 
@@ -82,6 +82,20 @@ def test_masks_hit_any_fifth_of_substitutions():
             assert any(not {at + place for place in mask} & set(gone) for mask in MASKS for at in range(n - 11))
 
 
+def test_recall_at_every_rate_the_rule_accepts():
+    """Of items with as many substitutions, at random places, as the rule accepts; the rule takes runs and overlaps besides."""
+    rng, least = np.random.default_rng(9), {}
+    for n in [*range(12, 41), 50, 60, 100]:
+        gone = n - max(LEAST_EQUAL, int(np.ceil(LEAST_SHARE * n - 1e-9)))
+        equal = rng.random((3000, n)).argsort(axis=1) >= gone
+        hit = np.zeros(len(equal), bool)
+        for at in range(n - 11):
+            for mask in MASKS:
+                hit |= equal[:, [at + place for place in mask]].all(axis=1)
+        least[n] = hit.mean()
+    assert min(least.values()) >= 0.95, least
+
+
 def test_substituted_items_equal_brute_force(spark, documents):
     items = {k: prose(n, 5000 + k).split() for k, n in enumerate((12, 16, 23, 39, 60))}
     rows, expected = [], set()
@@ -198,6 +212,72 @@ def test_base_spans(text):
     assert secrets.base_spans(text) == plain_base(text)
 
 
+DICTIONARY = {**secrets.RANKS, "responsibility": 900, "understandably": 2500, "missing": 400, "hors": 3000, "battery": 5000}
+
+
+def plain_piece(value, a, b):
+    """Guesses (log10) of one stretch as one piece, by the definitions."""
+    piece, low = value[a:b], value.lower()
+    alphabet = sum(n for n, known in ((26, "abcdefghijklmnopqrstuvwxyz"), (26, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (10, "0123456789")) if set(value) & set(known))
+    alphabet += 33 if any(not (c.isascii() and c.isalnum()) for c in value) else 0
+    per_char, costs = np.log10(max(alphabet, 10)), [np.inf]
+    if b - a == 1:
+        costs.append(per_char)
+    if 3 <= b - a <= 24:
+        forms = [piece.lower(), piece.lower().translate(str.maketrans("4301578@$!", "aeoistbasi")), piece.lower()[::-1]]
+        ranks = [DICTIONARY[f] for f in forms if f in DICTIONARY]
+        if ranks:
+            changed = (piece != forms[0]) + (forms[0] not in DICTIONARY) + (piece not in (forms[0], forms[0].upper(), forms[0].capitalize()))
+            costs.append(np.log10(min(ranks) * 2**changed + 1))
+    date = secrets._DATE.match(value, a)
+    if piece[0].isdigit() and date and date.end() == b:
+        costs.append(np.log10(365 * 120))
+
+    def walks(i, j):
+        return any(low[i:j] in row or low[i:j] in row[::-1] for row in secrets.KEY_ROWS)
+
+    steps = all(walks(i, i + 2) for i in range(a, b - 1))
+    if b - a >= 3 and steps and (a == 0 or not walks(a - 1, a + 1)):
+        costs.append(np.log10(47 * (b - a)))
+    for period in (1, 2, 3, 4):
+        times = (b - a) // period
+        begins = a < period or value[a - period : a] != value[a : a + period]
+        if times >= 2 and times * period == b - a and piece == piece[:period] * times and begins:
+            costs.append(period * per_char + np.log10(times))
+    return min(costs)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(
+    st.text(alphabet="aq1wP!2", max_size=9),
+    st.lists(st.sampled_from(["key", "Pass", "w0rd", "1999", "qwe", "abab", "x", "7", "drow", "Zz"]), max_size=3).map("".join).map(lambda v: v[:11]),
+))
+def test_guess_cost_is_that_of_the_cheapest_segmentation(value):
+    def cheapest(n):
+        best = np.inf if n else 0.0
+        for cuts in itertools.product((0, 1), repeat=max(n - 1, 0)):
+            ends = [0, *(i + 1 for i, cut in enumerate(cuts) if cut), n]
+            best = min(best, sum(plain_piece(value, a, b) for a, b in zip(ends, ends[1:]))) if n else 0.0
+        return best
+
+    assert secrets.guess_cost(value, DICTIONARY) == pytest.approx(cheapest(len(value)))
+
+
+def test_words_of_the_corpus_are_cheap_and_random_letters_dear(spark, documents):
+    prose_rows = [(k, "the Responsibility is understandably missing ") for k in range(12)]
+    cases = [
+        (100, "the secret is responsibility."), (101, "the token is understandably missing"), (102, "passphrase: xkqzvbnwtrp"),
+        (103, "see https://u:kvqzjxwmtb@h/ there"), (104, "the secret is unheardofwordish"),
+    ]
+    docs = documents(prose_rows + cases)
+    ranks = secrets.word_ranks(docs)
+    assert ranks["responsibility"] > len(secrets.RANKS) and "xkqzvbnwtrp" not in ranks and ranks["password"] == 1
+    found = {r.doc_id: r.spans for r in secrets.scanned(docs).collect() if r.doc_id >= 100}
+    assert found == {100: "", 101: "", 102: "guess:12:23", 103: "guess:14:24", 104: "guess:14:30"}
+    assert len(secrets.word_ranks(docs, 2)) == len(secrets.RANKS) + 1  # of the two commonest, one is common anyway
+    assert secrets.word_ranks(docs.limit(0)) == secrets.RANKS
+
+
 def test_guess_costs():
     cheap = ["password1", "Password123", "qwertyuiop", "2024-01-15", "aaaaaaaaaaaa", "changeme", "the", "abcabcabc", "placeholder", "p@ssw0rd", "meeting"]
     dear = ["xK9#mQ2$vLp8", "Zt7!qR4_wE9x", "4f9d8a7b6c5e4d3c2b1a", "gH7kLm29QxTz"]
@@ -374,6 +454,53 @@ def test_determinant_steps_ignore_outliers(spark):
     assert np.abs(np.array(fit["mean"]) - bulk.mean(axis=0)).max() < 0.15
 
 
+def plain_estimate(v):
+    """The same three starts, steps and choice, over arrays."""
+    floor, n = np.diag(np.square(quality.FLOORS)), len(v)
+
+    def middle(x):
+        return np.sort(x, axis=0)[int(np.ceil(len(x) * 0.5)) - 1]
+
+    def of(rows):
+        return rows.mean(axis=0), rows.T @ rows / len(rows) - np.outer(rows.mean(axis=0), rows.mean(axis=0))
+
+    def step(mean, cov, scale):
+        d = v - mean
+        bins = np.floor(np.log2(np.maximum(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov * max(scale, 1) + floor), d), 0) + 1e-6) * 32)
+        ordered = np.sort(bins)
+        last, half = (ordered[int(np.ceil(n * share)) - 1] for share in (0.75, 0.5))
+        return *of(v[bins <= last]), 2.0 ** (half / 32) / quality.MEDIAN_SQUARE
+
+    def det(fit):
+        return np.linalg.slogdet(fit[1] + floor)[1]
+
+    median, spread = middle(v), middle(np.abs(v - middle(v)) * 1.4826)
+    inner = (np.abs(v - median) <= 1.5 * np.maximum(spread, quality.FLOORS)).all(axis=1)
+    fits = [(*of(v), 1.0), (median, np.diag(spread**2), 1.0), (*of(v[inner]), 1.0)]
+    for _ in range(quality.TRIAL_STEPS):
+        fits = [step(*fit) for fit in fits]
+    fit = min(fits, key=det)
+    for _ in range(quality.MOST_STEPS):
+        before, fit = fit, step(*fit)
+        if det(before) - det(fit) <= quality.STILL:
+            break
+    return fit[0], np.linalg.inv(fit[1] * max(fit[2], 1) + floor)
+
+
+def test_estimates_equal_a_plain_version_and_see_a_clustered_quarter(spark):
+    rng = np.random.default_rng(5)
+    for seed, far in ((1, [8, 7.5, 0.35, 0.3, 0.2]), (2, [5.5, 9, 0.1, 0.5, 0.1])):
+        bulk = rng.normal([5, 5, 0.02, 0.01, 0.01], [1, 0.4, 0.02, 0.05, 0.03], (760, 5))
+        v = np.vstack([bulk, rng.normal(far, 0.02, (240, 5))])
+        rows = spark.createDataFrame([("g", x.tolist()) for x in v], "grp string, v array<double>")
+        fit = quality.estimates(rows).first()
+        mean, inverse = plain_estimate(v)
+        assert np.allclose(fit["mean"], mean, atol=1e-6) and np.allclose(np.reshape(fit["inverse"], (5, 5)), inverse, rtol=1e-4, atol=1e-4)
+        d = v - mean
+        apart = np.einsum("ij,jk,ik->i", d, inverse, d)
+        assert (apart[760:] > quality.CUTOFF).all() and (apart[:760] <= quality.CUTOFF).mean() > 0.995
+
+
 # ---- 10 language ------------------------------------------------------------------------
 
 
