@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_category_heading, is_missing, is_us_date, strip
 from .headers import has_symbol_and_more
+from .prefix import attach_by_key, last_before
 from .segment import BLOCK, TABLE, is_data_row
 
 SEGMENT = (*BLOCK, "table_row")
@@ -70,31 +71,20 @@ def summarise_segments(roles: DataFrame) -> DataFrame:
 
 def decide_tables(segments: DataFrame) -> DataFrame:
     """Adds table-wide decisions and the symbol carried into each segment."""
-    table = Window.partitionBy(*TABLE).orderBy("block")
-    whole = table.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = table.rowsBetween(Window.unboundedPreceding, -1)
-
-    def least(name: str) -> Column:
-        return F.min(name).over(whole)
-
-    def most(name: str) -> Column:
-        return F.max(name).over(whole)
-
     def yes(condition: Column) -> Column:
         return F.coalesce(condition, F.lit(False))
 
-    return (
-        segments.withColumns(
-            {
-                "table_rows": F.sum("n_rows").over(whole),
-                "is_group": yes(least("first_group") < most("last_member")),
-                "has_group_lots": yes(least("first_group") < most("last_group_lot")),
-                "has_hybrid_lots": yes(least("first_hybrid") < most("last_hybrid_lot")),
-                "hybrid_carry": F.last("hybrid_tail", ignorenulls=True).over(before),
-                "group_carry": F.last("group_tail", ignorenulls=True).over(before),
-            }
-        )
+    in_tables = segments.filter(F.col("table_row").isNotNull())
+    facts = in_tables.groupBy(*TABLE).agg(
+        F.sum("n_rows").alias("table_rows"),
+        yes(F.min("first_group") < F.max("last_member")).alias("is_group"),
+        yes(F.min("first_group") < F.max("last_group_lot")).alias("has_group_lots"),
+        yes(F.min("first_hybrid") < F.max("last_hybrid_lot")).alias("has_hybrid_lots"),
     )
+    carried = last_before(segments, TABLE, "block", ["hybrid_tail", "group_tail"])
+    carried = carried.withColumnsRenamed({"hybrid_tail_before": "hybrid_carry", "group_tail_before": "group_carry"})
+    # A table's facts meet its blocks over several tasks, however many blocks it has.
+    return attach_by_key(carried, facts, TABLE, F.col("block"))
 
 
 def _table_place() -> Column:

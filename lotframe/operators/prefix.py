@@ -2,7 +2,8 @@
 
 A window partitioned by such a key puts the whole key in one task. The helpers
 here work on bounded blocks of consecutive rows first and carry one summary row
-per block across blocks, so only the summaries of a key meet in one task.
+per block across blocks; summaries are scanned in groups, and those groups'
+summaries again, so no task gets all blocks of a key.
 """
 
 from __future__ import annotations
@@ -40,3 +41,71 @@ def attach_by_key(
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(fanout)).cast("int"))
     copies = F.explode(F.sequence(F.lit(0), F.lit(fanout - 1)))
     return salted.join(facts.withColumn("_salt", copies), [*keys, "_salt"], "left").drop("_salt")
+
+
+#: Blocks that meet in one window; a file's windows over blocks hold this many of the next level's summaries at most.
+GROUP_BLOCKS = 4096
+#: Levels between the blocks and the file: one is enough for files of 4096 x 4096 blocks.
+LEVELS = 1
+
+_UP_TO = (Window.unboundedPreceding, Window.currentRow)
+_BEFORE = (Window.unboundedPreceding, -1)
+
+
+def states_before(
+    summaries: DataFrame, keys: Sequence[str], order: str, reset: str, states: Sequence[str], levels: int | None = None
+) -> DataFrame:
+    """For each of the ``states`` its value before a row, as ``<state>_before``.
+
+    Rows run along the integer ``order`` within ``keys``. A state stays what it is once it has a value, until
+    a row with ``reset``, which starts it anew with the row's own value. Two stretches of rows combine to one of the
+    same kind (does it reset, and what is its value at the end if it began without one), so rows are scanned in groups of
+    ``GROUP_BLOCKS`` numbers, the groups' summaries likewise, and at last what is left per key.
+    """
+    levels = LEVELS if levels is None else levels
+    group = f"_group{levels}" if levels else None
+    grouped = summaries.withColumn(group, F.floor(F.col(order) / GROUP_BLOCKS).cast("long")) if group else summaries
+    within = [*keys, *([group] if group else [])]
+    along = Window.partitionBy(*within).orderBy(order)
+    grouped = grouped.withColumn("_epoch", F.max(F.when(F.col(reset), F.col(order))).over(along.rowsBetween(*_UP_TO)))
+    in_epoch = Window.partitionBy(*within, "_epoch").orderBy(order).rowsBetween(*_UP_TO)
+    local = grouped.withColumns({f"{name}_end": F.first(name, ignorenulls=True).over(in_epoch) for name in states})
+    local = local.withColumns({f"{name}_before": F.lag(f"{name}_end").over(along) for name in states})
+    if not group:
+        return local.drop("_epoch", *[f"{name}_end" for name in states])
+    local = local.withColumn("_reset_before", F.coalesce(F.max(reset).over(along.rowsBetween(*_BEFORE)), F.lit(False)))
+    tops = local.groupBy(*within).agg(
+        F.max(reset).alias(reset), *[F.max_by(f"{name}_end", order).alias(name) for name in states]
+    )
+    tops = states_before(tops, keys, group, reset, states, levels - 1)
+    carried = tops.select(*within, *[F.col(f"{name}_before").alias(f"{name}_carried") for name in states])
+    joined = local.join(carried, within, "left")
+
+    def before(name: str) -> Column:
+        own = F.col(f"{name}_before")
+        return F.when(F.col("_reset_before"), own).otherwise(F.coalesce(F.col(f"{name}_carried"), own))
+
+    return joined.withColumns({f"{name}_before": before(name) for name in states}).drop(
+        group, "_epoch", "_reset_before", *[f"{name}_end" for name in states], *[f"{name}_carried" for name in states]
+    )
+
+
+def last_before(
+    summaries: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], levels: int | None = None
+) -> DataFrame:
+    """For each of ``values`` the last one before a row that is not null, as ``<value>_before``; scanned by levels."""
+    levels = LEVELS if levels is None else levels
+    if not levels:
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(*_BEFORE)
+        return summaries.withColumns({f"{name}_before": F.last(name, ignorenulls=True).over(before) for name in values})
+    group = f"_group{levels}"
+    grouped = summaries.withColumn(group, F.floor(F.col(order) / GROUP_BLOCKS).cast("long"))
+    within = [*keys, group]
+    before = Window.partitionBy(*within).orderBy(order).rowsBetween(*_BEFORE)
+    local = grouped.withColumns({f"{name}_before": F.last(name, ignorenulls=True).over(before) for name in values})
+    latest = [F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order))).alias(name) for name in values]
+    tops = last_before(grouped.groupBy(*within).agg(*latest), keys, group, values, levels - 1)
+    carried = tops.select(*within, *[F.col(f"{name}_before").alias(f"{name}_carried") for name in values])
+    joined = local.join(carried, within, "left")
+    filled = {f"{name}_before": F.coalesce(f"{name}_before", f"{name}_carried") for name in values}
+    return joined.withColumns(filled).drop(group, *[f"{name}_carried" for name in values])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import is_blank, is_missing
-from .prefix import running_row_number
+from .prefix import running_row_number, states_before
 
 BLOCK = ("file", "sheet_no", "block")
 TABLE = ("file", "sheet_no", "table_row")
@@ -77,23 +77,13 @@ def _carry_open_table(marked: DataFrame) -> DataFrame:
         F.max("_start").alias("_last_start"),
         F.max_by("_header", "row_no").alias("_last_header"),
     )
+    # A block with a blank row ends what was open before it; what its last start opened stays open.
     alive = F.col("_last_start") > F.coalesce(F.col("_last_blank"), F.lit(-1))
-    along = Window.partitionBy("file", "sheet_no").orderBy("block")
-    epoch = F.max(F.when(F.col("_last_blank").isNotNull(), F.col("block"))).over(along.rowsBetween(*_UP_TO))
-    in_epoch = Window.partitionBy("file", "sheet_no", "_epoch").orderBy("block").rowsBetween(*_UP_TO)
-    return (
-        summary.withColumn("_epoch", epoch)
-        .withColumns(
-            {
-                "_end_start": F.first(F.when(alive, F.col("_last_start")), ignorenulls=True).over(in_epoch),
-                "_end_header": F.first(F.when(alive, F.col("_last_header")), ignorenulls=True).over(in_epoch),
-            }
-        )
-        .select(
-            *BLOCK,
-            F.lag("_end_start").over(along).alias("_open_start"),
-            F.lag("_end_header").over(along).alias("_open_header"),
-        )
+    opened = F.when(alive, F.struct(F.col("_last_start").alias("start"), F.col("_last_header").alias("header")))
+    states = summary.select(*BLOCK, F.col("_last_blank").isNotNull().alias("_ends"), opened.alias("_open"))
+    carried = states_before(states, ["file", "sheet_no"], "block", "_ends", ["_open"])
+    return carried.select(
+        *BLOCK, F.col("_open_before.start").alias("_open_start"), F.col("_open_before.header").alias("_open_header")
     )
 
 
