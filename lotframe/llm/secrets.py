@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.staging import stage
 from .columns import documents, held, released
 from .spelling import ascii_lower
 
@@ -55,6 +56,7 @@ LOGIN_URL = re.compile(r"://[^\s:/@]+:([^\s/@]+)@")
 LEAST_GUESSES = 10.0
 #: Words of the corpus in the dictionary at most, how often they occur at least, and their letters.
 DICTIONARY, LEAST_SEEN = 50_000, 10
+BANDS_PER_OCTAVE = 16
 SHORTEST_WORD, LONGEST_WORD = 3, 24
 
 #: Words that guessers try first, the commonest first.
@@ -87,11 +89,23 @@ def _alphabet(text: str) -> int:
 
 
 def word_ranks(docs: DataFrame, most: int = DICTIONARY) -> dict[str, int]:
-    """Rank by word: the common ones, then those of ``docs`` by their counts, ``most`` at most; collected by the driver."""
+    """Rank by word: the common ones, then those of ``docs`` by their counts, ``most`` at most; collected by the driver.
+
+    Words of about the same count (a sixteenth of an octave) are taken or left together.
+    """
     runs = docs.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("word"))
     runs = runs.where(F.char_length("word").between(SHORTEST_WORD, LONGEST_WORD))
     counts = runs.groupBy(ascii_lower(F.col("word")).alias("word")).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEN)
-    found = [row.word for row in counts.orderBy(F.col("n").desc(), "word").limit(most).collect()]
+    counts = stage(counts.withColumn("band", F.floor(F.log2("n") * BANDS_PER_OCTAVE).cast("int")), "word-counts")
+    # Some hundreds of bands, then the words of those that fit: nothing is ordered that is not kept.
+    lowest, room = None, most
+    for band in counts.groupBy("band").agg(F.count("*").alias("words")).orderBy(F.col("band").desc()).collect():
+        room -= band.words
+        if room < 0:
+            break
+        lowest = band.band
+    kept = counts.where(F.col("band") >= lowest).select("word", "n").collect() if lowest is not None else []
+    found = [row.word for row in sorted(kept, key=lambda row: (-row.n, row.word))]
     return RANKS | {word: rank for rank, word in enumerate((w for w in found if w not in RANKS), len(RANKS) + 1)}
 
 
