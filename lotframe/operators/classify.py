@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_category_heading, is_missing, is_us_date, strip
 from .headers import has_symbol_and_more
-from .prefix import attach_by_key, last_before
+from .prefix import attach_totals, last_before
 from .segment import BLOCK, TABLE, is_data_row
 
 SEGMENT = (*BLOCK, "table_row")
@@ -74,17 +74,30 @@ def decide_tables(segments: DataFrame) -> DataFrame:
     def yes(condition: Column) -> Column:
         return F.coalesce(condition, F.lit(False))
 
-    in_tables = segments.filter(F.col("table_row").isNotNull())
-    facts = in_tables.groupBy(*TABLE).agg(
-        F.sum("n_rows").alias("table_rows"),
-        yes(F.min("first_group") < F.max("last_member")).alias("is_group"),
-        yes(F.min("first_group") < F.max("last_group_lot")).alias("has_group_lots"),
-        yes(F.min("first_hybrid") < F.max("last_hybrid_lot")).alias("has_hybrid_lots"),
-    )
     carried = last_before(segments, TABLE, "block", ["hybrid_tail", "group_tail"])
     carried = carried.withColumnsRenamed({"hybrid_tail_before": "hybrid_carry", "group_tail_before": "group_carry"})
-    # A table's facts meet its blocks over several tasks, however many blocks it has.
-    return attach_by_key(carried, facts, TABLE, F.col("block"))
+    folds = {
+        "table_rows": (F.sum, "n_rows"),
+        "_first_group": (F.min, "first_group"),
+        "_last_member": (F.max, "last_member"),
+        "_last_group_lot": (F.max, "last_group_lot"),
+        "_first_hybrid": (F.min, "first_hybrid"),
+        "_last_hybrid_lot": (F.max, "last_hybrid_lot"),
+    }
+    # A table's facts meet its blocks by groups of them, however many blocks it has.
+    present = F.col("table_row").isNotNull()
+    told = attach_totals(carried, present, TABLE, "block", folds)
+
+    def decided(condition: Column) -> Column:
+        return F.when(present, yes(condition))
+
+    return told.withColumns(
+        {
+            "is_group": decided(F.col("_first_group") < F.col("_last_member")),
+            "has_group_lots": decided(F.col("_first_group") < F.col("_last_group_lot")),
+            "has_hybrid_lots": decided(F.col("_first_hybrid") < F.col("_last_hybrid_lot")),
+        }
+    ).drop(*[name for name in folds if name.startswith("_")])
 
 
 def _table_place() -> Column:

@@ -8,7 +8,7 @@ summaries again, so no task gets all blocks of a key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -43,6 +43,15 @@ def attach_by_key(
     return salted.join(facts.withColumn("_salt", copies), [*keys, "_salt"], "left").drop("_salt")
 
 
+def shuffled(facts: DataFrame) -> DataFrame:
+    """``facts`` for a join that must not send them to the driver.
+
+    Spark judges what it may broadcast by compressed sizes, and there may be a row for each of millions of
+    files or blocks. The facts of a task's rows are hashed there; the rows are neither moved nor sorted.
+    """
+    return facts.hint("shuffle_hash")
+
+
 #: Blocks that meet in one window; a file's windows over blocks hold this many of the next level's summaries at most.
 GROUP_BLOCKS = 4096
 #: Levels between the blocks and the file: one is enough for files of 4096 x 4096 blocks.
@@ -79,7 +88,7 @@ def states_before(
     )
     tops = states_before(tops, keys, group, reset, states, levels - 1)
     carried = tops.select(*within, *[F.col(f"{name}_before").alias(f"{name}_carried") for name in states])
-    joined = local.join(carried, within, "left")
+    joined = local.join(shuffled(carried), within, "left")
 
     def before(name: str) -> Column:
         own = F.col(f"{name}_before")
@@ -106,6 +115,21 @@ def last_before(
     latest = [F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order))).alias(name) for name in values]
     tops = last_before(grouped.groupBy(*within).agg(*latest), keys, group, values, levels - 1)
     carried = tops.select(*within, *[F.col(f"{name}_before").alias(f"{name}_carried") for name in values])
-    joined = local.join(carried, within, "left")
+    joined = local.join(shuffled(carried), within, "left")
     filled = {f"{name}_before": F.coalesce(f"{name}_before", f"{name}_carried") for name in values}
     return joined.withColumns(filled).drop(group, *[f"{name}_carried" for name in values])
+
+
+def attach_totals(
+    summaries: DataFrame, present: Column, keys: Sequence[str], order: str, folds: dict[str, tuple[Callable, str]]
+) -> DataFrame:
+    """Adds aggregates over ``keys`` of the rows that are ``present``: name to (``F.sum``, ``F.min`` or ``F.max``, column).
+
+    Rows are folded in groups of ``GROUP_BLOCKS`` numbers, a window over the groups gives the whole, and a group's
+    rows meet it by key and group. So the facts are as many as the groups, and no task gets all rows of a key.
+    """
+    grouped = summaries.withColumn("_group", F.floor(F.col(order) / GROUP_BLOCKS).cast("long"))
+    parts = grouped.where(present).groupBy(*keys, "_group").agg(*[fold(of).alias(name) for name, (fold, of) in folds.items()])
+    whole = Window.partitionBy(*keys)
+    totals = parts.select(*keys, "_group", *[fold(name).over(whole).alias(name) for name, (fold, _) in folds.items()])
+    return grouped.join(shuffled(totals), [*keys, "_group"], "left").drop("_group")

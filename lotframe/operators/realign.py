@@ -6,20 +6,24 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .classify import SEGMENT, is_account_source
+from .classify import is_account_source
 from .headers import has_symbol_and_more
+from .segment import BLOCK
 
 
 def carry_symbols(roles: DataFrame) -> DataFrame:
     """Current symbol under both layouts.
 
-    Runs within (block, table); the value at the segment's start comes in as
-    ``hybrid_carry`` and ``group_carry``.
+    Runs along a block, whose rows are in this order already; a symbol counts for rows of its own table. The value
+    at the segment's start comes in as ``hybrid_carry`` and ``group_carry``.
     """
-    so_far = Window.partitionBy(*SEGMENT).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy(*BLOCK).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
 
     def current(symbol: str, carry: str) -> Column:
-        return F.coalesce(F.last(symbol, ignorenulls=True).over(so_far), F.col(carry))
+        named = F.when(F.col(symbol).isNotNull(), F.struct("table_row", symbol))
+        latest = F.last(named, ignorenulls=True).over(so_far)
+        own = F.when(latest["table_row"] == F.col("table_row"), latest[symbol])
+        return F.coalesce(own, F.col(carry))
 
     return roles.withColumns(
         {

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import canonical, clean, classify, keyvalues
+from ..operators.prefix import shuffled
 from .ingest import Parsed, parse_reports
 
 
@@ -42,7 +43,7 @@ def audit_of(parsed: Parsed, fields: Sequence[str]) -> DataFrame:
     counts = ["tables", "empty_tables", "table_rows", "renamed_columns", "rows_extracted", "lots", "_kept", "key_values"]
     joined = parsed.files.select("file", F.when(F.col("is_hybrid"), "hybrid").otherwise("standard").alias("structure"))
     for part in (tables, copies, pairs):
-        joined = joined.join(part, "file", "left")
+        joined = joined.join(shuffled(part), "file", "left")
     joined = joined.na.fill(0, counts)
     return joined.select(
         "file",
@@ -55,6 +56,9 @@ def audit_of(parsed: Parsed, fields: Sequence[str]) -> DataFrame:
 
 
 def ingest_audit(
-    grid: DataFrame, fields: Sequence[str] = canonical.FULL_FIELDS, synonyms: dict | None = None
+    grid: DataFrame,
+    fields: Sequence[str] = canonical.FULL_FIELDS,
+    synonyms: dict | None = None,
+    stored_by: Sequence[int | str] | None = None,
 ) -> DataFrame:
-    return audit_of(parse_reports(grid, fields, synonyms), fields)
+    return audit_of(parse_reports(grid, fields, synonyms, stored_by), fields)

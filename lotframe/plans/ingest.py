@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import canonical, classify, clean, headers, keyvalues, realign, segment
+from ..operators.prefix import shuffled
 from ..sources.mapping import DEFAULT_SYNONYMS, mapping_frame, resolve_mapping
 from ..sources.staging import stage
 
@@ -31,24 +32,46 @@ class Parsed:
     fallback: DataFrame
 
 
-def decide(blocked: DataFrame, fields: Sequence[str], mapping: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+def decide(
+    blocked: DataFrame, fields: Sequence[str], mapping: dict[str, str], by: Sequence[int | str] = segment.BLOCK
+) -> tuple[DataFrame, DataFrame]:
     """Resolved rows, and the decisions per (block, table) as a staged table.
 
     The summary is read by the table, file and row steps, so it is written once;
     rows outside tables are in it under a null ``table_row`` and keep every
     file and block listed.
     """
-    rows = segment.resolve_rows(blocked, headers.header_facts(mapping, fields))
+    rows = segment.resolve_rows(blocked, headers.header_facts(mapping, fields), by)
     summary = classify.summarise_segments(classify.row_roles(rows))
     return rows, classify.decide_tables(stage(summary, "segments"))
 
 
-def parse_reports(grid: DataFrame, fields: Sequence[str], synonyms: dict | None = None) -> Parsed:
-    """All stages from a report grid to uncleaned canonical rows."""
+def rows_with_facts(rows: DataFrame, facts: DataFrame, by: Sequence[int | str] = segment.BLOCK) -> DataFrame:
+    """Rows of tables with the facts of their (block, table).
+
+    A block's facts come to its rows as one map; a join by table as well would deal the rows out anew.
+    """
+    names = [name for name in facts.columns if name not in classify.SEGMENT]
+    entry = F.struct("table_row", F.struct(*names).alias("facts"))
+    of_block = facts.groupBy(*segment.BLOCK).agg(F.map_from_entries(F.collect_list(entry)).alias("_by_table"))
+    joined = rows.join(shuffled(of_block.repartition(*by)), list(segment.BLOCK))
+    found = joined.withColumn("_facts", F.try_element_at("_by_table", "table_row")).where(F.col("_facts").isNotNull())
+    return found.select(*rows.columns, "_facts.*")
+
+
+def parse_reports(
+    grid: DataFrame, fields: Sequence[str], synonyms: dict | None = None, stored_by: Sequence[int | str] | None = None
+) -> Parsed:
+    """All stages from a report grid to uncleaned canonical rows.
+
+    ``stored_by``: number and columns of the buckets that a stored grid is read from, each with whole blocks; else
+    rows are shuffled by block.
+    """
     synonyms = DEFAULT_SYNONYMS if synonyms is None else synonyms
     mapping = resolve_mapping(grid.sparkSession, synonyms)
-    blocked = segment.by_block(grid)
-    rows, segments = decide(blocked, fields, mapping)
+    blocked = segment.blocked_as_stored(grid) if stored_by else segment.by_block(grid)
+    by = stored_by or segment.BLOCK
+    rows, segments = decide(blocked, fields, mapping, by)
     tables = segments.filter(F.col("table_row").isNotNull())
 
     pairs = keyvalues.key_value_pairs(blocked, mapping_frame(grid.sparkSession, synonyms))
@@ -56,22 +79,22 @@ def parse_reports(grid: DataFrame, fields: Sequence[str], synonyms: dict | None
     files = (
         blocks.select("file")
         .distinct()
-        .join(classify.decide_files(tables, fields), "file", "left")
-        .join(keyvalues.key_value_maps(pairs), "file", "left")
+        .join(shuffled(classify.decide_files(tables, fields)), "file", "left")
+        .join(shuffled(keyvalues.key_value_maps(pairs)), "file", "left")
         .withColumn("is_hybrid", F.coalesce("is_hybrid", F.lit(False)))
         .withColumn("fallback", canonical.fallback_values(fields))
     )
 
     # File facts meet their file once per block, not once per row or table.
-    per_block = blocks.join(files.select("file", "is_hybrid", "account_place", "fallback"), "file")
+    per_block = blocks.join(shuffled(files.select("file", "is_hybrid", "account_place", "fallback")), "file")
     facts = (
-        tables.join(per_block, list(segment.BLOCK))
+        tables.join(shuffled(per_block), list(segment.BLOCK))
         .withColumn("route", realign.choose_route(fields))
         .filter(F.col("route").isNotNull())
         .select(*classify.SEGMENT, "route", "fallback", "hybrid_carry", "group_carry")
     )
     in_tables = rows.filter(F.col("table_row").isNotNull())
-    routed = realign.carry_symbols(classify.row_roles(in_tables.join(facts, list(classify.SEGMENT))))
+    routed = realign.carry_symbols(classify.row_roles(rows_with_facts(in_tables, facts, by)))
     lots = canonical.project_fields(realign.keep_lots(routed), fields)
     return Parsed(blocked, tables, pairs, files, routed, lots, canonical.fallback_rows(files, fields))
 
@@ -82,8 +105,9 @@ def ingest(
     synonyms: dict | None = None,
     keep_place: bool = False,
     observe=None,
+    stored_by: Sequence[int | str] | None = None,
 ) -> DataFrame:
     """Canonical, cleaned and de-duplicated lots of all reports in ``grid``."""
-    parsed = parse_reports(grid, fields, synonyms)
+    parsed = parse_reports(grid, fields, synonyms, stored_by)
     place = ("file", "sheet_no", "row_no") if keep_place else ()
     return clean.clean_lots(parsed.lots.unionByName(parsed.fallback), fields, place, observe)
