@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 from ..operators.clean import append_lots, append_to_buckets, lot_key
 from .flat import read_flat
 from .manifest import _file_system, path_exists
-from .staging import stage
+from .staging import bucketed_table, stage
 
 
 def run_timestamp(moment: dt.datetime | None = None) -> str:
@@ -106,18 +106,9 @@ class WorkingCopy:
         lots.sparkSession.sql(f"DROP TABLE {table}")
 
     def read(self, spark: SparkSession) -> DataFrame:
-        """A scan that knows its buckets. The table is in the catalog only until it is resolved; its files stay."""
+        """A scan that knows its buckets."""
         schema = spark.read.parquet(self.folder).schema
-        columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
-        table = f"lotframe_{uuid.uuid4().hex}"
-        spark.sql(
-            f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (lot_key) SORTED BY (lot_key) "
-            f"INTO {self.buckets} BUCKETS LOCATION '{self.folder}'"
-        )
-        try:
-            return spark.table(table)
-        finally:
-            spark.sql(f"DROP TABLE {table}")
+        return bucketed_table(spark, self.folder, schema, ["lot_key"], self.buckets)
 
 
 def latest_version(spark: SparkSession, path: str) -> str | None:
