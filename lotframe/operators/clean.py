@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.text import blank_to_null
+from ..session import keep_methods_small
 
 
 def quoted(field: str) -> Column:
@@ -47,6 +48,8 @@ def clean_lots(
     cleaning, without empty rows and after de-duplication, as ``n_rows``.
     """
 
+    keep_methods_small(df.sparkSession)
+
     def counted(frame: DataFrame, step: int) -> DataFrame:
         return frame.observe(observe[step], F.count("*").alias("n_rows")) if observe else frame
 

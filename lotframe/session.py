@@ -1,4 +1,4 @@
-"""A session whose workers can import this package."""
+"""A session whose workers can import this package, and whose generated code the JVM compiles."""
 
 from __future__ import annotations
 
@@ -9,6 +9,21 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+#: Bytes of a method beyond which the JVM interprets it for good, and Spark's setting of how large it lets one grow.
+LARGEST_COMPILED = 8000
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+def keep_methods_small(spark: SparkSession) -> None:
+    """Lets Spark run operators one by one where fused ones would make a method that the JVM never compiles.
+
+    A dozen text columns that are derived, tested and cleaned in one stage are such a method; rows then take twice
+    as long. A limit that somebody has set below Spark's own stays.
+    """
+    if int(spark.conf.get(_METHOD_LIMIT)) > LARGEST_COMPILED:
+        spark.conf.set(_METHOD_LIMIT, str(LARGEST_COMPILED))
+
+
 def ship_package(spark: SparkSession) -> str:
     """Sends the package to the workers of ``spark``; returns the archive's path on the driver.
 
