@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..operators.clean import lot_key
 from ..operators.segment import BLOCK
 from ..sources.inputs import file_system
 from ..sources.manifest import qualified
@@ -60,8 +61,8 @@ def grouped_money(whole_cents: str) -> str:
 
 def lot_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per lineitem with whole-number amounts; two foreign-key joins."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "cast(l_shipdate as date) as day"
     )
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     parts = table(spark, sf_dir, "part").select(
@@ -81,32 +82,45 @@ def lot_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"{cents('l_extendedprice')} as cost",
             f"{cents('l_extendedprice / l_quantity')} as unit",
             f"cast(l_quantity as bigint) * {cents('p_retailprice')} as value",
-            "cast(l_shipdate as date) as day",
+            "day",
             "p_type as type",
             "p_size as size",
         )
     )
 
 
-def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical lots as text, the way their report prints them."""
-    return lot_facts(spark, sf_dir).selectExpr(
-        "concat('B', suppkey) as Broker",
-        "case when layout = 1 then concat('S', suppkey) else concat('C', custkey) end as Account",
-        "case when layout = 0 then lpad(cast(custkey as string), 8, '0')"
-        " else cast(9000 + suppkey as string) end as `Account#`",
-        "concat('P', partkey) as Symbol",
-        "cast(qty as string) as Quantity",
-        "case layout when 0 then date_format(day, 'yyyy-MM-dd') when 1 then date_format(day, 'MM/dd/yyyy')"
-        " else date_format(day, 'M/d/yyyy') end as `Acquisition Date`",
-        f"{money('unit')} as `Cost per Unit`",
-        f"case when layout = 0 then {grouped_money('cost')} else {money('cost')} end as `Total Cost`",
-        f"{money('value')} as Value",
-        "case when layout <> 1 then type end as Type",
-        "cast(null as string) as Source",
-        "layout",
-        "size",
-    )
+#: What a report prints of a lot, over :func:`lot_facts`.
+LOT_TEXT = {
+    "Broker": "concat('B', suppkey)",
+    "Account": "case when layout = 1 then concat('S', suppkey) else concat('C', custkey) end",
+    "Account#": "case when layout = 0 then lpad(cast(custkey as string), 8, '0') else cast(9000 + suppkey as string) end",
+    "Symbol": "concat('P', partkey)",
+    "Quantity": "cast(qty as string)",
+    "Acquisition Date": "case layout when 0 then date_format(day, 'yyyy-MM-dd') when 1 then date_format(day, 'MM/dd/yyyy')"
+    " else date_format(day, 'M/d/yyyy') end",
+    "Cost per Unit": money("unit"),
+    "Total Cost": f"case when layout = 0 then {grouped_money('cost')} else {money('cost')} end",
+    "Value": money("value"),
+    "Type": "case when layout <> 1 then type end",
+    "Source": "cast(null as string)",
+}
+
+
+def lots(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None, *also: str) -> DataFrame:
+    """Canonical lots as text, the way their report prints them, of all facts or those given."""
+    facts = lot_facts(spark, sf_dir) if facts is None else facts
+    return facts.selectExpr(*[f"{text} as `{name}`" for name, text in LOT_TEXT.items()], "layout", "size", *also)
+
+
+_FACTS: dict[tuple[str, str], DataFrame] = {}
+
+
+def staged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What :func:`lots` prints of :func:`lot_facts`, written once per application for queries that need it several times."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FACTS:
+        _FACTS[key] = stage(lot_facts(spark, sf_dir).drop("orderkey", "linenumber"), "lot-facts")
+    return _FACTS[key]
 
 
 def _head_rows(first_rows: list[list]) -> Column:
@@ -247,7 +261,11 @@ def earlier_output(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _EARLIER:
         folder = new_folder(spark, "earlier-output")
-        write_lots(lots(spark, sf_dir).filter("size <= 30").drop("layout", "size").distinct(), folder, "run")
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        facts = staged_facts(spark, sf_dir).filter("size <= 30")
+        # Facts meet in their lot's bucket as numbers, which are half as long as their text.
+        dealt = facts.withColumn("lot_key", lot_key(LOT_TEXT, LOT_TEXT)).repartition(buckets, "lot_key")
+        write_lots(lots(spark, sf_dir, dealt, "lot_key").drop("layout", "size"), folder, "run", buckets=buckets, as_set=True)
         _EARLIER[key] = folder
     return _EARLIER[key]
 

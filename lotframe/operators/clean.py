@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
@@ -67,21 +67,34 @@ def append_lots(existing: DataFrame, new: DataFrame, fields: Sequence[str]) -> D
     return clean_lots(existing.select(*same).unionByName(new.select(*same)), fields)
 
 
-def lot_key(fields: Sequence[str]) -> Column:
-    """Equal for equal lots, whatever the order of their fields; a field that is null counts as absent."""
-    return F.xxhash64(*[quoted(field).cast("string") for field in sorted(fields)])
+def lot_key(fields: Iterable[str], made_of: Mapping[str, str] | None = None) -> Column:
+    """Equal for equal lots, whatever the order of their fields; a field that is null counts as absent.
+
+    ``made_of``: the SQL of fields that are yet to be made.
+    """
+    of = quoted if made_of is None else lambda field: F.expr(made_of[field])
+    return F.xxhash64(*[of(field).cast("string") for field in sorted(fields)])
+
+
+def distinct_in_buckets(df: DataFrame, fields: Sequence[str], buckets: int) -> DataFrame:
+    """Distinct lots with their ``lot_key``, dealt out by it: one shuffle does for both, or none if they have it and are."""
+    keyed = df if "lot_key" in df.columns else df.withColumn("lot_key", lot_key(fields))
+    return keyed.select(*map(quoted, fields), "lot_key").repartition(buckets, "lot_key").distinct()
 
 
 def append_to_buckets(existing: DataFrame, new: DataFrame, fields: Sequence[str], buckets: int) -> DataFrame:
     """As :func:`append_lots` for clean, distinct ``existing`` lots, bucketed by ``lot_key`` (:func:`lot_key`).
 
-    Only the new lots are shuffled, into the same buckets. Each bucket's history streams past a hash table
-    of its new lots; it is neither moved nor sorted.
+    Only the new lots are shuffled, once, into the same buckets; equal ones collapse before that and after it. Each
+    bucket's history streams past a hash table of its new lots; it is neither moved nor sorted.
     """
+    keep_methods_small(new.sparkSession)
     names = [quoted(field).cast("string").alias(field) for field in fields]
-    fresh = clean_lots(new.select(*names), fields)
-    fresh = fresh.select(lot_key(fields).alias("_new_key"), F.struct(*map(quoted, fields)).alias("_new"))
-    fresh = fresh.repartition(buckets, "_new_key").hint("shuffle_hash")
+    kept = drop_empty_rows(blanks_to_nulls(new.select(*names), fields), fields)
+    keyed = kept.select(lot_key(fields).alias("_new_key"), F.struct(*map(quoted, fields)).alias("_new"))
+    # By key alone, so that the lots come out in their buckets. Lots that differ may share a key: all of them are kept.
+    of_key = keyed.groupBy("_new_key").agg(F.collect_set("_new").alias("_of_key")).repartition(buckets, "_new_key")
+    fresh = of_key.select("_new_key", F.explode("_of_key").alias("_new")).hint("shuffle_hash")
     old = existing.select("lot_key", F.struct(*names).alias("_old"))
     # The comparison of lots is not an equality of columns, which would have to be hashed as well.
     same = (F.col("lot_key") == F.col("_new_key")) & F.array_contains(F.array("_old"), F.col("_new"))

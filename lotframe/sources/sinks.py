@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 
-from ..operators.clean import append_lots, append_to_buckets, lot_key
+from ..operators.clean import append_lots, append_to_buckets, distinct_in_buckets, lot_key
 from .flat import read_flat
 from .manifest import _file_system, path_exists
 from .staging import bucketed_table, stage
@@ -98,17 +98,18 @@ class WorkingCopy:
         return self.folder.rsplit("/", 1)[1].split("-")[0]
 
     def write(self, lots: DataFrame, fields: Sequence[str]) -> None:
-        """One file per bucket if the lots come in these buckets already."""
+        """One file per bucket if the lots come in these buckets already. They stay in their order: sorted by key, like ones would lie apart."""
         table = f"lotframe_{uuid.uuid4().hex}"
-        keyed = lots.withColumn("lot_key", lot_key(fields))
-        writer = keyed.write.bucketBy(self.buckets, "lot_key").sortBy("lot_key").format("parquet").option("path", self.folder)
+        keyed = lots if "lot_key" in lots.columns else lots.withColumn("lot_key", lot_key(fields))
+        writer = keyed.write.bucketBy(self.buckets, "lot_key").format("parquet").option("path", self.folder)
+        writer = writer.option("compression", "zstd")
         writer.mode("overwrite").saveAsTable(table)
         lots.sparkSession.sql(f"DROP TABLE {table}")
 
     def read(self, spark: SparkSession) -> DataFrame:
         """A scan that knows its buckets."""
         schema = spark.read.parquet(self.folder).schema
-        return bucketed_table(spark, self.folder, schema, ["lot_key"], self.buckets)
+        return bucketed_table(spark, self.folder, schema, ["lot_key"], self.buckets, in_order=False)
 
 
 def latest_version(spark: SparkSession, path: str) -> str | None:
@@ -152,21 +153,28 @@ def with_previous(
     return lots if previous is None else append_lots(previous, lots, fields)
 
 
-def write_lots(lots: DataFrame, folder: str, timestamp: str, file_format: str = "csv", buckets: int | None = None) -> str:
+def write_lots(
+    lots: DataFrame, folder: str, timestamp: str, file_format: str = "csv", buckets: int | None = None, as_set: bool = False
+) -> str:
     """Write under ``portfolio-<timestamp>`` and return the path.
 
     Each write makes a new version directory, so an append can read the version
     before it and a failed job leaves that one in place. A version keeps the number of
-    buckets of the one before; the first takes ``buckets``, else the session's shuffle partitions.
+    buckets of the one before; the first takes ``buckets``, else the session's shuffle partitions. ``as_set``: the
+    lots have no metrics and no order to keep, and equal ones count as one; they are shuffled once and written once before the export.
+    A column ``lot_key`` of them (:func:`lot_key`) is no field.
     """
     spark, path = lots.sparkSession, lots_path(folder, timestamp)
     versions = _versions(spark, path)
     target = f"{path}/v{versions[-1] + 1 if versions else 1}"
     before = WorkingCopy.of(spark, f"{path}/v{versions[-1]}") if versions else None
-    fields = [name for name in lots.columns if name not in METRICS]
+    fields = [name for name in lots.columns if name not in (*METRICS, "lot_key")]
     count = before.buckets if before else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     copy = WorkingCopy.named(target, fields, count)
-    if before is not None and before.fits(fields):
+    if as_set:
+        copy.write(distinct_in_buckets(lots, fields, count), fields)
+        whole = spark.read.parquet(copy.folder).select(*[F.col(f"`{name}`") for name in fields])
+    elif before is not None and before.fits(fields):
         # An append comes from these buckets; the export reads the working copy, so the plan behind it runs once.
         copy.write(lots, fields)
         whole = spark.read.parquet(copy.folder).select(*[F.col(f"`{name}`") for name in lots.columns])

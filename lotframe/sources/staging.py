@@ -56,12 +56,14 @@ def discarding_stages(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def bucketed_table(spark: SparkSession, folder: str, schema: StructType, keys: Sequence[str], buckets: int) -> DataFrame:
+def bucketed_table(
+    spark: SparkSession, folder: str, schema: StructType, keys: Sequence[str], buckets: int, in_order: bool = True
+) -> DataFrame:
     """A scan that knows its buckets. The table is in the catalog only until it is resolved; its files stay."""
     columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
     by, table = ", ".join(keys), f"lotframe_{uuid.uuid4().hex}"
     spark.sql(
-        f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) "
+        f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({by}) {f'SORTED BY ({by}) ' if in_order else ''}"
         f"INTO {buckets} BUCKETS LOCATION '{folder}'"
     )
     try:
@@ -86,5 +88,5 @@ def stage_bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFr
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return it as a table scan."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
