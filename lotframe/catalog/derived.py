@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.clean import lot_key
 from ..operators.segment import BLOCK
+from ..session import keep_methods_small
 from ..sources.inputs import file_system
 from ..sources.manifest import qualified
 from ..sources.sinks import write_lots
@@ -153,6 +154,7 @@ def report_grid(spark: SparkSession, sf_dir: str, orders_per_block: int = ORDERS
     Lots meet their report and block once, as numbers, with a mark for each block that prints totals. What is
     printed for them (copies, summaries, totals) is made there, numbered, and becomes text last.
     """
+    keep_methods_small(spark)
     facts = lot_facts(spark, sf_dir).withColumn("block", F.expr(f"1 + orderkey div {orders_per_block}"))
     lines = table(spark, sf_dir, "lineitem").selectExpr(
         "l_suppkey as suppkey", "cast(l_suppkey % 3 as int) as layout", f"1 + l_orderkey div {orders_per_block} as block"

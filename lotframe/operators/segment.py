@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import is_blank, is_missing
+from ..session import keep_methods_small
 from .prefix import running_row_number, shuffled, states_before
 
 BLOCK = ("file", "sheet_no", "block")
@@ -32,6 +33,10 @@ def opens_table() -> Column:
     return ~F.col("is_blank") & ((F.col("sheet_no") > 0) | (F.size("cells") != 1))
 
 
+def _known() -> Column:
+    return F.col(BLOCK[0]).isNotNull() & F.col(BLOCK[1]).isNotNull() & F.col(BLOCK[2]).isNotNull()
+
+
 def by_block(grid: DataFrame) -> DataFrame:
     """The one shuffle of the raw grid; every later step reuses it.
 
@@ -39,15 +44,19 @@ def by_block(grid: DataFrame) -> DataFrame:
     joins would else infer on some branches only, which would keep the exchanges from being equal.
     """
     keys = [F.coalesce(name, F.raise_error(F.lit(f"a row of the grid has no {name}"))).alias(name) for name in BLOCK]
-    known = F.col(BLOCK[0]).isNotNull() & F.col(BLOCK[1]).isNotNull() & F.col(BLOCK[2]).isNotNull()
-    return grid.select(*keys, "row_no", "cells").where(known).repartition(*BLOCK)
+    keep_methods_small(grid.sparkSession)
+    return grid.select(*keys, "row_no", "cells").where(_known()).repartition(*BLOCK)
 
 
 def blocked_as_stored(grid: DataFrame) -> DataFrame:
-    """As :func:`by_block` for a stored grid whose buckets hold whole blocks: nothing is moved."""
+    """As :func:`by_block` for a stored grid whose buckets hold whole blocks: nothing is moved.
+
+    The filter removes nothing here either; it keeps a pass over the grid equal on all branches, so that it is made once.
+    """
     if not grid.where(" or ".join(f"{name} is null" for name in BLOCK)).isEmpty():
         raise ValueError("a row of the grid has no file, sheet_no or block")
-    return grid.select(*BLOCK, "row_no", "cells")
+    keep_methods_small(grid.sparkSession)
+    return grid.select(*BLOCK, "row_no", "cells").where(_known())
 
 
 def flag_blank_rows(grid: DataFrame) -> DataFrame:
@@ -96,28 +105,36 @@ def _carry_open_table(marked: DataFrame) -> DataFrame:
     )
 
 
-def resolve_rows(blocked: DataFrame, header: Column | None = None, by: Sequence[int | str] = BLOCK) -> DataFrame:
+def open_tables(blocked: DataFrame, header: Column) -> DataFrame:
+    """One row per block: the table still open when it begins, if any. Takes a pass over the grid."""
+    return _carry_open_table(_mark_candidates(blocked, header))
+
+
+def resolve_rows(
+    blocked: DataFrame,
+    header: Column | None = None,
+    by: Sequence[int | str] = BLOCK,
+    opened: DataFrame | None = None,
+    with_header: bool = True,
+) -> DataFrame:
     """All rows with ``table_row`` and ``header``, null outside tables. ``by``: what the rows are dealt out by, as ``repartition`` takes it.
 
     ``table_row`` is the row number of the header row and identifies the table
     within its sheet. ``header`` is any expression over a header row; it is
     evaluated on header rows only and repeated on the rows below. A table may
-    span any number of blocks.
+    span any number of blocks. ``opened``: :func:`open_tables`, if it is known. Without ``with_header`` there is no
+    header, for callers that know it per table.
     """
-    header = F.col("cells") if header is None else header
+    header = (F.col("cells") if header is None else header) if with_header else F.lit(None).cast("string")
     marked = _mark_candidates(blocked, header)
-    carried_in = _carry_open_table(marked).repartition(*by)
+    carried_in = (_carry_open_table(marked) if opened is None else opened).repartition(*by)
     joined = marked.join(shuffled(carried_in), list(BLOCK), "left")
     leading = F.col("_blank").isNull()
     own = ~F.col("is_blank") & (leading | (F.col("_start") > F.col("_blank")))
     carried = ~F.col("is_blank") & leading & F.col("_open_start").isNotNull()
-    return joined.select(
-        *BLOCK,
-        "row_no",
-        "cells",
-        F.when(carried, F.col("_open_start")).when(own, F.col("_start")).alias("table_row"),
-        F.when(carried, F.col("_open_header")).when(own, F.col("_header")).alias("header"),
-    )
+    table_row = F.when(carried, F.col("_open_start")).when(own, F.col("_start")).alias("table_row")
+    of_table = F.when(carried, F.col("_open_header")).when(own, F.col("_header")).alias("header") if with_header else None
+    return joined.select(*BLOCK, "row_no", "cells", table_row, *([of_table] if with_header else []))
 
 
 def resolve_tables(blocked: DataFrame, header: Column | None = None, by: Sequence[int | str] = BLOCK) -> DataFrame:

@@ -35,14 +35,19 @@ class Parsed:
 def decide(
     blocked: DataFrame, fields: Sequence[str], mapping: dict[str, str], by: Sequence[int | str] = segment.BLOCK
 ) -> tuple[DataFrame, DataFrame]:
-    """Resolved rows, and the decisions per (block, table) as a staged table.
+    """Resolved rows, and the decisions per (block, table), with its header, as a staged table.
 
     The summary is read by the table, file and row steps, so it is written once;
     rows outside tables are in it under a null ``table_row`` and keep every
-    file and block listed.
+    file and block listed. Of a stored grid, so are the tables that are open where blocks begin, which are read
+    twice, and the rows come without header; another grid's are worked out along with the rows, from the same shuffle.
     """
-    rows = segment.resolve_rows(blocked, headers.header_facts(mapping, fields), by)
+    header = headers.header_facts(mapping, fields)
+    opened = stage(segment.open_tables(blocked, header), "open-tables") if tuple(by) != segment.BLOCK else None
+    rows = segment.resolve_rows(blocked, header, by, opened)
     summary = classify.summarise_segments(classify.row_roles(rows))
+    if opened is not None:
+        rows = segment.resolve_rows(blocked, by=by, opened=opened, with_header=False)
     return rows, classify.decide_tables(stage(summary, "segments"))
 
 
@@ -51,7 +56,7 @@ def rows_with_facts(rows: DataFrame, facts: DataFrame, by: Sequence[int | str] =
 
     A block's facts come to its rows as one map; a join by table as well would deal the rows out anew.
     """
-    names = [name for name in facts.columns if name not in classify.SEGMENT]
+    names = [name for name in facts.columns if name not in (*classify.SEGMENT, *rows.columns)]
     entry = F.struct("table_row", F.struct(*names).alias("facts"))
     of_block = facts.groupBy(*segment.BLOCK).agg(F.map_from_entries(F.collect_list(entry)).alias("_by_table"))
     joined = rows.join(shuffled(of_block.repartition(*by)), list(segment.BLOCK))
@@ -91,7 +96,7 @@ def parse_reports(
         tables.join(shuffled(per_block), list(segment.BLOCK))
         .withColumn("route", realign.choose_route(fields))
         .filter(F.col("route").isNotNull())
-        .select(*classify.SEGMENT, "route", "fallback", "hybrid_carry", "group_carry")
+        .select(*classify.SEGMENT, "header", "route", "fallback", "hybrid_carry", "group_carry")
     )
     in_tables = rows.filter(F.col("table_row").isNotNull())
     routed = realign.carry_symbols(classify.row_roles(rows_with_facts(in_tables, facts, by)))
