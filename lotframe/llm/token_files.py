@@ -31,6 +31,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -49,16 +51,19 @@ LEVEL = 3
 #: A pack is closed when it has this many ids; a longer document has one of its own.
 PACK_IDS = 1 << 20
 END_ID = 0
-BATCH_CHARS = 1 << 20
-#: Encoded stretches, and words, that a worker remembers in each of two generations.
-MEMO_ENTRIES = 1 << 18
+BATCH_CHARS = 1 << 23
+#: Stretches that are cut into words at once, and new words that go to the library in one text.
+PORTION = 1 << 18
+WORDS_A_CALL = 1 << 11
+#: Bytes of encoded stretches, and as many of words, that a worker remembers.
+MEMO_BYTES = 32 << 20
 _encoders: dict[str, Encoder] = {}
 
 
 #: What Unicode and Python count as white space, apart from the space.
 _SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 32]
-#: Code points up to here have had their letters and digits settled for long, whatever the Unicode version.
-_SETTLED = "\u0530"
+#: Code points below these have had their letters and digits settled for long, whatever the Unicode version.
+_RARE = r"[\x{0530}-\x{10ffff}]"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -68,23 +73,43 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class Memo(dict):
-    """Values of ``make``; those used lately are remembered, ``MEMO_ENTRIES`` twice at most."""
+def _slices(data: bytes | pa.Buffer, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """Consecutive slices of ``data``; ``ends`` begins with the first one's begin."""
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(data)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, buffers)
+
+
+def _contents(values: pa.LargeBinaryArray) -> tuple[bytes | pa.Buffer, np.ndarray]:
+    """The inverse of ``_slices``, of an array that is no slice of another."""
+    _, ends, data = values.buffers()
+    return data or b"", np.frombuffer(ends, np.int64, len(values) + 1) if ends else np.zeros(1, np.int64)
 
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make = make
-        self.before: dict[str, bytes] = {}
 
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= MEMO_ENTRIES:
-            self.before = dict(self)
-            self.clear()
-        value = self.before.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
+class Memo:
+    """Values of ``make``, which takes many keys at once; those made lately are remembered, ``MEMO_BYTES`` at most."""
+
+    def __init__(self, make: Callable[[pa.LargeStringArray], pa.LargeBinaryArray]):
+        self.make = make
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.known = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def values(self, keys: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """In the order of ``keys``, which may repeat."""
+        dealt = keys.dictionary_encode()
+        distinct = dealt.dictionary
+        at = pc.index_in(distinct, value_set=self.keys)
+        new = distinct.filter(at.is_null())
+        places = at.fill_null(0).to_numpy().astype(np.int64)
+        places[at.is_null().to_numpy(zero_copy_only=False)] = len(self.keys) + np.arange(len(new))
+        self.keys, self.known = pa.concat_arrays([self.keys, new]), pa.concat_arrays([self.known, self.make(new)])
+        values = self.known.take(pa.array(places))
+        if self.keys.nbytes + self.known.nbytes > MEMO_BYTES:
+            self.keys, self.known = distinct, values
+            if self.keys.nbytes + self.known.nbytes > MEMO_BYTES:
+                self.forget()
+        return values.take(dealt.indices)
 
 
 def _is_regular(text: str) -> bool:
@@ -93,21 +118,24 @@ def _is_regular(text: str) -> bool:
 
 
 class Encoder:
-    """Encodes with a tokenizer file and remembers stretches between single spaces.
+    """Encodes with a tokenizer file, many texts at once, and remembers stretches between single spaces.
 
     Byte-level BPE of this kind never joins a space to what stands before it, so
     a text may be cut at every single space between two other characters, and the
-    stretches' ids are those of the whole. A new stretch is cut into words by the
-    public pattern and every new word goes to the library's BPE model; most of the
-    time of a plain call goes into preparing words that have been seen before. A
-    text with special tokens or runs of white space, stretches of rarer scripts, and
-    every text under a tokenizer of another kind, are encoded by a plain call.
+    stretches' ids are those of the whole. The new stretches of a batch are cut into
+    words by the public pattern, all at once, and new words go to the library's BPE
+    model some thousands a call; most of the time of a plain call goes into preparing
+    words that have been seen before. A text with special tokens or runs of white
+    space, stretches of rarer scripts, and every text under a tokenizer of another
+    kind, are encoded by a plain call.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -116,46 +144,86 @@ class Encoder:
         shown = repr(self.tokenizer.pre_tokenizer)
         self.cuts = self.tokenizer.normalizer is None and "ByteLevel(add_prefix_space=False" in shown and "use_regex=True" in shown
         self.find_words = regex.compile(public_tokenizers.PATTERN).findall
-        self.letters = _byte_letters()
-        self.model = self.tokenizer.model
-        self.memo = Memo(lambda piece: self._stretch(" " + piece))
-        self.words = Memo(self._word)
+        letters = _byte_letters()
+        # The same model, for words that are cut and written in byte letters already.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
+        vocabulary = self.tokenizer.get_vocab()
+        self.token_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.token_bytes[number] = len(token)
+        # Only then a word's tokens have as many letters as the word has bytes.
+        kind = self.tokenizer.model
+        self.cuts &= isinstance(kind, BPE) and not kind.continuing_subword_prefix and not kind.end_of_word_suffix
+        self.cuts &= all(letter in vocabulary for letter in letters.values())
+        self.letters = np.array([ord(letters[b]) for b in range(255)] + [ord(" ")], "<u4")
+        self.memo = Memo(self._stretches)
+        self.words = Memo(self._new_words)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def _word(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        return np.array([t.id for t in tokens], self.kind).tobytes()
-
-    def _stretch(self, stretch: str) -> bytes:
-        if stretch and max(stretch) >= _SETTLED:
-            return self._whole([stretch])[0]
-        # Letters after the space are one word, and a mark behind them another; no need to search.
-        if stretch[1:].isalpha() and stretch[0] == " ":
-            return self.words[stretch]
-        if stretch[1:-1].isalpha() and stretch[0] == " " and stretch[-1] in ",.!?;:":
-            return self.words[stretch[:-1]] + self.words[stretch[-1]]
-        return b"".join([self.words[word] for word in self.find_words(stretch)])
-
-    def _encode(self, text: str) -> bytes | None:
-        """Ids of a text that may be cut at its spaces."""
-        if not self.cuts or not _is_regular(text) or any(s in text for s in self.specials):
-            return None
-        first, *pieces = text.split(" ")
-        return self._stretch(first) + b"".join(map(self.memo.__getitem__, pieces))
+    def _new_words(self, words: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of words, which the model takes some thousands a call; their tokens are told apart by their letters."""
+        made = [pa.array([], pa.large_binary())]
+        for at in range(0, len(words), WORDS_A_CALL):
+            spelled = words[at : at + WORDS_A_CALL].cast(pa.large_binary()).to_pylist()
+            # No UTF-8 holds the byte 255, so it can stand between words.
+            text = self.letters[np.frombuffer(b"\xff".join(spelled), np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum([len(word) for word in spelled])) + 1
+            made.append(_slices(ids.tobytes(), self.width * np.concatenate(([0], ends))))
+        return pa.concat_arrays(made)
+
+    def _stretches(self, pieces: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of stretches, each a space and one of ``pieces``."""
+        return pa.concat_arrays([
+            pa.array([], pa.large_binary()),
+            *(self._portion(pieces[at : at + PORTION]) for at in range(0, len(pieces), PORTION)),
+        ])
+
+    def _portion(self, pieces: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        # Next to the space of another stretch a lone space would be taken for a run.
+        odd = pc.or_(pc.match_substring_regex(pieces, _RARE), pc.equal(pieces, ""))
+        text = "".join([" " + piece for piece in pieces.filter(pc.invert(odd)).to_numpy(zero_copy_only=False)])
+        words = pa.array(self.find_words(text), pa.large_string())
+        data, ends = _contents(self.words.values(words))
+        # A stretch begins wherever a word begins with a space.
+        begins = np.flatnonzero(pc.starts_with(words, " ").to_numpy(zero_copy_only=False))
+        made = _slices(data, ends[np.append(begins, len(words))])
+        whole = self._whole([" " + piece for piece in pieces.filter(odd).to_pylist()])
+        order = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        return pa.concat_arrays([made, pa.array(whole, pa.large_binary())]).take(pa.array(order)) if whole else made
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that may be cut at their spaces."""
+        if not texts:
+            return []
+        firsts, spaces, rests = zip(*(text.partition(" ") for text in texts))
+        # Nothing stands before a text's first stretch, so it is encoded by itself.
+        found = self._whole(list(firsts))
+        cut = [at for at, space in enumerate(spaces) if space]
+        pieces = pc.split_pattern(pa.array([rests[at] for at in cut], pa.large_string()), " ")
+        data, ends = _contents(self.memo.values(pieces.flatten()))
+        bounds = ends[pieces.offsets.to_numpy()].tolist()
+        for at, begin, end in zip(cut, bounds, bounds[1:]):
+            found[at] += memoryview(data)[begin:end]
+        return found
+
+    def _may_be_cut(self, text: str) -> bool:
+        return self.cuts and _is_regular(text) and not any(s in text for s in self.specials)
 
     def release(self) -> None:
-        """Forgets the older generations: a worker that goes on to other work keeps half of the memory."""
-        for memo in (self.memo, self.words):
-            memo.before = {}
+        """Gives back what batches took beyond what is remembered, for other work of the same worker."""
+        pa.default_memory_pool().release_unused()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, serialized."""
-        found = [self._encode(text) for text in texts]
-        whole = iter(self._whole([text for text, raw in zip(texts, found) if raw is None]))
-        return [next(whole) if raw is None else raw for raw in found]
+        cut = [self._may_be_cut(text) for text in texts]
+        whole = iter(self._whole([text for text, may in zip(texts, cut) if not may]))
+        parts = iter(self._cut([text for text, may in zip(texts, cut) if may]))
+        return [next(parts) if may else next(whole) for may in cut]
 
 
 def encoder(path: str) -> Encoder:

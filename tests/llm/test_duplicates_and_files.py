@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 import corpus_pipeline
 from lotframe.llm import near_duplicates as near
@@ -141,6 +141,53 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(raw, tool.kind).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+class Counted:
+    """Passes everything on and notes the calls."""
+
+    def __init__(self, inner, calls):
+        self.inner, self.calls = inner, calls
+
+    def __getattr__(self, name):
+        value = getattr(self.inner, name)
+        if not callable(value):
+            return value
+        return lambda *args, **kwargs: self.calls.append(name) or value(*args, **kwargs)
+
+
+def test_new_words_go_to_the_library_together():
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäé", k=rng.randint(7, 12))) for _ in range(20_000)]
+    texts = ["".join(w + rng.choice([" ", ", ", ".\n"]) for w in words[i : i + 500]) for i in range(0, len(words), 500)]
+    tool, calls = files.Encoder(BPE), []
+    tool.model, tool.tokenizer = Counted(tool.model, calls), Counted(tool.tokenizer, calls)
+    found = tool.encode(texts)
+    assert 0 < len(calls) < 100
+    plain = Tokenizer.from_file(BPE)
+    assert [np.frombuffer(raw, tool.kind).tolist() for raw in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    for name, value in (("PORTION", 5), ("WORDS_A_CALL", 3), ("MEMO_BYTES", 400)):
+        monkeypatch.setattr(files, name, value)
+    rng = random.Random(7)
+    pieces = ["a", "b.", "c'll", "d\né", "漢", "e漢f", "12x", "ԯ", "԰", "\x00", "ÿ", "..", "long" * 200]
+    texts = ["", "one", " ", "a ", " a", "a b\n", *(" ".join(rng.choices(pieces, k=rng.randint(1, 9))) for _ in range(400))]
+    plain, tool = Tokenizer.from_file(BPE), files.Encoder(BPE)
+    assert tool.encode([]) == [] and all(tool._may_be_cut(text) for text in texts)
+    for at in range(0, len(texts), 20):
+        for text, raw in zip(texts[at : at + 20], tool.encode(texts[at : at + 20]), strict=True):
+            assert np.frombuffer(raw, tool.kind).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+        assert all(m.keys.nbytes + m.known.nbytes <= 400 for m in (tool.memo, tool.words))
+
+
+def test_tokenizers_that_do_not_spell_every_byte(tmp_path):
+    odd = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2, "Ġ": 3, "Ġab": 4}, [("a", "b"), ("Ġ", "ab")]))
+    odd.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    odd.save(str(tmp_path / "odd.json"))
+    tool, texts = files.Encoder(str(tmp_path / "odd.json")), ["ab ab cab", "x", "b xaby ab", ""]
+    assert [np.frombuffer(raw, tool.kind).tolist() for raw in tool.encode(texts)] == [odd.encode(t).ids for t in texts]
+
+
 def test_files_round_trip(spark, tables, documents, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "PACK_IDS", 3000)
     plain = Tokenizer.from_file(BPE)
