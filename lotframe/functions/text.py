@@ -31,6 +31,11 @@ def _starts_visibly(text: Column) -> Column:
     return (text >= "!") & (text < "\x7f")
 
 
+def strip_cell(text: Column) -> Column:
+    """As :func:`strip`, for cells of rows: most have no white space at their ends, which is told before they are searched."""
+    return F.when(_starts_visibly(text) & _starts_visibly(F.substring(text, -1, 1)), text).otherwise(strip(text))
+
+
 def is_blank(text: Column) -> Column:
     """True for null, empty and whitespace-only text."""
     return F.when(_starts_visibly(text), False).otherwise(F.coalesce(strip(text) == "", F.lit(True)))
@@ -42,7 +47,8 @@ def blank_to_null(text: Column) -> Column:
 
 def is_missing(text: Column) -> Column:
     """True for null, blank and any spelling of ``nan``."""
-    return F.coalesce(F.lower(strip(text)).isin("", "nan"), F.lit(True))
+    like_nan = F.lower(F.substring(text, 1, 1)) == "n"
+    return F.when(text == "", True).when(_starts_visibly(text) & ~like_nan, False).otherwise(F.coalesce(F.lower(strip(text)).isin("", "nan"), F.lit(True)))
 
 
 def nan_to_null(text: Column) -> Column:
@@ -60,11 +66,13 @@ def normalise_header(text: Column) -> Column:
 
 
 def is_us_date(text: Column) -> Column:
-    return text.rlike(US_DATE)
+    return F.when((text < "0") | (text >= ":"), False).otherwise(text.rlike(US_DATE))
 
 
 def is_category_heading(text: Column) -> Column:
-    return F.lower(strip(text)).isin(*CATEGORY_HEADINGS)
+    begins = sorted({heading[:2] for heading in CATEGORY_HEADINGS})
+    other = _starts_visibly(text) & ~F.lower(F.substring(text, 1, 2)).isin(*begins)
+    return F.when(other, False).otherwise(F.lower(strip(text)).isin(*CATEGORY_HEADINGS))
 
 
 def broker_from_path(path: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import is_category_heading, is_missing, is_us_date, strip
+from ..functions.text import is_category_heading, is_missing, is_us_date, strip_cell
 from .headers import has_symbol_and_more
 from .prefix import attach_totals, last_before
 from .segment import BLOCK, TABLE, is_data_row
@@ -30,7 +30,7 @@ def row_roles(rows: DataFrame) -> DataFrame:
     ``hybrid_symbol``: the first cell, if it names a symbol. ``group_symbol``:
     the symbol cell, if filled. ``group_member``: no symbol but an account.
     """
-    first = strip(F.coalesce(F.get("cells", F.lit(0)), F.lit("")))
+    first = strip_cell(F.coalesce(F.get("cells", F.lit(0)), F.lit("")))
     symbol = cell_at(F.col("header.symbol_at"))
     account = cell_at(F.col("header.account_at"))
     grouped = (F.col("header.symbol_at") > 0) & (F.col("header.account_at") > 0)
@@ -39,7 +39,7 @@ def row_roles(rows: DataFrame) -> DataFrame:
         {
             "is_data": is_data_row(),
             "hybrid_symbol": F.when(is_data_row() & (first != "") & ~is_us_date(first), first),
-            "group_symbol": F.when(is_data_row() & grouped & ~is_missing(symbol), strip(symbol)),
+            "group_symbol": F.when(is_data_row() & grouped & ~is_missing(symbol), strip_cell(symbol)),
             "group_member": is_data_row() & member,
             "group_lot": is_data_row() & member & ~is_category_heading(account),
         }
@@ -49,7 +49,7 @@ def row_roles(rows: DataFrame) -> DataFrame:
 def summarise_segments(roles: DataFrame) -> DataFrame:
     """One row per (block, table) with everything table decisions need."""
     row_no = F.col("row_no")
-    account = strip(cell_at(F.col("header.first_account_at")))
+    account = strip_cell(cell_at(F.col("header.first_account_at")))
     hybrid_lot = F.col("is_data") & F.col("hybrid_symbol").isNull()
 
     def where(condition: Column) -> Column:
@@ -57,6 +57,8 @@ def summarise_segments(roles: DataFrame) -> DataFrame:
 
     return roles.groupBy(*SEGMENT).agg(
         F.first("header").alias("header"),
+        F.min("row_no").alias("first_row"),
+        F.max("row_no").alias("last_row"),
         F.count(where(F.col("is_data"))).alias("n_rows"),
         F.min(where(F.col("hybrid_symbol").isNotNull())).alias("first_hybrid"),
         F.max(where(hybrid_lot)).alias("last_hybrid_lot"),

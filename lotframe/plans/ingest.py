@@ -34,34 +34,35 @@ class Parsed:
 
 def decide(
     blocked: DataFrame, fields: Sequence[str], mapping: dict[str, str], by: Sequence[int | str] = segment.BLOCK
-) -> tuple[DataFrame, DataFrame]:
-    """Resolved rows, and the decisions per (block, table), with its header, as a staged table.
+) -> DataFrame:
+    """The decisions per (block, table), with its header and its first and last row, as a staged table.
 
-    The summary is read by the table, file and row steps, so it is written once;
-    rows outside tables are in it under a null ``table_row`` and keep every
-    file and block listed. Of a stored grid, so are the tables that are open where blocks begin, which are read
-    twice, and the rows come without header; another grid's are worked out along with the rows, from the same shuffle.
+    It is read by the table, file and row steps, so it is written once; rows outside tables are in it under a null
+    ``table_row`` and keep every file and block listed. Of a stored grid, so are the tables that are open where blocks
+    begin; another grid's are worked out along with the rows, from the same shuffle.
     """
     header = headers.header_facts(mapping, fields)
     opened = stage(segment.open_tables(blocked, header), "open-tables") if tuple(by) != segment.BLOCK else None
     rows = segment.resolve_rows(blocked, header, by, opened)
-    summary = classify.summarise_segments(classify.row_roles(rows))
-    if opened is not None:
-        rows = segment.resolve_rows(blocked, by=by, opened=opened, with_header=False)
-    return rows, classify.decide_tables(stage(summary, "segments"))
+    return classify.decide_tables(stage(classify.summarise_segments(classify.row_roles(rows)), "segments"))
+
+
+#: Columns of segments that :func:`rows_with_facts` needs.
+PLACE = (*classify.SEGMENT, "first_row", "last_row")
 
 
-def rows_with_facts(rows: DataFrame, facts: DataFrame, by: Sequence[int | str] = segment.BLOCK) -> DataFrame:
-    """Rows of tables with the facts of their (block, table).
+def rows_with_facts(blocked: DataFrame, facts: DataFrame, by: Sequence[int | str] = segment.BLOCK) -> DataFrame:
+    """Rows of tables with ``table_row`` and the facts of their (block, table).
 
-    A block's facts come to its rows as one map; a join by table as well would deal the rows out anew.
+    A table's rows in a block follow one another, so its first and last one tell them; they need not be worked out again.
+    A block's tables come to its rows as one array; a join by table as well would deal the rows out anew.
     """
-    names = [name for name in facts.columns if name not in (*classify.SEGMENT, *rows.columns)]
-    entry = F.struct("table_row", F.struct(*names).alias("facts"))
-    of_block = facts.groupBy(*segment.BLOCK).agg(F.map_from_entries(F.collect_list(entry)).alias("_by_table"))
-    joined = rows.join(shuffled(of_block.repartition(*by)), list(segment.BLOCK))
-    found = joined.withColumn("_facts", F.try_element_at("_by_table", "table_row")).where(F.col("_facts").isNotNull())
-    return found.select(*rows.columns, "_facts.*")
+    names = [name for name in facts.columns if name not in PLACE]
+    of_block = facts.groupBy(*segment.BLOCK).agg(F.collect_list(F.struct("first_row", "last_row", "table_row", *names)).alias("_tables"))
+    joined = blocked.join(shuffled(of_block.repartition(*by)), list(segment.BLOCK))
+    around = F.filter("_tables", lambda table: F.col("row_no").between(table["first_row"], table["last_row"]))
+    found = joined.withColumn("_facts", F.get(around, F.lit(0))).where(F.col("_facts").isNotNull())
+    return found.select(*blocked.columns, *[F.col(f"_facts.{name}") for name in ("table_row", *names)])
 
 
 def parse_reports(
@@ -76,7 +77,7 @@ def parse_reports(
     mapping = resolve_mapping(grid.sparkSession, synonyms)
     blocked = segment.blocked_as_stored(grid) if stored_by else segment.by_block(grid)
     by = stored_by or segment.BLOCK
-    rows, segments = decide(blocked, fields, mapping, by)
+    segments = decide(blocked, fields, mapping, by)
     tables = segments.filter(F.col("table_row").isNotNull())
 
     pairs = keyvalues.key_value_pairs(blocked, mapping_frame(grid.sparkSession, synonyms))
@@ -96,10 +97,9 @@ def parse_reports(
         tables.join(shuffled(per_block), list(segment.BLOCK))
         .withColumn("route", realign.choose_route(fields))
         .filter(F.col("route").isNotNull())
-        .select(*classify.SEGMENT, "header", "route", "fallback", "hybrid_carry", "group_carry")
+        .select(*PLACE, "header", "route", "fallback", "hybrid_carry", "group_carry")
     )
-    in_tables = rows.filter(F.col("table_row").isNotNull())
-    routed = realign.carry_symbols(classify.row_roles(rows_with_facts(in_tables, facts, by)))
+    routed = realign.carry_symbols(classify.row_roles(rows_with_facts(blocked, facts, by)))
     lots = canonical.project_fields(realign.keep_lots(routed), fields)
     return Parsed(blocked, tables, pairs, files, routed, lots, canonical.fallback_rows(files, fields))
 
