@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import canonical, clean, classify, keyvalues
+from ..operators import canonical, clean, classify
 from ..operators.prefix import shuffled
 from .ingest import Parsed, parse_reports
 
@@ -39,10 +39,12 @@ def audit_of(parsed: Parsed, fields: Sequence[str]) -> DataFrame:
             F.sum(F.when(~empty, F.col("copies"))).alias("_kept"),
         )
     )
-    pairs = keyvalues.last_values(parsed.pairs).groupBy("file").agg(F.count("*").alias("key_values"))
     counts = ["tables", "empty_tables", "table_rows", "renamed_columns", "rows_extracted", "lots", "_kept", "key_values"]
-    joined = parsed.files.select("file", F.when(F.col("is_hybrid"), "hybrid").otherwise("standard").alias("structure"))
-    for part in (tables, copies, pairs):
+    structure = F.when(F.col("is_hybrid"), "hybrid").otherwise("standard")
+    # A file's last key-values are in its map; to count the pairs would be another pass over the reports.
+    key_values = F.when(F.col("kv").isNotNull(), F.size("kv")).cast("long")
+    joined = parsed.files.select("file", structure.alias("structure"), key_values.alias("key_values"))
+    for part in (tables, copies):
         joined = joined.join(shuffled(part), "file", "left")
     joined = joined.na.fill(0, counts)
     return joined.select(
